@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram, tokencount, topk
+from . import bpe, langid, neardup, ngram, pii, tokencount, topk
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,6 +16,15 @@ LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.fit(docs))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=4)
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -40,6 +49,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(folds, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 4 THEN list_aggregate(words, 'string_agg', ' ')
+         ELSE unnest(list_transform(range(1, len(words) - 2), lambda i: list_aggregate(words[i:i + 3], 'string_agg', ' '))) END AS s
+  FROM w WHERE len(words) >= 4
+  UNION
+  SELECT doc_id, list_aggregate(words, 'string_agg', ' ') FROM w WHERE len(words) BETWEEN 1 AND 3
+), z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * met >= 80 * (x.n + y.n - met)
+), r(id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b
+), c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id
+"""
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -59,8 +92,8 @@ WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_top_k, op5_lm_score, op6_byte_bpe, op8_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_pii, op3_near_duplicates, op4_top_k, op5_lm_score, op6_byte_bpe, op8_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": TOP_K_SQL}
+    return {"op3_near_duplicates": NEAR_SQL, "op4_top_k": TOP_K_SQL}
