@@ -38,6 +38,8 @@ MANTISSA = 10
 BAND_ROWS = 4
 #: Standard errors that an estimate may fall below the threshold before a pair is discarded.
 SLACK = 6.0
+#: Ids (8 bytes each) up to which a filter on them is broadcast.
+BROADCAST_IDS = 500_000
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -118,7 +120,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
             yield x.select(["a", "b"]).filter(pa.array(fine))
 
     hopeful = materialise(known.mapInArrow(likely, "a long, b long"), "hopeful")
-    text = items.select("id", "text")
+    text = _involved(items.select("id", "text"), hopeful)
     both = hopeful.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +148,14 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _involved(text: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that ``pairs`` speak of; few ids filter the scan, many are left to the join's shuffle."""
+    ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
+    if ids.count() > BROADCAST_IDS:
+        return text
+    return text.join(F.broadcast(ids), "id", "left_semi")
+
+
 def cluster(items: DataFrame, n: int, num: int = 80, den: int = 100, rows: int = BAND_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """id, size, component (smallest id reachable) for items (id long, text), written to the shared folder.
 
