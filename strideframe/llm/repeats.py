@@ -60,7 +60,7 @@ def spans(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     m = n - length + 1
     whole = doc[:m] == doc[length - 1 :]
-    same = np.r_[False, (place[1:] == place[:-1]) & whole[:-1] & (doc[1:m] == doc[: m - 1])]
+    same = np.r_[False, (place[1:] == place[:-1]) & whole[:-1] & whole[1:] & (doc[1:m] == doc[: m - 1])]
     start = np.flatnonzero(whole & ~same)
     stop = np.flatnonzero(whole & ~np.r_[same[1:], False])
     p = place[start]
