@@ -7,9 +7,10 @@ estimate discards hopeless ones, and the rest are confirmed on full shingle sets
 
 Equal sets collapse first, so copies cost one row each and no pairs. Within a band
 bucket the members are first held against one hub, the one with most collisions;
-the components that gives settle nearly all of them, and only members of
-different components that still share a bucket are compared with each other: a
-confirmed link between members of one component could change nothing.
+the components that gives settle nearly all of them: a link between members of one
+component could change nothing. Of members of different components that still
+share a bucket, those that provably reach nobody drop out, and the rest are
+compared exactly, block against block.
 
 Definitions: words are maximal runs without ASCII white space, A-Z lower-cased; a
 document with fewer than ``n`` words is one shingle, one without words has the
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +40,16 @@ MANTISSA = 10
 BAND_ROWS = 4
 #: Standard errors that an estimate may fall below the threshold before a pair is discarded.
 SLACK = 6.0
+#: Sets of one side of a block that is compared with another block of the same group.
+BLOCK = 256
 #: Ids (8 bytes each) up to which a filter on them is broadcast.
 BROADCAST_IDS = 500_000
 
 
+#: For each bucket the order in which others stand in for it while it is empty: itself, then at random.
+DONORS = np.stack([np.r_[j, np.random.default_rng(j).permutation(BUCKETS)] for j in range(BUCKETS)])
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """HyperMinHash registers (sets x BUCKETS) of sorted distinct hashes; 0: empty bucket."""
     rest = 64 - BUCKET_BITS
@@ -58,7 +66,10 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     zeros = 52 - np.frexp(value.astype(np.float64))[1]
     shifted = value << zeros.astype(U)  # the leading one is now bit 51
     mantissa = (shifted >> U(51 - MANTISSA)) & U((1 << MANTISSA) - 1)
-    return np.where(full, (zeros.astype(U) << U(MANTISSA) | mantissa) + U(1), U(0)).astype(np.uint16)
+    out = np.where(full, (zeros.astype(U) << U(MANTISSA) | mantissa) + U(1), U(0)).astype(np.uint16)
+    for r in np.flatnonzero(full.any(1) & ~full.all(1)):  # an empty bucket takes the register of another, the same way for every set
+        out[r] = out[r, DONORS[np.arange(BUCKETS), full[r][DONORS].argmax(1)]]
+    return out
 
 
 def bands(regs: np.ndarray, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +83,13 @@ def bands(regs: np.ndarray, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarr
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of register rows, and the buckets they rest on."""
-    used = (a > 0) | (b > 0)
-    same = ((a == b) & used).sum(1)
-    size = used.sum(1)
+    """Collision-corrected Jaccard estimates of register rows, and how many shingles they rest on."""
+    same = (a == b).sum(1)
+    size = np.minimum(a.shape[1], np.minimum(na, nb))  # registers that stand for different shingles
     ratio = np.maximum(na, nb) / np.maximum(np.minimum(na, nb), 1)
     # Minima of unrelated sets agree on zeros and mantissa about this often.
     chance = 0.169919487159739 * 4 * ratio / (1 + ratio) ** 2 / 2**MANTISSA
-    return np.clip((same - chance * size) / np.maximum(size * (1 - chance), 1e-9), 0, 1), size
+    return np.clip((same / a.shape[1] - chance) / (1 - chance), 0, 1), size
 
 
 def sketches(items: DataFrame, n: int, rows: int = BAND_ROWS, buckets: int = BUCKETS) -> DataFrame:
@@ -190,18 +200,98 @@ def cluster(items: DataFrame, n: int, num: int = 80, den: int = 100, rows: int =
     held = materialise(met.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "held")
     open_ = materialise(held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
     still = materialise(held.join(open_, "key"), "still")
-    other = still.toDF("key", "b", "component_b")
-    rest = still.toDF("key", "a", "component_a").join(other, "key").where("component_a < component_b").select("a", "b").distinct()
-    tried = spokes.select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    rest = rest.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    links.append(materialise(confirmed(rest, reps, items, n, num, den), "links"))
+    release(open_)
+    still, before = _linkable(still, reps, items, n, num, den), still
+    release(before)
+    links.append(materialise(_compared(still, items, n, num, den), "links"))
     final = materialise(components(_union(links)), "final")
     out = materialise(member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "size", F.coalesce("component", "rep").alias("component")), "clusters")
-    for t in (member, reps, shared, met, degree, hubs, spokes, label, held, open_, still, final, *links):
+    for t in (member, reps, shared, met, degree, hubs, spokes, label, held, still, final, *links):
+        release(t)
+    return out
+
+
+def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Rows (key, id, component) whose set can reach the threshold with one of another component in its band bucket.
+
+    Shingles that no set of another component has cannot be in an intersection that
+    matters: with e the others, a link needs num * (|x| + |y|) <= (num + den) * e(x), and
+    |y| at least num / den * |x|. Buckets whose rows are left in one component have nothing
+    to settle. This takes out far relatives of large groups without comparing them
+    with the group.
+    """
+    ids = still.select("id", "component").distinct()
+    text = _involved(items.select("id", "text"), still.select(F.col("id").alias("a"), F.col("id").alias("b")))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", 2 << 20):
+                data, offs = text_bytes(b.column("text"))
+                h, _, _, first = word_hashes(data, offs)
+                sets = [np.unique(shingles(h[first[d] : first[d + 1]], n)) for d in range(b.num_rows)]
+                owner = np.repeat(b.column("id").to_numpy(), [len(x) for x in sets])
+                of = np.repeat(b.column("component").to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(of), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "h"])
+
+    own = materialise(text.join(ids, "id").mapInArrow(spread, "id long, component long, h long"), "own")
+    across = materialise(own.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h"), "across")
+    common = own.join(across, "h").groupBy("id").agg(F.count("*").alias("common"))
+    sized = materialise(reps.select("id", "size").join(common, "id").select("id", "size", "common"), "sized")
+    known = materialise(still.join(sized, "id"), "known")
+    least = materialise(known.groupBy("key").agg(F.collect_set("size").alias("sizes")), "least")
+    fits = F.exists("sizes", lambda y: (den * y >= num * F.col("size")) & (num * (F.col("size") + y) <= (num + den) * F.col("common")))
+    able = materialise(known.join(least, "key").where(fits).select("key", "id", "component"), "able")
+    open_ = materialise(able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
+    out = materialise(able.join(open_, "key").select("key", "id", "component"), "still")
+    for t in (own, across, sized, known, least, able, open_):
         release(t)
     return out
 
 
+def _compared(still: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of rows (key, id, component) that share buckets.
+
+    Ids that buckets tie together form a group; a group of any size is dealt out as
+    pairs of blocks of about BLOCK ids, and a task compares two blocks by exact
+    intersection counts. Only confirmed pairs leave it.
+    """
+    first = materialise(still.groupBy("key").agg(F.min("id").alias("first")), "first")
+    tied = components(still.join(first, "key").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    tied = materialise(tied.withColumnRenamed("component", "group"), "tied")
+    size = materialise(tied.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    ids = materialise(still.select("id", "component").distinct(), "ids")
+    placed = ids.join(tied, "id").join(size, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    text = _involved(items.select("id", "text"), ids.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = placed.select("id", "component", "group", "block", other).join(text, "id")
+    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("id")
+        out: list[tuple[int, int]] = []
+        if part["component"].nunique() > 1:
+            data, offs = text_bytes(pa.array(part["text"].tolist(), pa.string()))
+            h, _, _, start = word_hashes(data, offs)
+            sets = [np.unique(shingles(h[start[d] : start[d + 1]], n)) for d in range(len(part))]
+            size = np.array([len(x) for x in sets], np.int64)
+            of = np.repeat(np.arange(len(sets)), size)
+            _, column = np.unique(np.concatenate(sets), return_inverse=True)
+            met = np.zeros((len(sets), len(sets)), np.int64)
+            for c in range(0, int(column.max(initial=-1)) + 1, 8192):
+                here = (column >= c) & (column < c + 8192)
+                ones = np.zeros((len(sets), 8192), np.float32)
+                ones[of[here], column[here] - c] = 1
+                met += (ones @ ones.T).astype(np.int64)
+            comp, ids = part["component"].to_numpy(), part["id"].to_numpy()
+            near = den * met >= num * (size[:, None] + size[None, :] - met)
+            a, b = np.nonzero(np.triu(near & (met > 0) & (comp[:, None] != comp[None, :]), 1))
+            out = list(zip(ids[a].tolist(), ids[b].tolist(), strict=True))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    links = dealt.groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return materialise(links, "compared")
+
+
 def _union(links: list[DataFrame]) -> DataFrame:
     out = links[0]
     for x in links[1:]:
