@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, ngram, pii, repeats, tokencount, topk
+from . import bpe, decontam, langid, neardup, ngram, paragraphs, pii, repeats, tokencount, topk
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,6 +42,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), LIBRARY)
 
@@ -100,7 +104,7 @@ WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_repeated_bytes, op3_near_duplicates, op4_top_k, op5_lm_score, op6_byte_bpe, op8_token_counts, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_pii, op2_repeated_bytes, op3_near_duplicates, op4_top_k, op5_lm_score, op6_byte_bpe, op7_paragraphs, op8_token_counts, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
