@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Upper bounds of one Arrow batch that reaches a Python worker.
 BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="strideframe-")) / "strideframe.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Ship the package, and bound what one Arrow batch may hold, so long documents cannot exhaust a worker."""
     ship(spark)
