@@ -1,13 +1,474 @@
-"""Registered queries over the shared tables and their SQL."""
+"""Registered queries over the shared tables and their SQL.
 
+The sensor view takes events as continuous signals: a trial is a user, a sample an
+event; batches of channels come from lineitem, vectors and classes from embeddings.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import arrays
+from ..operators import augment, metrics, quant, scoring, signal, splits, stats, windows
+from ..shipping import ship
 
-def oracle_sql():
-    return {}
+WIN, STRIDE = 16, 8
+HOP = 1.28
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+SAMPLES = """x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value,
+  CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k2, event_type FROM events)"""
+WINDOWS = SAMPLES + """, w AS (SELECT user_id, i, value, k2, unnest(generate_series(greatest(CAST(ceil((i - 15) / 8.0) AS BIGINT), 0), CAST(floor(i / 8.0) AS BIGINT))) AS k FROM x)"""
+PRED = """p AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+ q AS (SELECT vec_id, label, e, list_position(e, list_max(e)) - 1 AS a, list_position(list_transform(e, lambda v: round(v * 4)), list_max(list_transform(e, lambda v: round(v * 4)))) - 1 AS b FROM p)"""
+
+
+def query(sql: str | None = None):
+    def register(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k2"), "event_type")
+    return windows.indexed(e, "user_id", "ts", "event_id")
+
+
+def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sliding_windows(samples(spark, sf_dir), "user_id", WIN, STRIDE, F.avg(F.abs("value")).alias("energy"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows a person has above the energy threshold of 60 alarms an hour."""
+    e = _energies(spark, sf_dir)
+    cut = metrics.percentile_threshold(e, "energy", 100 * (1 - metrics.flag_rate_for_far(60, HOP)))
+    flagged = e.crossJoin(F.broadcast(cut)).groupBy("user_id").agg(F.count("*").alias("n_windows"), F.sum((F.col("energy") > F.col("threshold")).cast("long")).alias("n_alarms"))
+    return flagged.select(F.concat(F.lit("ev_"), F.col("user_id").cast("string")).alias("subject"), "n_windows", "n_alarms")
+
+
+@query(f"WITH {WINDOWS}, e AS (SELECT user_id, k, avg(abs(value)) AS energy FROM w GROUP BY 1, 2 HAVING count(*) = 16), t AS (SELECT quantile_cont(energy, 1 - 60 / 2812.5) AS t FROM e) SELECT 'ev_' || user_id AS subject, count(*) AS n_windows, CAST(sum(CASE WHEN energy > t THEN 1 ELSE 0 END) AS BIGINT) AS n_alarms FROM e, t GROUP BY user_id")
+def alarm_windows(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(f"WITH {SAMPLES} SELECT user_id, CAST(i AS BIGINT) AS i, value FROM x")
+def sensor_index(spark, sf_dir):
+    return samples(spark, sf_dir).select("user_id", "i", "value")
+
+
+@query("SELECT user_id, count(*) AS n, CAST(CASE WHEN count(*) < 16 THEN 0 ELSE (count(*) - 16) // 8 + 1 END AS BIGINT) AS m FROM events GROUP BY user_id")
+def window_counts(spark, sf_dir):
+    n = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.withColumn("m", windows.n_windows(F.col("n"), WIN, STRIDE))
+
+
+@query('WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 16), b AS (SELECT user_id, unnest(generate_series(0, (n - 16) // 8)) AS k FROM n) SELECT user_id, CAST(k AS BIGINT) AS k, CAST(k * 8 AS BIGINT) AS "start", CAST(k * 8 + 16 AS BIGINT) AS "end" FROM b')
+def window_bounds(spark, sf_dir):
+    n = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return windows.window_bounds(n, "n", WIN, STRIDE).drop("n")
+
+
+@query(f"WITH {WINDOWS} SELECT user_id, CAST(k AS BIGINT) AS k, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS lo, max(value) AS hi, arg_min(value, i) AS first_value, arg_max(value, i) AS last_value FROM w GROUP BY user_id, k HAVING count(*) = 16")
+def sliding_window_features(spark, sf_dir):
+    aggs = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min_by("value", "i").alias("first_value"), F.max_by("value", "i").alias("last_value")]
+    return _round(windows.sliding_windows(samples(spark, sf_dir), "user_id", WIN, STRIDE, *aggs), "mean", "sd")
+
+
+@query(f"WITH {WINDOWS} SELECT user_id, CAST(k AS BIGINT) AS k, round(avg(sqrt(value * value + k2 * k2)), 6) AS energy FROM w GROUP BY user_id, k HAVING count(*) = 16")
+def motion_energy(spark, sf_dir):
+    return _round(windows.sliding_windows(samples(spark, sf_dir), "user_id", WIN, STRIDE, F.avg(stats.magnitude(F.col("value"), F.col("k2"))).alias("energy")), "energy")
+
+
+@query(f"WITH {SAMPLES} SELECT user_id, CAST(min(i) AS BIGINT) AS impact FROM (SELECT *, max(abs(value)) OVER (PARTITION BY user_id) AS top FROM x) WHERE abs(value) = top GROUP BY user_id")
+def impact_index(spark, sf_dir):
+    return stats.impact_index(samples(spark, sf_dir), "user_id", F.abs("value"))
+
+
+OVERLAP = SAMPLES + """, imp AS (SELECT user_id, min(i) AS impact, max(n) AS n FROM (SELECT *, max(abs(value)) OVER (PARTITION BY user_id) AS top, count(*) OVER (PARTITION BY user_id) AS n FROM x) WHERE abs(value) = top GROUP BY user_id HAVING max(n) >= 16),
+ b AS (SELECT user_id, impact - 2 AS s, impact + 3 AS e, unnest(generate_series(0, (n - 16) // 8)) AS k FROM imp),
+ o AS (SELECT user_id, k, CAST(greatest(least(k * 8 + 16, e) - greatest(k * 8, s), 0) AS DOUBLE) AS shared FROM b)"""
+
+
+def _overlaps(spark, sf_dir, relative_to):
+    x = samples(spark, sf_dir)
+    n = x.groupBy("user_id").agg(F.count("*").alias("n"))
+    b = windows.window_bounds(n, "n", WIN, STRIDE).join(stats.impact_index(x, "user_id", F.abs("value")), "user_id")
+    f = windows.overlap_fraction(F.col("start"), F.col("end"), F.col("impact") - 2, F.col("impact") + 3, relative_to)
+    return b.select("user_id", "k", f.alias("fraction"))
+
+
+@query(f"WITH {OVERLAP} SELECT user_id, CAST(k AS BIGINT) AS k, shared / 16 AS fraction FROM o")
+def overlap_fraction_window(spark, sf_dir):
+    return _overlaps(spark, sf_dir, "window")
+
+
+@query(f"WITH {OVERLAP} SELECT user_id, CAST(k AS BIGINT) AS k, shared / 5 AS fraction FROM o")
+def overlap_fraction_event(spark, sf_dir):
+    return _overlaps(spark, sf_dir, "event")
+
+
+@query(f"WITH {OVERLAP} SELECT user_id, CAST(k AS BIGINT) AS k, CAST(CASE WHEN shared / 5 <= 0 THEN 0 WHEN shared / 5 >= 0.8 THEN 1 ELSE -1 END AS INTEGER) AS label FROM o")
+def label_by_overlap(spark, sf_dir):
+    return _overlaps(spark, sf_dir, "event").select("user_id", "k", windows.label_by_overlap(F.col("fraction")).alias("label"))
+
+
+@query(f"WITH {SAMPLES}, n AS (SELECT user_id, i, value AS b, coalesce(lag(value) OVER u, value) AS a, coalesce(lead(value) OVER u, value) AS c FROM x WINDOW u AS (PARTITION BY user_id ORDER BY i)) SELECT user_id, CAST(i AS BIGINT) AS i, greatest(least(a, b), least(greatest(a, b), c)) AS median FROM n")
+def median3_denoise(spark, sf_dir):
+    return signal.median3(samples(spark, sf_dir), "user_id", "value", "median").select("user_id", "i", "median")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 32 / 8192 AS g FROM lineitem")
+def adc_to_units(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", arrays.adc_to_units(F.col("l_quantity"), 16, 13).alias("g"))
+
+
+CH = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MELT = "m AS (UNPIVOT lineitem ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME channel VALUE v)"
+
+
+@query(f"WITH {MELT} SELECT channel, round(avg(v), 6) AS mean, round(stddev_pop(v) + 1e-6, 6) AS std FROM m GROUP BY channel")
+def channel_stats(spark, sf_dir):
+    return _round(stats.channel_stats(_table(spark, sf_dir, "lineitem"), CH), "mean", "std")
+
+
+@query("WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) + 1e-6 AS s FROM lineitem) SELECT l_orderkey, l_linenumber, round((l_quantity - m) / s, 6) AS z FROM lineitem, s")
+def normalize(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("z"))
+    s = stats.channel_stats(rows, ["z"]).first()  # frozen statistics: one row
+    return _round(stats.normalise(rows, {"z": (s["mean"], s["std"])}), "z")
+
+
+@query(f"WITH {MELT}, s AS (SELECT l_returnflag, channel, stddev_pop(v) AS sd FROM m GROUP BY 1, 2) SELECT channel, round(max(sd) / greatest(min(sd), 1e-9), 6) AS ratio, max(sd) / greatest(min(sd), 1e-9) < 3 AS ok FROM s GROUP BY channel")
+def harmonization_gate(spark, sf_dir):
+    return _round(stats.harmonisation(_table(spark, sf_dir, "lineitem"), "l_returnflag", CH), "ratio")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS subjects FROM events GROUP BY event_type")
+def summary_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("subjects"))
+
+
+SPLIT = """u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, row_number() OVER (ORDER BY md5('42|' || user_id), user_id) AS r, count(*) OVER () AS n FROM u),
+ c AS (SELECT *, least(greatest(1, round_even(0.7 * n, 0)), n - 2) AS tr FROM r), d AS (SELECT *, least(greatest(1, round_even(0.15 * n, 0)), n - tr - 1) AS va FROM c),
+ s AS (SELECT user_id, CASE WHEN r <= tr THEN 'train' WHEN r <= tr + va THEN 'val' ELSE 'test' END AS split FROM d)"""
+
+
+@query(f"WITH {SPLIT} SELECT user_id, split FROM s")
+def subject_split_hash(spark, sf_dir):
+    return splits.subject_split(_table(spark, sf_dir, "events"), "user_id")
+
+
+@query(f"WITH {SPLIT} SELECT split, count(DISTINCT user_id) AS subjects, count(*) AS windows FROM events JOIN s USING (user_id) GROUP BY split")
+def split_describe(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id")
+    return splits.describe(e, splits.subject_split(e, "user_id"), "user_id")
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS splits FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
+def split_leaks(spark, sf_dir):
+    return splits.leaks(_table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("split")), "user_id")
+
+
+@query("SELECT user_id AS held, (SELECT count(*) FROM events) - count(*) AS n_train, count(*) AS n_test FROM events GROUP BY user_id")
+def loso_folds(spark, sf_dir):
+    return splits.loso_folds(_table(spark, sf_dir, "events"), "user_id")
+
+
+@query("""WITH u AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag <> 'A'), r AS (SELECT l_suppkey, row_number() OVER (ORDER BY md5('42|' || l_suppkey), l_suppkey) AS r, count(*) OVER () AS n FROM u),
+ l AS (SELECT l_returnflag, CASE WHEN l_returnflag = 'A' THEN 'test' WHEN r <= least(greatest(1, round_even(0.15 * n, 0)), n - 1) THEN 'val' ELSE 'train' END AS split FROM lineitem LEFT JOIN r USING (l_suppkey)) SELECT l_returnflag, split, count(*) AS n FROM l GROUP BY 1, 2""")
+def leave_dataset_out(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag")
+    return splits.leave_dataset_out(rows, "l_returnflag", "A", "l_suppkey").groupBy("l_returnflag", "split").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS r, greatest(1, 128 // (SELECT count(DISTINCT label) FROM embeddings)) AS per FROM embeddings)
+ SELECT vec_id, label FROM r WHERE r <= per ORDER BY md5('42|' || vec_id), vec_id LIMIT 128""")
+def stratified_sample(spark, sf_dir):
+    return splits.stratified_sample(_table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label", 128)
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 64")
+def uniform_sample(spark, sf_dir):
+    return splits.uniform_sample(_table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 64)
+
+
+WEIGHTS = "s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), w AS (SELECT label, sum(n) OVER () / (count(*) OVER () * n) AS w FROM s)"
+
+
+@query(f"WITH {WEIGHTS} SELECT CAST(c AS INTEGER) AS label, round(coalesce(w / (SELECT avg(w) FROM w), 0), 6) AS weight FROM range(12) t(c) LEFT JOIN w ON label = c")
+def class_weights(spark, sf_dir):
+    return _round(metrics.class_weights(_table(spark, sf_dir, "embeddings"), "label", 12), "weight")
+
+
+@query(f"WITH {WEIGHTS} SELECT CAST(c AS INTEGER) AS label, round(coalesce(w, 0), 6) AS weight FROM range(12) t(c) LEFT JOIN w ON label = c")
+def class_weights_legacy(spark, sf_dir):
+    return _round(metrics.class_weights(_table(spark, sf_dir, "embeddings"), "label", 12, legacy=True), "weight")
+
+
+@query("SELECT c * (SELECT count(*) FROM embeddings) + vec_id AS vec_id, CAST(c AS INTEGER) AS copy, label FROM embeddings, range(3) t(c)")
+def expand_copies(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return splits.expand(rows, 2, "vec_id", rows.count())
+
+
+def _vec(spark, sf_dir, n):
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, n), lambda v: v.cast("double")).alias("e"))
+
+
+@query("WITH p AS (SELECT vec_id, list_transform(embedding[1:3], lambda v: CAST(v AS DOUBLE)) AS e, (vec_id % 360) * pi() / 180 AS a FROM embeddings) SELECT vec_id, round(cos(a) * e[1] - sin(a) * e[2], 6) AS x, round(sin(a) * e[1] + cos(a) * e[2], 6) AS y, round(e[3], 6) AS z FROM p")
+def rotate_triads(spark, sf_dir):
+    v = _vec(spark, sf_dir, 3)
+    r = arrays.rotation(F.lit(0.0), F.lit(0.0), F.lit(1.0), (F.col("vec_id") % 360) * F.pi() / 180)
+    x, y, z = arrays.rotate(r, *[F.col("e")[i] for i in range(3)])
+    return _round(v.select("vec_id", x.alias("x"), y.alias("y"), z.alias("z")), "x", "y", "z")
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS e, 0.85 + (vec_id % 31) / 100.0 AS r FROM embeddings),
+ s AS (SELECT vec_id, e, t, least(greatest((t - 7.5) * r + 7.5, 0), 15) AS src FROM p, range(16) g(t))
+ SELECT vec_id, CAST(t AS INTEGER) AS t, round(e[CAST(floor(src) AS INTEGER) + 1] + (e[least(CAST(floor(src) AS INTEGER) + 1, 15) + 1] - e[CAST(floor(src) AS INTEGER) + 1]) * (src - floor(src)), 5) AS v FROM s""")
+def time_warp(spark, sf_dir):
+    ratio = F.lit(0.85) + (F.col("vec_id") % 31) / F.lit(100.0)
+    v = _vec(spark, sf_dir, 16).withColumn("w", arrays.time_warp(F.col("e"), 16, ratio))
+    return _round(v.select("vec_id", F.posexplode("w").alias("t", "v")), "v", digits=5)
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * (1 + (vec_id % 7) / 10.0), 6) AS a, round(CAST(embedding[2] AS DOUBLE) * (1 + (vec_id % 5) / 10.0), 6) AS b FROM embeddings")
+def scale_channels(spark, sf_dir):
+    gains = F.array(1 + (F.col("vec_id") % 7) / F.lit(10.0), 1 + (F.col("vec_id") % 5) / F.lit(10.0))
+    v = _vec(spark, sf_dir, 2).withColumn("s", arrays.scale(F.col("e"), gains))
+    return _round(v.select("vec_id", F.col("s")[0].alias("a"), F.col("s")[1].alias("b")), "a", "b")
+
+
+@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, (vec_id % 3) / 10.0 < 0.15 AS da, (vec_id % 4) / 10.0 < 0.15 AS db, vec_id % 2 AS keep FROM embeddings)
+ SELECT vec_id, round(CASE WHEN da AND NOT (db AND keep = 0) THEN 0 ELSE a END, 6) AS a, round(CASE WHEN db AND NOT (da AND keep = 1) THEN 0 ELSE b END, 6) AS b FROM p""")
+def channel_dropout(spark, sf_dir):
+    draws = F.array((F.col("vec_id") % 3) / F.lit(10.0), (F.col("vec_id") % 4) / F.lit(10.0))
+    v = _vec(spark, sf_dir, 2).withColumn("s", arrays.channel_dropout(F.col("e"), draws, 0.15, (F.col("vec_id") % 2).cast("int")))
+    return _round(v.select("vec_id", (F.col("s")[0] + 0.0).alias("a"), (F.col("s")[1] + 0.0).alias("b")), "a", "b")
+
+
+SOFT = "p AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda v: exp(CAST(v AS DOUBLE))) AS e FROM embeddings), q AS (SELECT vec_id, label, list_transform(e, lambda v: v / list_sum(e)) AS p FROM p)"
+
+
+@query(f"WITH {SOFT} SELECT vec_id, round(-list_sum(list_transform(p, lambda v: v * ln(v))) / ln(6), 6) AS entropy FROM q")
+def entropy(spark, sf_dir):
+    v = _vec(spark, sf_dir, 6).withColumn("p", arrays.softmax(F.col("e")))
+    return _round(v.select("vec_id", arrays.entropy(F.col("p"), 6).alias("entropy")), "entropy")
+
+
+@query("WITH e AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.i = b.i THEN 0.001 ELSE 0 END, 6) AS cov FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i")
+def covariance_pairs(spark, sf_dir):
+    return _round(scoring.covariance_pairs(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "cov").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "cov")
+
+
+@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT avg(x) AS mx, avg(y) AS my, covar_samp(x, x) + 0.001 AS a, covar_samp(x, y) AS b, covar_samp(y, y) + 0.001 AS c FROM p)
+ SELECT vec_id, round(sqrt((c * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * c - b * b)), 6) AS distance FROM p, s""")
+def mahalanobis_2d(spark, sf_dir):
+    v = _vec(spark, sf_dir, 2)
+    m = scoring.Mahalanobis.fit(v, "e")
+    return _round(v.select("vec_id", arrays.quadratic_form(F.col("e"), m.mean.tolist(), m.precision.tolist()).alias("distance")), "distance")
+
+
+@query()
+def mahalanobis_64d(spark, sf_dir):
+    v = _vec(spark, sf_dir, 64)
+    return scoring.Mahalanobis.fit(v, "e").score(v, "e").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT round(quantile_cont(value, 0.99), 6) AS threshold FROM events")
+def percentile_threshold(spark, sf_dir):
+    return _round(metrics.percentile_threshold(_table(spark, sf_dir, "events"), "value", 99), "threshold")
+
+
+FARS = "f AS (SELECT unnest([6.0, 30.0, 60.0, 300.0])::DOUBLE AS far)"
+
+
+@query(f"WITH {FARS}, t AS (SELECT far, (SELECT quantile_cont(value, 1 - 6 / 2812.5) FROM events WHERE event_type <> 'error') AS t6 FROM f), r AS (SELECT far, CASE far WHEN 6 THEN t6 WHEN 30 THEN (SELECT quantile_cont(value, 1 - 30 / 2812.5) FROM events WHERE event_type <> 'error') WHEN 60 THEN (SELECT quantile_cont(value, 1 - 60 / 2812.5) FROM events WHERE event_type <> 'error') ELSE (SELECT quantile_cont(value, 1 - 300 / 2812.5) FROM events WHERE event_type <> 'error') END AS t FROM t) SELECT far AS target_far, round(t, 6) AS threshold, round(avg(CASE WHEN value > t THEN 1.0 ELSE 0 END) FILTER (event_type = 'error'), 6) AS recall, round(avg(CASE WHEN value > t THEN 1.0 ELSE 0 END) FILTER (event_type <> 'error') * 2812.5, 6) AS achieved_far FROM events, r GROUP BY far, t")
+def recall_at_far(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("value", (F.col("event_type") == "error").alias("is_pos"))
+    return _round(metrics.recall_at_far(e, "value", "is_pos", [6.0, 30.0, 60.0, 300.0], HOP), "threshold", "recall", "achieved_far")
+
+
+def _scored(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(F.floor("value").alias("s"), (F.col("event_type") == "error").alias("is_pos"))
+
+
+@query("""WITH s AS (SELECT floor(value) AS s, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS p, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS n FROM events GROUP BY 1),
+ c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) SELECT round(CAST(sum(p * (below + 0.5 * n)) AS DOUBLE) / (sum(p) * sum(n)), 9) AS auroc FROM c""")
+def auroc(spark, sf_dir):
+    return _round(metrics.auroc(_scored(spark, sf_dir), "s", "is_pos"), "auroc", digits=9)
+
+
+@query("""WITH r AS (SELECT event_type = 'error' AS p, row_number() OVER (ORDER BY floor(value) DESC, event_type = 'error', event_id) AS rk FROM events), t AS (SELECT p, rk, sum(CAST(p AS INTEGER)) OVER (ORDER BY rk) AS tp FROM r) SELECT round(avg(tp / rk), 9) AS auprc FROM t WHERE p""")
+def auprc(spark, sf_dir):
+    return _round(metrics.auprc(_scored(spark, sf_dir), "s", "is_pos"), "auprc", digits=9)
+
+
+def _predicted(spark, sf_dir):
+    v = _vec(spark, sf_dir, 10)
+    coarse = F.transform("e", lambda x: F.round(x * 4))
+    return v.select("vec_id", "label", metrics.argmax(F.col("e")).alias("a"), metrics.argmax(coarse).alias("b"))
+
+
+@query(f"WITH {PRED} SELECT label, CAST(a AS INTEGER) AS a, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM q GROUP BY label, a")
+def confusion_matrix(spark, sf_dir):
+    return _round(metrics.confusion(_predicted(spark, sf_dir), "label", "a"), "share")
+
+
+PER = "t AS (SELECT label AS l, count(*) AS t, sum(CAST(label = a AS INTEGER)) AS h FROM q GROUP BY 1), d AS (SELECT a AS l, count(*) AS p FROM q GROUP BY 1), c AS (SELECT coalesce(t.l, d.l) AS l, coalesce(t, 0) AS t, coalesce(p, 0) AS p, coalesce(h, 0) AS h FROM t FULL JOIN d ON t.l = d.l)"
+
+
+@query(f"WITH {PRED}, {PER} SELECT CAST(l AS INTEGER) AS label, CAST(t AS BIGINT) AS support, round(CASE WHEN p > 0 THEN h / p ELSE 0 END, 6) AS precision, round(CASE WHEN t > 0 THEN h / t ELSE 0 END, 6) AS recall, round(2 * h / (t + p), 6) AS f1 FROM c")
+def classification_report(spark, sf_dir):
+    return _round(metrics.per_class(_predicted(spark, sf_dir), "label", "a"), "precision", "recall", "f1")
+
+
+@query(f"WITH {PRED}, {PER} SELECT round(avg(2 * h / (t + p)), 6) AS macro_f1 FROM c WHERE t > 0")
+def macro_f1_present(spark, sf_dir):
+    return _round(metrics.macro_f1(_predicted(spark, sf_dir), "label", "a", present_only=True), "macro_f1")
+
+
+@query(f"WITH {PRED}, {PER} SELECT round(avg(2 * h / (t + p)), 6) AS macro_f1 FROM c")
+def macro_f1_union(spark, sf_dir):
+    return _round(metrics.macro_f1(_predicted(spark, sf_dir), "label", "a"), "macro_f1")
+
+
+@query(f"WITH {PRED} SELECT round(avg(CAST(a = label AS INTEGER)), 6) AS float_accuracy, round(avg(CAST(b = label AS INTEGER)), 6) AS int8_accuracy, round(avg(CAST(b = label AS INTEGER)) - avg(CAST(a = label AS INTEGER)), 6) AS delta, round(avg(CAST(a = b AS INTEGER)), 6) AS agreement FROM q")
+def accuracy_delta(spark, sf_dir):
+    return _round(metrics.agreement(_predicted(spark, sf_dir), "label", "a", "b"), "float_accuracy", "int8_accuracy", "delta", "agreement")
+
+
+@query(f"WITH {SOFT} SELECT round(avg(-ln(p[label + 1])), 6) AS loss FROM q WHERE label < 6")
+def masked_ce(spark, sf_dir):
+    v = _vec(spark, sf_dir, 6).select(arrays.softmax(F.col("e")).alias("p"), F.when(F.col("label") < 6, F.col("label")).otherwise(-1).alias("y"))
+    return _round(metrics.masked_ce(v, "p", "y"), "loss")
+
+
+@query("WITH p AS (SELECT 1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))) AS p, label % 3 - 1 AS y FROM embeddings) SELECT round(sum((1 + 2 * y) * -(y * ln(p) + (1 - y) * ln(1 - p))) / sum(1 + 2 * y), 6) AS loss FROM p WHERE y >= 0")
+def masked_bce(spark, sf_dir):
+    v = _vec(spark, sf_dir, 1).select((1 / (1 + F.exp(-F.col("e")[0]))).alias("p"), (F.col("label") % 3 - 1).alias("y"))
+    return _round(metrics.masked_bce(v, "p", "y", 3.0), "loss")
+
+
+@query("WITH v AS (SELECT vec_id, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), q AS (SELECT *, CAST(least(greatest(round_even(x / 0.03125 + 3, 0), -128), 127) AS INTEGER) AS q FROM v) SELECT vec_id, CAST(d AS INTEGER) AS d, q, (q - 3) * 0.03125::DOUBLE AS back FROM q")
+def quantize_dequantize(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("d", "x"))
+    q = v.select("vec_id", "d", arrays.quantise(F.col("x").cast("double"), 0.03125, 3).alias("q"))
+    return q.withColumn("back", arrays.dequantise(F.col("q"), 0.03125, 3))
+
+
+LONG = "v AS (SELECT label, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+
+
+def _long(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "f")).select("label", "d", F.col("f").cast("double").alias("x"))
+
+
+@query(f"WITH {LONG}, r AS (SELECT CAST(d AS INTEGER) AS d, quantile_cont(abs(x), 0.5) AS p50, quantile_cont(abs(x), 0.99) AS p99, quantile_cont(abs(x), 0.999) AS p999, max(abs(x)) AS mx FROM v GROUP BY d) SELECT d, round(p50, 6) AS p50, round(p99, 6) AS p99, round(p999, 6) AS p999, round(mx, 6) AS max, round(mx / p999, 6) AS ratio, round(127 * p99 / mx, 6) AS levels, 127 * p99 / mx < 32 AS flagged FROM r")
+def activation_ranges(spark, sf_dir):
+    return _round(quant.activation_ranges(_long(spark, sf_dir), "d", "x"), "p50", "p99", "p999", "max", "ratio", "levels")
+
+
+@query(f"WITH {LONG}, c AS (SELECT label, d, greatest(max(abs(x)), 1e-12) AS t, quantile_cont(abs(x), 0.99) AS p FROM v GROUP BY 1, 2) SELECT label, round(max(t) / min(t), 6) AS spread, round(min(127 * p / t), 6) AS in_channel FROM c GROUP BY label")
+def weight_ranges(spark, sf_dir):
+    return _round(quant.weight_ranges(_long(spark, sf_dir), "label", "d", "x"), "spread", "in_channel")
+
+
+@query(f"WITH {WINDOWS}, e AS (SELECT user_id % 3 AS g, avg(abs(value)) AS energy FROM w GROUP BY user_id, k HAVING count(*) = 16) SELECT g, round(quantile_cont(energy, 0.25), 6) AS q1, round(quantile_cont(energy, 0.5), 6) AS q2, round(quantile_cont(energy, 0.75), 6) AS q3 FROM e GROUP BY g")
+def boxplot_energy(spark, sf_dir):
+    e = _energies(spark, sf_dir).groupBy((F.col("user_id") % 3).alias("g")).agg(F.percentile("energy", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return _round(e.select("g", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3")), "q1", "q2", "q3")
+
+
+@query("WITH r AS (SELECT event_type, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM events GROUP BY 1) SELECT event_type, CAST(least(floor((value - lo) / (hi - lo) * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM events JOIN r USING (event_type) WHERE value BETWEEN lo AND hi GROUP BY 1, 2")
+def histogram_channels(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_type", "value")
+    r = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.005), F.lit(0.995))).alias("q"))
+    j = e.join(F.broadcast(r), "event_type").where(F.col("value").between(F.col("q")[0], F.col("q")[1]))  # one row an event type
+    return j.groupBy("event_type", F.least(F.floor((F.col("value") - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0]) * 20), F.lit(19)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'output resolution'), ('b', 'calibration'), ('c', 'mostly output'), ('d', 'weights')) t(run, verdict)")
+def diagnose_verdict(spark, sf_dir):
+    rows = spark.createDataFrame([("a", -0.01, 0.0, 0.0), ("b", -0.1, 0.05, 0.0), ("c", -0.1, 0.0, 0.05), ("d", -0.1, 0.0, 0.0)], "run string, float_out_delta double, sweep_gain double, float_out_gain double")
+    return quant.diagnose(rows).select("run", "verdict")
+
+
+@query("SELECT * FROM (VALUES ('ADD', 'accelerated'), ('PACK', 'slow'), ('ZZZ', 'unmapped')) t(op, status)")
+def op_check(spark, sf_dir):
+    from ..sources.firmware import RESOLVER_METHODS, SLOW
+
+    known = spark.createDataFrame([(o, o not in SLOW) for o in RESOLVER_METHODS], "op string, accelerated boolean")
+    return quant.op_check(spark.createDataFrame([("ADD",), ("PACK",), ("ZZZ",), ("DELEGATE",), ("ADD",)], "op string"), known)
+
+
+@query()
+def resample_poly(spark, sf_dir):
+    return signal.resample(samples(spark, sf_dir), "user_id", "value", 100, 50)
+
+
+@query()
+def gravity_split(spark, sf_dir):
+    return signal.gravity_split(samples(spark, sf_dir), "user_id", "value", 50)
+
+
+@query()
+def denoise_lowpass(spark, sf_dir):
+    return signal.denoise(samples(spark, sf_dir), "user_id", "value", 50)
+
+
+@query()
+def augmented_windows(spark, sf_dir):
+    e = samples(spark, sf_dir).withColumns({c: F.col("value") * (j + 1) / 6 for j, c in enumerate(("c0", "c1", "c2", "c3", "c4", "c5"))})
+    w = windows.window_arrays(e, "user_id", ["c0", "c1", "c2", "c3", "c4", "c5"], WIN, STRIDE)
+    keyed = w.withColumn("window_id", F.col("user_id") * 1000 + F.col("k"))
+    apply = augment.augmenter(180, 0.1, 0.15, 0.1, 0.02)
+    return augment.expand_augmented(keyed.select("window_id", "X"), 1, "window_id", 1 << 40, apply)
+
+
+@query(f"WITH {WINDOWS} SELECT user_id, CAST(k AS BIGINT) AS k, round(avg(value), 6) AS mean, round(avg(abs(value)), 6) AS energy FROM w GROUP BY user_id, k HAVING count(*) = 16")
+def stream_windows(spark, sf_dir):
+    """The streaming operator over the whole table, read as a stream and written to a table."""
+    import uuid
+
+    from ..streaming.windows import stream_windows as windowed
+
+    name = f"stream_{uuid.uuid4().hex[:8]}"
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/strideframe"
+    out, state = f"{root}/{name}-out", f"{root}/{name}-state"
+    run = windowed(stream.select("user_id", "ts", "event_id", "value").withColumn("o", F.struct("ts", "event_id")).drop("ts", "event_id").withColumn("o", F.to_json("o")), "user_id", "o", "value", WIN, STRIDE).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _round(spark.read.parquet(out), "mean", "energy")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
