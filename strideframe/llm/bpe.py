@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import begin, holds, slices
 
 #: Pre-tokens whose ids one worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 150_000
 #: Cells of one padded matrix.
 CELLS = 1 << 21
 NONE = np.int32(1 << 30)
@@ -198,12 +198,15 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
+holds("bpe", coder.cache_clear)
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``, the token ids of ``text`` (null text: empty list). A column named ``ids`` is replaced."""
     docs = docs.drop(ids)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         bpe = coder(path, pattern)
         for whole in batches:
             for b in slices(whole, text, 2 << 20):
@@ -220,6 +223,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         bpe = coder(path, pattern)
         for b in batches:
             col = pa.array([None if x is None else bpe.decode(x.tolist()) for x in (s.values.to_numpy() if s.is_valid else None for s in b.column(ids))], pa.binary())

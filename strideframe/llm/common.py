@@ -7,9 +7,11 @@ costs a task, never a result.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,9 @@ from ..shipping import ship
 
 #: Upper bounds of one Arrow batch that reaches a Python worker.
 BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes of text that a kernel handles at once; its arrays take some ten times eight bytes for each.
+SLICE_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -32,6 +36,40 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def holds(name: str, drop: Callable[[], None]) -> None:
+    """Tell that the operator ``name`` keeps something between tasks of one worker, and how to drop it."""
+    _held[name] = drop
+
+
+def begin(name: str) -> None:
+    """Called as a task of the operator ``name`` begins: what others kept in this worker goes back to the system.
+
+    Large blocks are mapped and unmapped one by one from then on, so that a
+    worker that lives through several operators isn't as large as all of them.
+    """
+    libc = _libc()
+    if libc is not None and hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+    for other, drop in _held.items():
+        if other != name:
+            drop()
+    gc.collect()
+    if libc is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +104,7 @@ def sha_hex(col: Column) -> Column:
     return F.sha2(col, 256)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of one slice stay below ``limit`` bytes (or are one row)."""
     if not batch.num_rows:
         return

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slices
+from .common import begin, holds, materialise, release, slices
 from .textkit import prefix_hash, range_hash
 
 #: Bounds of the training sample: about this many documents, and at most so many distinct words, a language.
 SAMPLE_DOCS = 1_000
 SAMPLE_WORDS = 40_000
 ROUNDS = 3
-MEMO = 600_000
+MEMO = 200_000
 UNKNOWN = -14.0  # log probability of a character that no piece covers, in any language
 FLOOR = 1e-7
 MAX_PIECE = 12
@@ -222,6 +222,7 @@ def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_wor
 
 
 _models: dict[str, LanguageModel] = {}
+holds("langid", _models.clear)
 
 
 def _labelled(docs: DataFrame, model: LanguageModel, emit, schema) -> DataFrame:
@@ -229,6 +230,7 @@ def _labelled(docs: DataFrame, model: LanguageModel, emit, schema) -> DataFrame:
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages: bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         if key not in _models:
             _models.clear()
             _models[key] = shared.value

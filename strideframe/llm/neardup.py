@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slices, text_bytes
+from .common import begin, materialise, release, slices, text_bytes
 from .graph import components
 from .textkit import mix, shingles, word_hashes
 
@@ -41,7 +41,7 @@ BAND_ROWS = 4
 #: Standard errors that an estimate may fall below the threshold before a pair is discarded.
 SLACK = 6.0
 #: Sets of one side of a block that is compared with another block of the same group.
-BLOCK = 256
+BLOCK = 128
 #: Ids (8 bytes each) up to which a filter on them is broadcast.
 BROADCAST_IDS = 500_000
 
@@ -92,15 +92,24 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return np.clip((same / a.shape[1] - chance) / (1 - chance), 0, 1), size
 
 
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, a bounded number of bytes at a time."""
+    out = []
+    for b in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        data, offs = text_bytes(b.column("text"))
+        h, _, _, first = word_hashes(data, offs)
+        out += [np.unique(shingles(h[first[d] : first[d + 1]], n)) for d in range(b.num_rows)]
+    return out
+
+
 def sketches(items: DataFrame, n: int, rows: int = BAND_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """id, size, sig_a, sig_b (sums that name the set), bands, regs for items (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         for whole in batches:
             for b in slices(whole, "text"):
-                data, offs = text_bytes(b.column("text"))
-                h, _, _, first = word_hashes(data, offs)
-                sets = [np.unique(shingles(h[first[d] : first[d + 1]], n)) for d in range(b.num_rows)]
+                sets = shingle_sets(b.column("text"), n)
                 size = np.array([len(s) for s in sets], np.int64)
                 sig = np.array([[s.sum(dtype=U), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)] for s in sets], U)
                 regs = registers(sets)[:, :buckets]
@@ -134,6 +143,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
     both = hopeful.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         memo: dict[int, np.ndarray] = {}  # of the sides that repeat; bounded by its bytes
 
         def sets(ids: list, col: pa.Array) -> list[np.ndarray]:
@@ -141,11 +151,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
                 memo.clear()
             new = [i for i, k in enumerate(ids) if k not in memo]
             if new:
-                data, offs = text_bytes(col.take(pa.array(new)))
-                h, _, _, first = word_hashes(data, offs)
-                for d, i in enumerate(new):
-                    if ids[i] not in memo:
-                        memo[ids[i]] = np.unique(shingles(h[first[d] : first[d + 1]], n))
+                memo.update(zip((ids[i] for i in new), shingle_sets(col.take(pa.array(new)), n), strict=True))
             return [memo[k] for k in ids]
 
         for whole in batches:
@@ -224,11 +230,10 @@ def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
     text = _involved(items.select("id", "text"), still.select(F.col("id").alias("a"), F.col("id").alias("b")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                data, offs = text_bytes(b.column("text"))
-                h, _, _, first = word_hashes(data, offs)
-                sets = [np.unique(shingles(h[first[d] : first[d + 1]], n)) for d in range(b.num_rows)]
+                sets = shingle_sets(b.column("text"), n)
                 owner = np.repeat(b.column("id").to_numpy(), [len(x) for x in sets])
                 of = np.repeat(b.column("component").to_numpy(), [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(of), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "h"])
@@ -267,12 +272,11 @@ def _compared(still: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
     dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
+        begin("text")
         part = part.drop_duplicates("id")
         out: list[tuple[int, int]] = []
         if part["component"].nunique() > 1:
-            data, offs = text_bytes(pa.array(part["text"].tolist(), pa.string()))
-            h, _, _, start = word_hashes(data, offs)
-            sets = [np.unique(shingles(h[start[d] : start[d + 1]], n)) for d in range(len(part))]
+            sets = shingle_sets(pa.array(part["text"].tolist(), pa.string()), n)
             size = np.array([len(x) for x in sets], np.int64)
             of = np.repeat(np.arange(len(sets)), size)
             _, column = np.unique(np.concatenate(sets), return_inverse=True)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .common import materialise, release, shared_dir, slices, text_bytes
+from .common import begin, holds, materialise, release, shared_dir, slices, text_bytes
 from .eliasfano import EliasFano, encode
 from .textkit import word_hashes
 
@@ -70,6 +70,9 @@ def _segment(uri: str) -> dict:
     return parts | ef
 
 
+holds("ngram", _segment.cache_clear)
+
+
 class Table:
     """Monotone keys in segments with a value each; segments: (first key, first index, place)."""
 
@@ -256,6 +259,7 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
     """key, n: how often each key that ``keys_of(hashes, starts)`` gives occurs in ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram")
         held, size = [], 0
         for whole in batches:
             for b in slices(whole, "text"):

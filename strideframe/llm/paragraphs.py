@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lookup
-from .common import materialise, release, slices, text_bytes
+from .common import begin, materialise, release, slices, text_bytes
 from .neardup import cluster
 from .repeats import merged
 from .textkit import mix, prefix_hash, range_hash, word_hashes
@@ -87,8 +87,9 @@ def repeated_blocks(docs: DataFrame) -> DataFrame:
     """key (block hash), doc (row key) and start of the first of the blocks that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text"):
                 d, start, _, _, _, _, key = _blocks(*text_bytes(b.column("text")))
                 ids = b.column("doc_id").take(pa.array(d))
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(b.column("key").to_numpy()[d]), pa.array(start)], names=["key", "doc_id", "doc", "start"])
@@ -109,8 +110,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     numbered = keyed.withColumn("lines", F.transform(F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1), lambda i: _line_id(F.col("key"), i)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text"):
                 yield cut(b)
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lookup
-from .common import materialise, release, slices, text_bytes
+from .common import begin, materialise, release, slices, text_bytes
 from .textkit import mix, prefix_hash, range_hash
 
 U = np.uint64
@@ -129,8 +129,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     """key, lo, hi: byte ranges of strings that also start elsewhere; ``docs`` has key and text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text"):
                 anchor, span, doc, lo, n, off = spans(*text_bytes(b.column("text")), length)
                 cols = [anchor.view(np.int64), span.view(np.int64), b.column("key").to_numpy()[doc], lo, n, off]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "span", "key", "lo", "n", "off"])
@@ -154,9 +155,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     table = lookup.save(listed, "lo")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         names = ["anchor", "times", "lo", "n", "hot"]
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text"):
                 data, offs = text_bytes(b.column("text"))
                 raw, keys = data.tobytes(), b.column("key").to_numpy()
                 for i, seg, x, y in table.ranges(keys):
@@ -168,6 +170,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     found = materialise(found, "contexts")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         held, size = [], 0
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "key", "times", "lo", "n", "ctx")), strict=True):
@@ -233,8 +236,9 @@ def removed(docs: DataFrame, table: lookup.Lookup, keep: tuple[str, ...] = ("doc
     """``keep``, n_bytes, n_removed, n_spans, kept (bytes) for documents with key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text"):
                 data, offs = text_bytes(b.column("text"))
                 raw, rows = data.tobytes(), b.num_rows
                 gone, n_spans = np.zeros(rows, np.int64), np.zeros(rows, np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import begin, holds, slices
 
 #: Characters: texts up to HUGE are encoded at once; longer ones in chunks that overlap.
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 512
@@ -44,6 +44,9 @@ def library(path: str):
     return t
 
 
+holds("tokencount", library.cache_clear)
+
+
 def stable(text: str, lo: int, hi: int) -> Iterator[int]:
     """Positions in (lo, hi) from the middle outwards where white space follows a non-space."""
     mid = (lo + hi) // 2
@@ -94,6 +97,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     """doc_id, n_bytes, n_tokens, over_limit: one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokencount")
         tok = library(path)
         for whole in batches:
             for b in slices(whole, text, 1 << 20):
