@@ -3,8 +3,8 @@
 Lines of at least LINE_WORDS words are compared by banded MinHash tuned for recall,
 confirmed on their full sets of five-word shingles (Jaccard 0.8), and joined to
 components. So that a passage inside a longer paragraph is found too, lines are
-also cut into sentence blocks at ends that the text itself chooses (a hash of the
-word that ends the sentence); equal blocks form classes. Of each component or
+also cut into blocks where the text itself says so (sentence ends, and one word in
+32 by its hash, for prose without stops); equal blocks form classes. Of each component or
 class the first member, by document and place, stays; the others are
 removed where they make up a stretch of at least STRETCH words.
 
@@ -45,7 +45,7 @@ def _blocks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, start)
-    stop = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) & (h & U(1) == 0)
+    stop = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) | (h & U(31) == 0)
     new = np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]) | stop[:-1]]
     a = np.flatnonzero(new)
     b = np.r_[a[1:], len(h)]
