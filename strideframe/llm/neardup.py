@@ -50,8 +50,8 @@ BROADCAST_IDS = 500_000
 DONORS = np.stack([np.r_[j, np.random.default_rng(j).permutation(BUCKETS)] for j in range(BUCKETS)])
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """HyperMinHash registers (sets x BUCKETS) of sorted distinct hashes; 0: empty bucket."""
+def registers(sets: list[np.ndarray], first: int = BUCKETS) -> np.ndarray:
+    """HyperMinHash registers (sets x the ``first`` of BUCKETS) of sorted distinct hashes; 0: empty set."""
     rest = 64 - BUCKET_BITS
     edges = np.arange(BUCKETS, dtype=U) << U(rest)
     low = np.zeros((len(sets), BUCKETS), U)
@@ -67,9 +67,10 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     shifted = value << zeros.astype(U)  # the leading one is now bit 51
     mantissa = (shifted >> U(51 - MANTISSA)) & U((1 << MANTISSA) - 1)
     out = np.where(full, (zeros.astype(U) << U(MANTISSA) | mantissa) + U(1), U(0)).astype(np.uint16)
-    for r in np.flatnonzero(full.any(1) & ~full.all(1)):  # an empty bucket takes the register of another, the same way for every set
-        out[r] = out[r, DONORS[np.arange(BUCKETS), full[r][DONORS].argmax(1)]]
-    return out
+    donors, which = DONORS[:first], np.arange(first)
+    for r in np.flatnonzero(full.any(1) & ~full[:, :first].all(1)):  # an empty bucket takes the register of another, the same way for every set
+        out[r, :first] = out[r, donors[which, full[r][donors].argmax(1)]]
+    return out[:, :first]
 
 
 def bands(regs: np.ndarray, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ def sketches(items: DataFrame, n: int, rows: int = BAND_ROWS, buckets: int = BUC
                 sets = shingle_sets(b.column("text"), n)
                 size = np.array([len(s) for s in sets], np.int64)
                 sig = np.array([[s.sum(dtype=U), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)] for s in sets], U)
-                regs = registers(sets)[:, :buckets]
+                regs = registers(sets, buckets)
                 keys, valid = bands(regs, rows)
                 keys, counts = keys[valid].view(np.int64), valid.sum(1)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(keys))

@@ -32,8 +32,9 @@ U = np.uint64
 LINE_WORDS = 20
 STRETCH = 20
 SHINGLE = 5
-#: Two registers a band, 12 bands: a pair at 0.8 is missed with probability 0.36^12 = 5e-6.
-BAND_ROWS, REGISTERS = 2, 24
+#: Three registers a band, 12 bands: a pair at 0.8 is missed with probability (1 - 0.8^3)^12 = 2e-4.
+#: Two registers hold too few bits: unrelated lines of a large corpus would meet by chance.
+BAND_ROWS, REGISTERS = 3, 36
 
 
 def _blocks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
