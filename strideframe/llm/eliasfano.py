@@ -12,21 +12,27 @@ import numpy as np
 
 U = np.uint64
 
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _SELECT = np.full((256, 8), 8, np.uint8)
 for _b in range(256):
     for _k, _p in enumerate(p for p in range(8) if _b >> p & 1):
         _SELECT[_b, _k] = _p
+_EACH = U(0x0101010101010101)  # one in every byte
 
 
 def _select_in_words(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th (from 0) one bit in each word."""
-    b = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_ONES[b], 1, dtype=np.int64)
-    byte = (upto <= k[:, None]).sum(1)
-    r = np.arange(len(k))
-    before = np.where(byte > 0, upto[r, np.maximum(byte - 1, 0)], 0)
-    return byte * 8 + _SELECT[b[r, byte], k - before]
+    s = words - ((words >> U(1)) & U(0x5555555555555555))
+    s = (s & U(0x3333333333333333)) + ((s >> U(2)) & U(0x3333333333333333))
+    s = ((s + (s >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _EACH  # byte j: ones in bytes 0 to j
+    k = k.astype(U)
+    byte = np.bitwise_count(((k * _EACH | _EACH << U(7)) - s) & (_EACH << U(7))).astype(U) << U(3)
+    before = (s << U(8)) >> byte & U(255)
+    return (byte + _SELECT[(words >> byte & U(255)).astype(np.intp), (k - before).astype(np.intp)]).astype(np.int64)
+
+
+def _first_one(words: np.ndarray) -> np.ndarray:
+    """Place of the lowest one bit of words that aren't zero."""
+    return np.bitwise_count((words & (~words + U(1))) - U(1)).astype(np.int64)
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -46,7 +52,7 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     values = np.asarray(values, U)
     n = len(values)
     top = int(values[-1]) if n else 0
-    bits = max(0, int(top // max(n, 1)).bit_length() - 1)
+    bits = max(0, int(top // max(n, 1)).bit_length() - 2)  # at most one entry a high part, on average
     high = (values >> U(bits)).astype(np.int64)
     size = n + (top >> bits) + 2
     words = np.zeros((size + 63) // 64, U)
@@ -90,34 +96,57 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select1(i) - i).astype(U) << U(self.bits)) | self._low(i)
 
-    def successor(self, v: np.ndarray) -> np.ndarray:
-        """Index of the first entry >= v for each v (n where there is none)."""
-        v = np.asarray(v, U)
-        out = np.full(len(v), self.n, np.int64)
-        if not self.n:
-            return out
-        inside = np.flatnonzero(v <= U(self.top))
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at the indices ``i`` and ``i + 1``: the second bit mostly shares a word with the first."""
+        i = np.asarray(i, np.int64)
+        at = self._select1(i)
+        start = at + 1
+        word = self.high[start >> 6] >> (start & 63).astype(U)
+        following = start + _first_one(word)
+        far = np.flatnonzero(word == 0)
+        following[far] = self._select1(i[far] + 1)
+        return ((at - i).astype(U) << U(self.bits)) | self._low(i), ((following - i - 1).astype(U) << U(self.bits)) | self._low(i + 1)
+
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the indices whose high part is ``h``."""
+        start = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) + 1, 0)
+        gap = ~self.high[start >> 6] >> (start & 63).astype(U)
+        lo = start - h
+        hi = lo + _first_one(gap)
+        far = np.flatnonzero(gap == 0)  # the run of ones leaves the word
+        hi[far] = self._select0(h[far]) - h[far]
+        return lo, hi
+
+    def _search(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions in ``v`` up to the top value, index of their successor, whether it is the value itself)."""
+        inside = np.flatnonzero(v <= U(self.top)) if self.n else np.zeros(0, np.int64)
         x = v[inside]
-        h = (x >> U(self.bits)).astype(np.int64)
-        hi = self._select0(h) - h
-        lo = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) - (h - 1), 0)
+        lo, end = self._bucket((x >> U(self.bits)).astype(np.int64))
+        hi = end.copy()
         want = x & U((1 << self.bits) - 1)
-        while True:  # binary search among the entries of the same high part
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):  # binary search among the entries of the same high part
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low(mid) < want[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
-        out[inside] = lo
+            open_ = open_[lo[open_] < hi[open_]]
+        same = lo < end
+        same[same] = self._low(lo[same]) == want[same]
+        return inside, lo, same
+
+    def successor(self, v: np.ndarray) -> np.ndarray:
+        """Index of the first entry >= v for each v (n where there is none)."""
+        v = np.asarray(v, U)
+        out = np.full(len(v), self.n, np.int64)
+        inside, at, _ = self._search(v)
+        out[inside] = at
         return out
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """Index of each v, -1 where it isn't in the sequence."""
-        i = self.successor(v)
-        ok = np.flatnonzero(i < self.n)
-        same = self.access(i[ok]) == np.asarray(v, U)[ok]
-        out = np.full(len(i), -1, np.int64)
-        out[ok[same]] = i[ok[same]]
+        """Index of each v, -1 where it isn't in the sequence: its successor, if that is v itself."""
+        v = np.asarray(v, U)
+        out = np.full(len(v), -1, np.int64)
+        inside, at, same = self._search(v)
+        out[inside[same]] = at[same]
         return out

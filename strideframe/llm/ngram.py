@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,15 @@ def as_key(v: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(v).view(U) ^ SIGN
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising distinct keys and the place of every key among them; hashing comes first, so only distinct ones are sorted."""
+    code, found = pd.factorize(keys)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[code]
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then one end for each text) and the offsets of the texts."""
     data, offs = text_bytes(texts)
@@ -118,12 +128,11 @@ class Level:
             words = U(self.words)
             c = seg["ctx"].find(keys[rows] // words - self.firsts[s] // words)
             rows, c = rows[c >= 0], c[c >= 0]
-            lo, hi = seg["ptr"].access(c).astype(np.int64), seg["ptr"].access(c + 1).astype(np.int64)
+            lo, hi = (x.astype(np.int64) for x in seg["ptr"].pair(c))
             base = np.where(lo > 0, seg["rel"].access(np.maximum(lo - 1, 0)), U(0))
             want = base + keys[rows] % words + U(1)
-            i = seg["rel"].successor(want)
+            i = seg["rel"].find(want)  # by successor search
             ok = np.flatnonzero((i >= lo) & (i < hi))  # only the context's own range counts
-            ok = ok[seg["rel"].access(i[ok]) == want[ok]]
             rows, i = rows[ok], i[ok]
             node[rows], prob[rows] = i + self.starts[s], seg["book"][seg["code"][i]]
         return node, prob
@@ -226,8 +235,8 @@ class Model:
 
     def walk(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(count, word id, node of the longest level, its context node, probability) at every token."""
-        distinct, back = np.unique(h, return_inverse=True)
-        index, count = self.unigrams.get(distinct, 0.0)
+        words, back = distinct(h)
+        index, count = self.unigrams.get(words, 0.0)
         ids, count = index[back], count[back]
         frequent = count >= MIN_COUNT
         p = (count + 0.5) / (self.n + 0.5 * (self.v + 1))
@@ -235,10 +244,10 @@ class Model:
         node, ctx = np.where(frequent, ids, -1), self._shift(np.where(frequent, ids, -1), starts)
         for level, weight in zip(self.levels, self.weights, strict=True):
             rows = np.flatnonzero(ctx >= 0)
-            some, inv = np.unique(ctx[rows], return_inverse=True)
+            some, inv = distinct(ctx[rows])
             w = weight.get(some.astype(U), 1.0)[1][inv]
             tried = rows[node[rows] >= 0]
-            keys, inv = np.unique(ctx[tried].astype(U) * U(self.v) + ids[tried].astype(U), return_inverse=True)
+            keys, inv = distinct(ctx[tried].astype(U) * U(self.v) + ids[tried].astype(U))
             found, disc = level.get(keys)
             own = np.zeros(len(h))
             own[tried] = disc[inv]

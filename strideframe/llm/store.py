@@ -77,7 +77,7 @@ def arrays(uri: str) -> dict[str, np.ndarray]:
     """The arrays of :func:`put_arrays`, memory-mapped."""
     import json
 
-    raw = np.memmap(local(uri), np.uint8, "r")
+    raw = np.memmap(local(uri), np.uint8, "r").view(np.ndarray)  # plain views are cheaper to index
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     out = {}
