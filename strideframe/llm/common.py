@@ -12,6 +12,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/strideframe-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def compact(spark: SparkSession, on: bool = True) -> Iterator[None]:
+    """Within it, small shuffles are coalesced to the advisory size even where that leaves cores idle.
+
+    For chains of small tables: one file each instead of one for every core. Every
+    file costs a create, a rename and, on a local file system, processes that set
+    its permissions; those are forks of the executor. ``on=False``: cores first again.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(not on).lower())
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, hint: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{hint}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody waits for a marker
     out = spark.read.schema(df.schema).parquet(path)
     out._strideframe_path = path
     return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import compact, materialise, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,6 +22,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Self-links, repeats and both directions are allowed; rows with a null end are ignored.
     """
+    with compact(links.sparkSession):
+        return _components(links)
+
+
+def _components(links: DataFrame) -> DataFrame:
     pairs = links.where(F.col("a") != F.col("b"))
     edges = materialise(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = _state(edges)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, materialise, release, slices, text_bytes
+from .common import begin, compact, materialise, release, slices, text_bytes
 from .graph import components
 from .textkit import mix, shingles, word_hashes
 
@@ -178,7 +178,11 @@ def cluster(items: DataFrame, n: int, num: int = 80, den: int = 100, rows: int =
 
     ``items`` may be read several times and must be deterministic.
     """
-    items = items.where(F.col("id").isNotNull())
+    with compact(items.sparkSession):
+        return _cluster(items.where(F.col("id").isNotNull()), n, num, den, rows, buckets)
+
+
+def _cluster(items: DataFrame, n: int, num: int, den: int, rows: int, buckets: int) -> DataFrame:
     all_ = materialise(sketches(items, n, rows, buckets), "sketches")
     sig = ["size", "sig_a", "sig_b"]
     classes = materialise(all_.where("size > 0").groupBy(*sig).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
@@ -294,7 +298,8 @@ def _compared(still: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     links = dealt.groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
-    return materialise(links, "compared")
+    with compact(items.sparkSession, False):  # much work on few bytes
+        return materialise(links, "compared")
 
 
 def _union(links: list[DataFrame]) -> DataFrame:
