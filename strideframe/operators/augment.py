@@ -76,6 +76,28 @@ def jitter_windows(windows: DataFrame, key: list[str], sigma: float, seed: int,
     return windows.withColumn(x, _stepped(F.transform(x, noisy)))
 
 
+def shake_windows(windows: DataFrame, key: list[str], sigma: float = 3.0, seed: int = 42, x: str = "X") -> DataFrame:
+    """Stress: strong noise on every value."""
+    return jitter_windows(windows, key, sigma, seed, x)
+
+
+def impact_windows(windows: DataFrame, key: list[str], sigma: float = 8.0, width: int = 8, margin: int = 20, seed: int = 42, x: str = "X") -> DataFrame:
+    """Stress: noise on ``width`` samples from one that is ``margin`` or more from either end (short windows: from ``margin``)."""
+    k = [F.col(c) for c in key]
+    room = F.greatest(F.size(x) - 2 * margin, F.lit(1))
+    out = windows.withColumn("_from", margin + F.floor(uniform(seed, F.lit("impact"), *k) * room).cast("int"))
+    loud = lambda s, t: F.transform(s, lambda v, c: (v + sigma * normal(seed, F.lit("hit"), t, c, *k)).cast("float"))
+    hit = lambda s, t: F.when((t >= F.col("_from")) & (t < F.col("_from") + width), loud(s, t)).otherwise(s)
+    return out.withColumn(x, _stepped(F.transform(x, hit))).drop("_from")
+
+
+def freeze_windows(windows: DataFrame, key: list[str], sigma: float = 0.02, seed: int = 42, x: str = "X") -> DataFrame:
+    """Stress: the first sample throughout, with little noise."""
+    k = [F.col(c) for c in key]
+    still = lambda s, t: F.transform(F.element_at(x, 1), lambda v, c: (v + sigma * normal(seed, F.lit("still"), t, c, *k)).cast("float"))
+    return windows.withColumn(x, _stepped(F.transform(x, still)))
+
+
 def augmenter(rotation_deg: float = 0, scale_sigma: float = 0, warp_ratio: float = 0, dropout_p: float = 0, jitter_sigma: float = 0, seed: int = 42):
     """A function for ``DataFrame.transform``: the steps that have a strength, in order."""
 

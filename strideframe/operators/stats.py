@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,25 @@ def magnitude(*axes: Column) -> Column:
     return F.sqrt(total)
 
 
+def class_middle(rows: DataFrame, label: str, key: str, bins: int = 1024) -> DataFrame:
+    """label, key of the row in the middle of each class (place n div 2 by an integer key); null labels and keys are left out.
+
+    Counts of key ranges find the range that holds the middle; only its rows are sorted, so no class is sorted as a whole.
+    """
+    known = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(label, key)
+    low, high = known.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return known
+    ranged = known.withColumn("_bin", F.floor((F.col(key) - low) / ((high - low) // bins + 1)))
+    by = Window.partitionBy(label)
+    counts = ranged.groupBy(label, "_bin").agg(F.count("*").alias("_n"))
+    place = F.floor(F.sum("_n").over(by) / 2)
+    below = F.sum("_n").over(by.orderBy("_bin")) - F.col("_n")
+    chosen = counts.select(label, "_bin", "_n", (place - below).alias("_at")).where((F.col("_at") >= 0) & (F.col("_at") < F.col("_n"))).drop("_n")
+    near = ranged.join(chosen, [label, "_bin"])
+    return near.withColumn("_r", F.row_number().over(by.orderBy(key)) - 1).where("_r = _at").select(label, key)
+
+
 def impact_index(samples: DataFrame, by: str, size: Column) -> DataFrame:
     """Index of each trial's largest value; the first of equals."""
     return samples.groupBy(by).agg(F.max_by("i", F.struct(size, -F.col("i"))).alias("impact"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import augment, metrics, quant, scoring, signal, splits, stats, windows
+from ..operators import augment, metrics, network, quant, scoring, signal, splits, stats, windows
 from ..shipping import ship
 
 WIN, STRIDE = 16, 8
@@ -440,13 +440,34 @@ def denoise_lowpass(spark, sf_dir):
     return signal.denoise(samples(spark, sf_dir), "user_id", "value", 50)
 
 
-@query()
-def augmented_windows(spark, sf_dir):
+def _six_channels(spark, sf_dir):
     e = samples(spark, sf_dir).withColumns({c: F.col("value") * (j + 1) / 6 for j, c in enumerate(("c0", "c1", "c2", "c3", "c4", "c5"))})
     w = windows.window_arrays(e, "user_id", ["c0", "c1", "c2", "c3", "c4", "c5"], WIN, STRIDE)
-    keyed = w.withColumn("window_id", F.col("user_id") * 1000 + F.col("k"))
+    return w.withColumn("window_id", F.col("user_id") * 1000 + F.col("k")).select("window_id", "X")
+
+
+@query()
+def augmented_windows(spark, sf_dir):
     apply = augment.augmenter(180, 0.1, 0.15, 0.1, 0.02)
-    return augment.expand_augmented(keyed.select("window_id", "X"), 1, "window_id", 1 << 40, apply)
+    return augment.expand_augmented(_six_channels(spark, sf_dir), 1, "window_id", 1 << 40, apply)
+
+
+@query()
+def stressed_windows(spark, sf_dir):
+    w, key = _six_channels(spark, sf_dir), ["window_id"]
+    made = {"shake": augment.shake_windows(w, key), "impact": augment.impact_windows(w, key, width=4, margin=4), "freeze": augment.freeze_windows(w, key)}
+    kinds = [x.select(F.lit(kind).alias("kind"), "window_id", "X") for kind, x in made.items()]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+@query()
+def network_forward(spark, sf_dir):
+    return network.predict(_six_channels(spark, sf_dir), network.initial_weights(fall=True))
+
+
+@query("SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE r = n // 2")
+def class_middle(spark, sf_dir):
+    return stats.class_middle(_table(spark, sf_dir, "embeddings"), "label", "vec_id")
 
 
 @query(f"WITH {WINDOWS} SELECT user_id, CAST(k AS BIGINT) AS k, round(avg(value), 6) AS mean, round(avg(abs(value)), 6) AS energy FROM w GROUP BY user_id, k HAVING count(*) = 16")
