@@ -4,9 +4,12 @@ Lines of at least LINE_WORDS words are compared by banded MinHash tuned for reca
 confirmed on their full sets of five-word shingles (Jaccard 0.8), and joined to
 components. So that a passage inside a longer paragraph is found too, lines are
 also cut into blocks where the text itself says so (sentence ends, and one word in
-32 by its hash, for prose without stops); equal blocks form classes. Of each component or
-class the first member, by document and place, stays; the others are
-removed where they make up a stretch of at least STRETCH words.
+32 by its hash, for prose without stops); equal blocks form classes. And wherever
+it begins or ends, any run of STRETCH words that occurs twice is found: every window of
+STRETCH words holds an anchor (the least hash of its GRAM-word runs), and of windows
+whose anchor occurs twice all are compared, so a repeated run goes to its very ends.
+Of each component or class the first member, by document and place, stays; the others
+are removed where they make up a stretch of at least STRETCH words.
 
 Definitions: words are runs without ASCII white space, A-Z lower-cased for the
 comparison. Null text is empty. Rows are told apart by doc_id and text; of equal
@@ -26,12 +29,14 @@ from . import lookup
 from .common import begin, materialise, release, slices, text_bytes
 from .neardup import cluster
 from .repeats import merged
-from .textkit import mix, prefix_hash, range_hash, word_hashes
+from .textkit import mix, prefix_hash, range_hash, word_hashes, word_spans
 
 U = np.uint64
 LINE_WORDS = 20
 STRETCH = 20
 SHINGLE = 5
+#: Words of an anchor; STRETCH - GRAM + 1 of them lie in a window.
+GRAM = 8
 #: Three registers a band, 12 bands: a pair at 0.8 is missed with probability (1 - 0.8^3)^12 = 2e-4.
 #: Two registers hold too few bits: unrelated lines of a large corpus would meet by chance.
 BAND_ROWS, REGISTERS = 3, 36
@@ -57,6 +62,25 @@ def _blocks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return d, start[a] - offs[d], end[b - 1] - offs[d], a - first[d], b - first[d], line, key.view(np.int64)
 
 
+def _windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first word, document, hash, (anchor hash, place of the anchor)) of every window of STRETCH words that lies in one document."""
+    h, _, _, first = word_hashes(data, offs)
+    n = len(h) - STRETCH + 1
+    if n < 1:
+        z = np.zeros(0, np.int64)
+        return z, z, z, np.stack([z, z])
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+    at = np.flatnonzero(doc[:n] == doc[STRETCH - 1 :])
+    pre = prefix_hash(h)
+    every = np.arange(len(h) - GRAM + 1)
+    gram = range_hash(pre, every, every + GRAM)
+    least, low = gram[:n].copy(), np.zeros(n, np.int64)
+    for j in range(1, STRETCH - GRAM + 1):
+        less = gram[j : j + n] < least
+        least[less], low[less] = gram[j : j + n][less], j
+    return at, doc[at], mix(range_hash(pre, at, at + STRETCH)).view(np.int64), np.stack([least.view(np.int64), np.arange(n) + low])[:, at]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64(F.col("doc_id"), F.col("text")))
 
@@ -101,6 +125,46 @@ def repeated_blocks(docs: DataFrame) -> DataFrame:
     return materialise(best.select("key", "best.doc", "best.start"), "blocks")
 
 
+def repeated_anchors(docs: DataFrame) -> DataFrame:
+    """key of the anchors that occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
+        for whole in batches:
+            for b in slices(whole, "text"):
+                _, _, _, (anchor, place) = _windows(*text_bytes(b.column("text")))
+                new = np.r_[True, place[1:] != place[:-1]][: len(place)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new])], names=["key"])
+
+    rows = docs.select("text").mapInArrow(run, "key long")
+    return materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchors")
+
+
+def repeated_windows(docs: DataFrame, anchors: lookup.Lookup) -> DataFrame:
+    """key (window hash) and doc (row key of the first document) of the windows that occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
+        for whole in batches:
+            for b in slices(whole, "text"):
+                _, d, key = _shared(*text_bytes(b.column("text")), anchors)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(pa.array(d)), pa.array(b.column("key").to_numpy()[d])], names=["key", "doc_id", "doc"])
+
+    plain = docs.select("doc_id", "key", "text")
+    rows = plain.mapInArrow(run, f"key long, doc_id {plain.schema['doc_id'].dataType.simpleString()}, doc long")
+    best = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc")).alias("best")).where("n > 1")
+    return materialise(best.select("key", "best.doc"), "windows")
+
+
+def _shared(data: np.ndarray, offs: np.ndarray, anchors: lookup.Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, document, hash) of the windows whose anchor occurs more than once."""
+    at, d, key, (anchor, place) = _windows(data, offs)
+    new = np.r_[True, place[1:] != place[:-1]][: len(place)]
+    found = anchors.first(anchor[new])[0]
+    keep = found[np.cumsum(new) - 1] if len(new) else np.zeros(0, bool)
+    return at[keep], d[keep], key[keep]
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, n_paragraphs, components (of its repeated lines), kept (bytes)."""
     keyed = _keyed(docs.select("doc_id", "text"))
@@ -108,6 +172,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     by_line, by_block = lookup.save(lines), lookup.save(blocks)
     release(lines)
     release(blocks)
+    anchors = repeated_anchors(keyed)
+    by_anchor = lookup.save(anchors)
+    windows = repeated_windows(keyed, by_anchor)
+    by_window = lookup.save(windows)
+    release(anchors)
+    release(windows)
     numbered = keyed.withColumn("lines", F.transform(F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1), lambda i: _line_id(F.col("key"), i)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +186,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             for b in slices(whole, "text"):
                 yield cut(b)
 
+    def _copies(data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which words lie in a window that occurred before."""
+        at, d, key = _shared(data, offs, by_anchor)
+        found, (doc,) = by_window.first(key, "doc")
+        at, d, key, own = at[found], d[found], key[found], (doc == keys[d])[found]
+        # In the first document the first place stays, and so do windows that overlap it.
+        _, firsts, back = np.unique(mix(key.view(U) ^ mix(d.astype(U))), return_index=True, return_inverse=True)
+        gone = at[~own | (at >= at[firsts][back] + STRETCH)]
+        depth = np.zeros(len(word_spans(data, offs)[0]) + 1, np.int64)
+        np.add.at(depth, gone, 1)
+        np.add.at(depth, gone + STRETCH, -1)
+        return np.cumsum(depth[:-1]) > 0
+
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = text_bytes(b.column("text"))
         raw, keys = data.tobytes(), b.column("key").to_numpy()
@@ -126,17 +209,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         flat, bounds = ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()], ids.offsets.to_numpy() - ids.offsets[0].as_py()
         in_group, (first, component) = by_line.first(flat, "first", "component")
         copy |= (in_group & (first == 0))[bounds[d] + line]
-        # Stretches of neighbouring repeated blocks, kept only where they are long enough.
-        head = np.flatnonzero(copy & ~np.r_[False, copy[:-1] & (d[1:] == d[:-1])])
-        tail = np.flatnonzero(copy & ~np.r_[copy[1:] & (d[1:] == d[:-1]), False]) if len(copy) else head
-        long_ = w1[tail] - w0[head] >= STRETCH
+        gone_words = np.repeat(copy, w1 - w0) | _copies(data, offs, keys)
+        # Stretches of neighbouring repeated words, kept only where they are long enough.
+        _, begins, ends, firsts = word_hashes(data, offs)
+        of = np.repeat(np.arange(b.num_rows), np.diff(firsts))
+        edge = np.r_[True, of[1:] != of[:-1], True] if len(of) else np.ones(1, bool)
+        head = np.flatnonzero(gone_words & (edge[:-1] | ~np.r_[False, gone_words[:-1]]))
+        tail = np.flatnonzero(gone_words & (edge[1:] | ~np.r_[gone_words[1:], False]))
+        long_ = tail - head + 1 >= STRETCH
         head, tail = head[long_], tail[long_]
         gone, spans = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         kept = [raw[offs[i] : offs[i + 1]] for i in range(b.num_rows)]
-        for i in np.unique(d[head]).tolist():
-            mine = d[head] == i
+        for i in np.unique(of[head]).tolist():
+            mine = of[head] == i
             text, begin, parts = kept[i], 0, []
-            cuts = merged(start[head[mine]], end[tail[mine]])
+            cuts = merged(begins[head[mine]] - offs[i], ends[tail[mine]] - offs[i])
             for x, y in cuts:
                 parts.append(text[begin:x])
                 begin = y

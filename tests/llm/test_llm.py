@@ -201,6 +201,20 @@ def test_paragraphs(spark, odd, none):
     assert paragraphs.digest(none).count() == 0
 
 
+def test_paragraphs_find_passages_inside_other_text(spark):
+    r = random.Random(5)
+    word = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    p, tail, loop = word(50), word(25), "round " * 300
+    made = [(1, word(30) + " " + p + " " + word(30)), (2, word(17) + " " + p + " " + word(40)), (3, f"{word(9)} {p} {word(3)}. {tail}"), (4, f"{word(40)} {tail} {word(9)}"), (5, loop), (6, word(60))]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in paragraphs.deduplicated(docs).collect()}
+    text = dict(made)
+    assert got[1]["n_removed"] == got[6]["n_removed"] == 0
+    for i, passage in ((2, p), (3, p), (4, tail)):  # to their very ends, without a sentence end in sight
+        assert bytes(got[i]["kept"]).decode() == text[i].replace(passage, ""), i
+    assert bytes(got[5]["kept"]).split() == [b"round"] * paragraphs.STRETCH
+
+
 def test_token_counts(spark, odd):
     tok = tokencount.library(entry.LIBRARY)
     r = random.Random(4)
