@@ -1,15 +1,19 @@
 """Removal of repeated paragraphs: MinHash banding, exact verification, components.
 
-Lines of at least LINE_WORDS words are compared by banded MinHash tuned for recall,
-confirmed on their full sets of five-word shingles (Jaccard 0.8), and joined to
-components. So that a passage inside a longer paragraph is found too, lines are
+Lines of at least LINE_WORDS words, and runs of two or more non-blank lines of at most
+WRAP bytes joined to one paragraph (hard-wrapped text), are compared by banded MinHash
+tuned for recall, confirmed on their full sets of five-word shingles (Jaccard 0.8), and
+joined to components. Shorter lines have at most three shingles, so 0.8 means equal sets:
+they form classes. So that a passage inside a longer paragraph is found too, lines are
 also cut into blocks where the text itself says so (sentence ends, and one word in
 32 by its hash, for prose without stops); equal blocks form classes. And wherever
 it begins or ends, any run of STRETCH words that occurs twice is found: every window of
 STRETCH words holds an anchor (the least hash of its GRAM-word runs), and of windows
 whose anchor occurs twice all are compared, so a repeated run goes to its very ends.
-Of each component or class the first member, by document and place, stays; the others
-are removed where they make up a stretch of at least STRETCH words.
+Of each component or class the first member, by document and place, stays (of one
+document joined paragraphs come before lines); the others are removed: lines and joined
+paragraphs as a whole, blocks and windows where they make up a stretch of at least
+STRETCH words.
 
 Definitions: words are runs without ASCII white space, A-Z lower-cased for the
 comparison. Null text is empty. Rows are told apart by doc_id and text; of equal
@@ -32,7 +36,8 @@ from .repeats import merged
 from .textkit import mix, prefix_hash, range_hash, word_hashes, word_spans
 
 U = np.uint64
-LINE_WORDS = 20
+LINE_WORDS = 8
+WRAP = 120
 STRETCH = 20
 SHINGLE = 5
 #: Words of an anchor; STRETCH - GRAM + 1 of them lie in a window.
@@ -62,6 +67,38 @@ def _blocks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return d, start[a] - offs[d], end[b - 1] - offs[d], a - first[d], b - first[d], line, key.view(np.int64)
 
 
+def _short_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, line of the batch, start, class) of the lines of 1 to LINE_WORDS - 1 words; equal classes: equal shingle sets."""
+    h, start, _, first = word_hashes(data, offs)
+    of, lo, hi = _lines(data, offs)
+    a, b = np.searchsorted(start, lo), np.searchsorted(start, hi)
+    line = np.flatnonzero((b > a) & (b - a < LINE_WORDS))
+    a, b = a[line], b[line]
+    pre = prefix_hash(h)
+    one, two, three = (range_hash(pre, np.minimum(a + j, b), np.minimum(a + j + SHINGLE, b)) for j in range(3))
+    total = one + np.where((b - a > SHINGLE) & (two != one), two, U(0)) + np.where((b - a > SHINGLE + 1) & (three != one) & (three != two), three, U(0))
+    return of[line], line, start[a] - offs[of[line]], mix(mix(total) ^ U(0x2545F4914F6CDD1D)).view(np.int64)
+
+
+def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of all lines of a batch, empty ones too."""
+    breaks = np.flatnonzero(data == 10)
+    of = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(breaks, offs)) + 1)
+    return of, np.sort(np.r_[offs[:-1], breaks + 1]), np.sort(np.r_[breaks, offs[1:]])
+
+
+def _joined(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(head, size) for every line of a batch: first line and number of lines of its joined paragraph; size 0: in none."""
+    of, lo, hi = _lines(data, offs)
+    start = word_spans(data, offs)[0]
+    fits = (hi - lo <= WRAP) & (np.searchsorted(start, hi) > np.searchsorted(start, lo))
+    new = ~fits | np.r_[True, ~fits[:-1] | (of[1:] != of[:-1])][: len(of)]
+    heads = np.flatnonzero(new)
+    size = np.diff(np.r_[heads, len(of)])
+    group = np.cumsum(new) - 1
+    return heads[group], np.where(fits & (size[group] > 1), size[group], 0)
+
+
 def _windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """(first word, document, hash, (anchor hash, place of the anchor)) of every window of STRETCH words that lies in one document."""
     h, _, _, first = word_hashes(data, offs)
@@ -89,33 +126,57 @@ def _line_id(key, line):
     return F.xxhash64(key, line)
 
 
+def joined_paragraphs(docs: DataFrame) -> DataFrame:
+    """key, doc_id, line (the first one) and text of the joined paragraphs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
+        for whole in batches:
+            for b in slices(whole, "text"):
+                data, offs = text_bytes(b.column("text"))
+                of, lo, hi = _lines(data, offs)
+                head, size = _joined(data, offs)
+                at = np.flatnonzero((size > 0) & (head == np.arange(len(head))))
+                raw = data.tobytes()
+                texts = [raw[x:y].decode() for x, y in zip(lo[at].tolist(), hi[at + size[at] - 1].tolist(), strict=True)]
+                line = at - np.searchsorted(of, of[at])
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(of[at])), b.column("doc_id").take(pa.array(of[at])), pa.array(line.astype(np.int32)), pa.array(texts, pa.string())], names=["key", "doc_id", "line", "text"])
+
+    plain = docs.select("doc_id", "key", "text")
+    return materialise(plain.mapInArrow(run, f"key long, doc_id {plain.schema['doc_id'].dataType.simpleString()}, line int, text string"), "joined")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """key (line id), component and first (1: the member that stays) of lines in components of two or more."""
+    """key (id of a line or joined paragraph), component and first (1: the member that stays) of components of two or more."""
     line = F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "text")
     lines = docs.select("key", "doc_id", line).where("text IS NOT NULL")
     words = F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
     lines = lines.where((F.length("text") >= 2 * LINE_WORDS - 1) & (words >= LINE_WORDS))
-    items = lines.select(_line_id(F.col("key"), F.col("line")).alias("id"), "text")
-    found = cluster(items, SHINGLE, rows=BAND_ROWS, buckets=REGISTERS)
+    joined = joined_paragraphs(docs)
+    place = [F.col("line").cast("long").alias("line"), "text"]
+    lines = lines.select(_line_id(F.col("key"), F.col("line")).alias("id"), "doc_id", F.lit(1).alias("kind"), *place)
+    lines = lines.unionByName(joined.select(_line_id(F.col("key"), -1 - F.col("line")).alias("id"), "doc_id", F.lit(0).alias("kind"), *place))
+    found = cluster(lines.select("id", "text"), SHINGLE, rows=BAND_ROWS, buckets=REGISTERS)
     shared = materialise(found.groupBy("component").agg(F.countDistinct("id").alias("n")).where("n > 1").select("component"), "shared-lines")
     members = materialise(found.select("id", "component").distinct().join(shared, "component"), "line-members")
-    place = lines.select(_line_id(F.col("key"), F.col("line")).alias("id"), "doc_id", F.col("line").cast("long").alias("line"))
-    placed = materialise(place.join(members, "id"), "placed-lines")
-    best = materialise(placed.groupBy("component").agg(F.min(F.struct("doc_id", "line", "id")).alias("best")).select(F.col("best.id").alias("id")).withColumn("first", F.lit(1).cast("long")), "first-lines")
+    placed = materialise(lines.drop("text").join(members, "id"), "placed-lines")
+    best = materialise(placed.groupBy("component").agg(F.min(F.struct("doc_id", "kind", "line", "id")).alias("best")).select(F.col("best.id").alias("id")).withColumn("first", F.lit(1).cast("long")), "first-lines")
     out = materialise(placed.select("id", "component").distinct().join(best, "id", "left").select(F.col("id").alias("key"), "component", F.coalesce("first", F.lit(0).cast("long")).alias("first")), "lines")
-    for t in (found, shared, members, placed, best):
+    for t in (joined, found, shared, members, placed, best):
         release(t)
     return out
 
 
 def repeated_blocks(docs: DataFrame) -> DataFrame:
-    """key (block hash), doc (row key) and start of the first of the blocks that occur more than once."""
+    """key (hash), doc (row key) and start of the first of the blocks, and of the short lines, that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("text")
         for whole in batches:
             for b in slices(whole, "text"):
                 d, start, _, _, _, _, key = _blocks(*text_bytes(b.column("text")))
+                short_d, _, short_start, short_key = _short_lines(*text_bytes(b.column("text")))
+                d, start, key = np.r_[d, short_d], np.r_[start, short_start], np.r_[key, short_key]
                 ids = b.column("doc_id").take(pa.array(d))
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(b.column("key").to_numpy()[d]), pa.array(start)], names=["key", "doc_id", "doc", "start"])
 
@@ -156,6 +217,12 @@ def repeated_windows(docs: DataFrame, anchors: lookup.Lookup) -> DataFrame:
     return materialise(best.select("key", "best.doc"), "windows")
 
 
+def _stretches(mask: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word of the runs of marked words, ``of`` being the documents of all words."""
+    edge = np.r_[True, of[1:] != of[:-1], True] if len(of) else np.ones(1, bool)
+    return np.flatnonzero(mask & (edge[:-1] | ~np.r_[False, mask[:-1]])), np.flatnonzero(mask & (edge[1:] | ~np.r_[mask[1:], False]))
+
+
 def _shared(data: np.ndarray, offs: np.ndarray, anchors: lookup.Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, document, hash) of the windows whose anchor occurs more than once."""
     at, d, key, (anchor, place) = _windows(data, offs)
@@ -166,7 +233,7 @@ def _shared(data: np.ndarray, offs: np.ndarray, anchors: lookup.Lookup) -> tuple
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, n_paragraphs, components (of its repeated lines), kept (bytes)."""
+    """doc_id, n_bytes, n_removed, n_spans, n_paragraphs, components (of its repeated lines and joined paragraphs), kept (bytes)."""
     keyed = _keyed(docs.select("doc_id", "text"))
     lines, blocks = repeated_lines(keyed), repeated_blocks(keyed)
     by_line, by_block = lookup.save(lines), lookup.save(blocks)
@@ -178,7 +245,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     by_window = lookup.save(windows)
     release(anchors)
     release(windows)
-    numbered = keyed.withColumn("lines", F.transform(F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1), lambda i: _line_id(F.col("key"), i)))
+    every = F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1)
+    numbered = keyed.withColumns({"lines": F.transform(every, lambda i: _line_id(F.col("key"), i)), "paragraphs": F.transform(every, lambda i: _line_id(F.col("key"), -1 - i))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("text")
@@ -206,18 +274,28 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         found, (doc, at) = by_block.first(key, "doc", "start")
         copy = found & ~((doc == keys[d]) & (at == start))
         ids = b.column("lines")
-        flat, bounds = ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()], ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        bounds = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        flat, flat_joined = (c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in (ids, b.column("paragraphs")))
         in_group, (first, component) = by_line.first(flat, "first", "component")
-        copy |= (in_group & (first == 0))[bounds[d] + line]
-        gone_words = np.repeat(copy, w1 - w0) | _copies(data, offs, keys)
-        # Stretches of neighbouring repeated words, kept only where they are long enough.
+        in_joined, (joined_first, joined_component) = by_line.first(flat_joined, "first", "component")
+        lead, size = _joined(data, offs)
+        in_joined, joined_first, joined_component = in_joined[lead] & (size > 0), joined_first[lead], joined_component[lead]
+        # A line and the paragraph it is joined to may be of one component; what stays of it isn't removed as the other.
+        stays = in_group & in_joined & (component == joined_component)
+        gone_lines = in_group & (first == 0) & ~(stays & (joined_first == 1)) | in_joined & (joined_first == 0) & ~(stays & (first == 1))
+        short_d, short, short_start, short_key = _short_lines(data, offs)
+        short_found, (short_doc, short_at) = by_block.first(short_key, "doc", "start")
+        gone_lines[short[short_found & ~((short_doc == keys[short_d]) & (short_at == short_start))]] = True
+        in_group[short[short_found]], component[short[short_found]] = True, short_key[short_found]
+        complete = np.repeat(gone_lines[bounds[d] + line], w1 - w0)
+        gone_words = np.repeat(copy, w1 - w0) | complete | _copies(data, offs, keys)
+        # Stretches of neighbouring repeated words, kept only where they are long enough or complete lines.
         _, begins, ends, firsts = word_hashes(data, offs)
         of = np.repeat(np.arange(b.num_rows), np.diff(firsts))
-        edge = np.r_[True, of[1:] != of[:-1], True] if len(of) else np.ones(1, bool)
-        head = np.flatnonzero(gone_words & (edge[:-1] | ~np.r_[False, gone_words[:-1]]))
-        tail = np.flatnonzero(gone_words & (edge[1:] | ~np.r_[gone_words[1:], False]))
-        long_ = tail - head + 1 >= STRETCH
-        head, tail = head[long_], tail[long_]
+        head, tail = _stretches(gone_words, of)
+        long_ = np.repeat(tail - head + 1 >= STRETCH, tail - head + 1)
+        gone_words[gone_words] = long_ | complete[gone_words]
+        head, tail = _stretches(gone_words, of)
         gone, spans = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         kept = [raw[offs[i] : offs[i + 1]] for i in range(b.num_rows)]
         for i in np.unique(of[head]).tolist():
@@ -229,12 +307,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 begin = y
             kept[i] = b"".join([*parts, text[begin:]])
             gone[i], spans[i] = len(text) - len(kept[i]), len(cuts)
-        groups = [np.unique(component[x:y][in_group[x:y]]).tolist() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        groups = [np.unique(np.r_[component[x:y][in_group[x:y]], joined_component[x:y][in_joined[x:y]]]).tolist() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         cols = [b.column("doc_id"), pa.array(np.diff(offs)), pa.array(gone), pa.array(spans), pa.array(np.diff(bounds).astype(np.int64)), pa.array(groups, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_paragraphs", "components", "kept"])
 
     schema = f"doc_id {numbered.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, n_paragraphs long, components array<long>, kept binary"
-    return numbered.select("doc_id", "key", "text", "lines").mapInArrow(run, schema)
+    return numbered.select("doc_id", "key", "text", "lines", "paragraphs").mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

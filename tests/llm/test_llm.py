@@ -215,6 +215,25 @@ def test_paragraphs_find_passages_inside_other_text(spark):
     assert bytes(got[5]["kept"]).split() == [b"round"] * paragraphs.STRETCH
 
 
+def test_paragraphs_short_and_wrapped_lines(spark):
+    r = random.Random(6)
+    words = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    nine, three, prose = " ".join(words(9)), " ".join(words(3)), words(60)
+    other = [*prose[:25], "another", *prose[26:]]
+    wrap = lambda w: "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
+    twelve = words(12)
+    made = [(i, f"{' '.join(words(25))}\n{nine}\n{three.upper() if i % 2 else three}") for i in range(1, 8)]
+    made += [(20, wrap(prose)), (21, f"{' '.join(words(30))}\n\n{wrap(other)}"), (22, "\n" + wrap(words(40))), (30, " ".join(twelve)), (31, " ".join(twelve[1:])), (40, " ".join(words(30)))]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: bytes(x["kept"]).decode() for x in paragraphs.deduplicated(docs).collect()}
+    text = dict(made)
+    assert all(got[i] == text[i] for i in (1, 20, 22, 30, 40))
+    for i in range(2, 8):  # lines of nine and of three words
+        assert got[i].split() == text[i].split()[:25]
+    assert got[21].split() == text[21].split()[:30]  # an edited hard-wrapped paragraph
+    assert got[31] == ""  # a near copy of a line of twelve words
+
+
 def test_token_counts(spark, odd):
     tok = tokencount.library(entry.LIBRARY)
     r = random.Random(4)
