@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import begin, holds, slices
 
-#: Pre-tokens whose ids one worker remembers before it starts afresh.
+#: Pre-tokens whose ids one worker remembers before it starts afresh; a slice with more holds all of its own.
 MEMO = 150_000
 #: Cells of one padded matrix.
 CELLS = 1 << 21
@@ -124,8 +124,6 @@ class ByteBPE:
 
     def learn(self, pieces: list[str]) -> None:
         """Put the ids of distinct pre-tokens into the memo."""
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo.clear()
         rest = []
         for p in pieces:
             whole = self.whole.get(p.encode())
@@ -177,13 +175,11 @@ class ByteBPE:
 
     def learn_missing(self, pieces: list[str]) -> None:
         missing = [p for p in pieces if p not in self.memo]
+        if missing and len(self.memo) + len(missing) > MEMO:
+            self.memo.clear()  # before the slice is learnt, never within it: all its pieces stay, however many
+            missing = pieces
         if missing:
-            size = len(self.memo)
             self.learn(missing)
-            if len(self.memo) < size + len(missing):  # the memo was cleared: what this batch had before is gone too
-                rest = [p for p in pieces if p not in self.memo]
-                if rest:
-                    self.learn(rest)
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text or ""])[0].tolist()

@@ -186,6 +186,16 @@ def test_bpe(spark, odd):
         assert x["ids"] == enc.encode_ordinary(x["text"] or "") and bytes(x["decoded"]) == (x["text"] or "").encode()
 
 
+def test_bpe_slice_above_the_memo(monkeypatch):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(entry.RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.ByteBPE(entry.RANKS, P.PATTERN)
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    many = "some words come first" + " ".join(f"{i * 7919 % 99991:x}q" for i in range(400))
+    for t in ["some words come first", many, "some words come first", many + " and more", "some words"]:
+        assert coder.encode(t) == enc.encode_ordinary(t)
+
+
 def test_paragraphs(spark, odd, none):
     r = random.Random(3)
     para = lambda: " ".join(" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(r.randint(5, 12))) + "." for _ in range(8))
