@@ -10,8 +10,8 @@ but the segments' first keys.
 
 P(w | ctx) = max(c(ctx w) - D, 0) / c(ctx) + weight(ctx) * P(w | shorter ctx), down
 to P(w) = (c + 0.5) / (N + 0.5 (V + 1)). An n-gram of two or more words is kept
-from MIN_COUNT occurrences on (the weight takes up the rest); as an n-gram is no
-more frequent than its parts, candidates hold only kept parts.
+from MIN_COUNT occurrences on, 1: every one (the weight takes up the rest); as an
+n-gram is no more frequent than its parts, candidates hold only kept parts.
 
 Definitions: null text is empty and scores the end token alone. Rows whose fold is
 not 1 teach; a null doc_id is never held out. Repeated rows count and are scored
@@ -36,7 +36,7 @@ from .textkit import word_hashes
 
 U = np.uint64
 ORDER = 3
-MIN_COUNT = 4
+MIN_COUNT = 1
 DISCOUNT = 0.75
 END = U(0x1D872B41C3A95E6F)  # stands for the end token among word hashes
 SEGMENT = 2_000_000  # entries a segment, about
@@ -306,6 +306,8 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             return ctx[rows] * v + ids[rows]
 
         kept = materialise(_counted(docs, keys_of).where(F.col("n") >= MIN_COUNT).withColumn("k", F.lit(1).cast("long")), f"grams{size}")
+        if kept.count() * v >= 1 << 63:
+            raise ValueError(f"as many n-grams of {size} words do not fit 64-bit keys with the next word")
         weights = kept.groupBy(F.expr(f"key div {max(v, 1)}").alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         level, weight = _level(kept, f"{home}/{size}", v, parents), _weights(weights, f"{home}/w{size}", parents)
         release(kept)

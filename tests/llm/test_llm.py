@@ -174,6 +174,15 @@ def test_lm_scores(spark, odd, none):
     assert ngram.score(odd, empty).agg(F.max("score"), F.min("score")).first() == (0.0, 0.0)
 
 
+def test_lm_counts_rare_ngrams(spark):
+    rows = [(i, t) for i, t in enumerate(["red fox ran home", "red fox sat down", "old dog ran home", "old dog sat down", "red cat", "old cat"])]
+    model = ngram.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = ["red fox ran", "red dog ran", "old fox ran"]  # words equally frequent; the corpus holds only the first, once
+    got = {x["doc_id"]: x for x in ngram.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert len({round(x["base_score"], 9) for x in got.values()}) == 1
+    assert got[0]["score"] > got[2]["score"] and got[0]["score"] > got[1]["score"]
+
+
 def test_bpe(spark, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(entry.RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
