@@ -1,23 +1,27 @@
 """Removal of repeated paragraphs: MinHash banding, exact verification, components.
 
-Lines of at least LINE_WORDS words, and runs of two or more non-blank lines of at most
-WRAP bytes joined to one paragraph (hard-wrapped text), are compared by banded MinHash
-tuned for recall, confirmed on their full sets of five-word shingles (Jaccard 0.8), and
-joined to components. Shorter lines have at most three shingles, so 0.8 means equal sets:
-they form classes. So that a passage inside a longer paragraph is found too, lines are
-also cut into blocks where the text itself says so (sentence ends, and one word in
-32 by its hash, for prose without stops); equal blocks form classes. And wherever
-it begins or ends, any run of STRETCH words that occurs twice is found: every window of
-STRETCH words holds an anchor (the least hash of its GRAM-word runs), and of windows
-whose anchor occurs twice all are compared, so a repeated run goes to its very ends.
+Three kinds of paragraphs are compared, each by MinHash and then exactly:
+
+* lines of at least LINE_WORDS words, and runs of two or more non-blank lines of at most
+  WRAP bytes joined to one paragraph (hard-wrapped text): registers banded for recall,
+  colliding pairs confirmed on their full sets of five-word shingles (Jaccard 0.8), and
+  joined to components;
+* shorter lines: they have at most three shingles, so 0.8 means equal sets, and a band
+  holds the whole set; they form classes;
+* running windows of STRETCH words, for passages inside other paragraphs, wherever they
+  begin or end: the register is the least hash of a window's GRAM-word shingles (its
+  anchor), windows that share one collide, and of these all are compared word by word
+  (Jaccard 1 in the same order), so a repeated run goes to its very ends.
+
 Of each component or class the first member, by document and place, stays (of one
-document joined paragraphs come before lines); the others are removed: lines and joined
-paragraphs as a whole, blocks and windows where they make up a stretch of at least
-STRETCH words.
+document joined paragraphs come before lines); the others are removed, as a whole.
 
 Definitions: words are runs without ASCII white space, A-Z lower-cased for the
-comparison. Null text is empty. Rows are told apart by doc_id and text; of equal
-rows each is treated as the same document, so all keep or lose the same bytes.
+comparison; sets and windows are compared by 64-bit hashes of their words. Null text is
+empty. Rows are told apart by doc_id and text; of equal rows each is treated as the same
+document, so all keep or lose the same bytes. A null doc_id comes before all others.
+Columns of other names are ignored; no rows give no rows. Not found: near copies inside a
+longer, different line that share no run of STRETCH words.
 """
 
 from __future__ import annotations
@@ -47,26 +51,6 @@ GRAM = 8
 BAND_ROWS, REGISTERS = 3, 36
 
 
-def _blocks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, start, end, first word, last word + 1, line, hash) of the sentence blocks of a batch; places in bytes of the document."""
-    h, start, end, first = word_hashes(data, offs)
-    if not len(h):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z, z, z, z
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, start)
-    stop = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) | (h & U(31) == 0)
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]) | stop[:-1]]
-    a = np.flatnonzero(new)
-    b = np.r_[a[1:], len(h)]
-    pre = prefix_hash(h)  # a hash over word hashes: white space doesn't count
-    key = mix(range_hash(pre, a, b))
-    d = doc[a]
-    line = line[a] - np.searchsorted(breaks, offs[d])
-    return d, start[a] - offs[d], end[b - 1] - offs[d], a - first[d], b - first[d], line, key.view(np.int64)
-
-
 def _short_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, line of the batch, start, class) of the lines of 1 to LINE_WORDS - 1 words; equal classes: equal shingle sets."""
     h, start, _, first = word_hashes(data, offs)
@@ -167,23 +151,21 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-def repeated_blocks(docs: DataFrame) -> DataFrame:
-    """key (hash), doc (row key) and start of the first of the blocks, and of the short lines, that occur more than once."""
+def repeated_short_lines(docs: DataFrame) -> DataFrame:
+    """key (class), doc (row key) and start of the first of the short lines that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("text")
         for whole in batches:
             for b in slices(whole, "text"):
-                d, start, _, _, _, _, key = _blocks(*text_bytes(b.column("text")))
-                short_d, _, short_start, short_key = _short_lines(*text_bytes(b.column("text")))
-                d, start, key = np.r_[d, short_d], np.r_[start, short_start], np.r_[key, short_key]
+                d, _, start, key = _short_lines(*text_bytes(b.column("text")))
                 ids = b.column("doc_id").take(pa.array(d))
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(b.column("key").to_numpy()[d]), pa.array(start)], names=["key", "doc_id", "doc", "start"])
 
     plain = docs.select("doc_id", "key", "text")
     rows = plain.mapInArrow(run, f"key long, doc_id {plain.schema['doc_id'].dataType.simpleString()}, doc long, start long")
     best = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc", "start")).alias("best")).where("n > 1")
-    return materialise(best.select("key", "best.doc", "best.start"), "blocks")
+    return materialise(best.select("key", "best.doc", "best.start"), "short-lines")
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
@@ -235,10 +217,10 @@ def _shared(data: np.ndarray, offs: np.ndarray, anchors: lookup.Lookup) -> tuple
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, n_paragraphs, components (of its repeated lines and joined paragraphs), kept (bytes)."""
     keyed = _keyed(docs.select("doc_id", "text"))
-    lines, blocks = repeated_lines(keyed), repeated_blocks(keyed)
-    by_line, by_block = lookup.save(lines), lookup.save(blocks)
+    lines, short_lines = repeated_lines(keyed), repeated_short_lines(keyed)
+    by_line, by_short = lookup.save(lines), lookup.save(short_lines)
     release(lines)
-    release(blocks)
+    release(short_lines)
     anchors = repeated_anchors(keyed)
     by_anchor = lookup.save(anchors)
     windows = repeated_windows(keyed, by_anchor)
@@ -270,9 +252,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = text_bytes(b.column("text"))
         raw, keys = data.tobytes(), b.column("key").to_numpy()
-        d, start, end, w0, w1, line, key = _blocks(data, offs)
-        found, (doc, at) = by_block.first(key, "doc", "start")
-        copy = found & ~((doc == keys[d]) & (at == start))
         ids = b.column("lines")
         bounds = ids.offsets.to_numpy() - ids.offsets[0].as_py()
         flat, flat_joined = (c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in (ids, b.column("paragraphs")))
@@ -284,17 +263,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         stays = in_group & in_joined & (component == joined_component)
         gone_lines = in_group & (first == 0) & ~(stays & (joined_first == 1)) | in_joined & (joined_first == 0) & ~(stays & (first == 1))
         short_d, short, short_start, short_key = _short_lines(data, offs)
-        short_found, (short_doc, short_at) = by_block.first(short_key, "doc", "start")
+        short_found, (short_doc, short_at) = by_short.first(short_key, "doc", "start")
         gone_lines[short[short_found & ~((short_doc == keys[short_d]) & (short_at == short_start))]] = True
         in_group[short[short_found]], component[short[short_found]] = True, short_key[short_found]
-        complete = np.repeat(gone_lines[bounds[d] + line], w1 - w0)
-        gone_words = np.repeat(copy, w1 - w0) | complete | _copies(data, offs, keys)
-        # Stretches of neighbouring repeated words, kept only where they are long enough or complete lines.
         _, begins, ends, firsts = word_hashes(data, offs)
         of = np.repeat(np.arange(b.num_rows), np.diff(firsts))
-        head, tail = _stretches(gone_words, of)
-        long_ = np.repeat(tail - head + 1 >= STRETCH, tail - head + 1)
-        gone_words[gone_words] = long_ | complete[gone_words]
+        gone_words = gone_lines[np.searchsorted(_lines(data, offs)[1], begins, "right") - 1] | _copies(data, offs, keys)
         head, tail = _stretches(gone_words, of)
         gone, spans = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         kept = [raw[offs[i] : offs[i + 1]] for i in range(b.num_rows)]
