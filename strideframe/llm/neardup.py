@@ -9,13 +9,15 @@ Equal sets collapse first, so copies cost one row each and no pairs. Within a ba
 bucket the members are first held against one hub, the one with most collisions;
 the components that gives settle nearly all of them: a link between members of one
 component could change nothing. Of members of different components that still
-share a bucket, those that provably reach nobody drop out, and the rest are
-compared exactly, block against block.
+share a bucket, those that provably reach nobody drop out, and the rest meet in
+their rarest shingles and are compared exactly.
 
 Definitions: words are maximal runs without ASCII white space, A-Z lower-cased; a
 document with fewer than ``n`` words is one shingle, one without words has the
 empty set and links with nothing. Rows without doc_id link with nothing and are
-kept. Rows that repeat a doc_id are one node.
+kept (component_id null, n_shingles as for any other). Rows that repeat a doc_id are
+one node: with different texts it is found by its smallest set (by size, then hash)
+and linked if any of its texts reaches the other; each row has the same component.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import begin, compact, materialise, release, slices, text_bytes
 from .graph import components
-from .textkit import mix, shingles, word_hashes
+from .textkit import all_shingles, mix, word_hashes
 
 U = np.uint64
 BUCKET_BITS = 7
@@ -40,7 +42,7 @@ MANTISSA = 10
 BAND_ROWS = 4
 #: Standard errors that an estimate may fall below the threshold before a pair is discarded.
 SLACK = 6.0
-#: Sets of one side of a block that is compared with another block of the same group.
+#: Sets that may meet in one shingle as pairs; of more, the sets of one side of a block that is compared with another.
 BLOCK = 128
 #: Ids (8 bytes each) up to which a filter on them is broadcast.
 BROADCAST_IDS = 500_000
@@ -50,26 +52,22 @@ BROADCAST_IDS = 500_000
 DONORS = np.stack([np.r_[j, np.random.default_rng(j).permutation(BUCKETS)] for j in range(BUCKETS)])
 
 
-def registers(sets: list[np.ndarray], first: int = BUCKETS) -> np.ndarray:
-    """HyperMinHash registers (sets x the ``first`` of BUCKETS) of sorted distinct hashes; 0: empty set."""
-    rest = 64 - BUCKET_BITS
-    edges = np.arange(BUCKETS, dtype=U) << U(rest)
-    low = np.zeros((len(sets), BUCKETS), U)
-    full = np.zeros((len(sets), BUCKETS), bool)
-    for r, s in enumerate(sets):
-        if len(s):
-            at = np.searchsorted(s, edges)
-            held = np.minimum(at, len(s) - 1)
-            full[r] = (at < len(s)) & (s[held] >> U(rest) == np.arange(BUCKETS, dtype=U))
-            low[r] = s[held] & U((1 << rest) - 1)
-    value = np.maximum(low >> U(rest - 52), 1)  # 52 bits: exact as floats
+def registers(h: np.ndarray, bounds: np.ndarray, first: int = BUCKETS) -> np.ndarray:
+    """HyperMinHash registers (sets x the ``first`` of BUCKETS) of sets h[bounds[i]:bounds[i + 1]], each sorted and distinct; 0: empty set."""
+    rest, sets = 64 - BUCKET_BITS, len(bounds) - 1
+    cell = np.repeat(np.arange(sets), np.diff(bounds)) << BUCKET_BITS | (h >> U(rest)).astype(np.int64)
+    least = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])  # the first of a bucket is its minimum
+    value = np.maximum((h[least] & U((1 << rest) - 1)) >> U(rest - 52), 1)  # 52 bits: exact as floats
     zeros = 52 - np.frexp(value.astype(np.float64))[1]
-    shifted = value << zeros.astype(U)  # the leading one is now bit 51
-    mantissa = (shifted >> U(51 - MANTISSA)) & U((1 << MANTISSA) - 1)
-    out = np.where(full, (zeros.astype(U) << U(MANTISSA) | mantissa) + U(1), U(0)).astype(np.uint16)
+    mantissa = ((value << zeros.astype(U)) >> U(51 - MANTISSA)) & U((1 << MANTISSA) - 1)  # below the leading one, now bit 51
+    out = np.zeros(sets << BUCKET_BITS, np.uint16)
+    out[cell[least]] = (zeros.astype(U) << U(MANTISSA) | mantissa) + U(1)
+    out = out.reshape(sets, BUCKETS)
+    full = out > 0
     donors, which = DONORS[:first], np.arange(first)
-    for r in np.flatnonzero(full.any(1) & ~full[:, :first].all(1)):  # an empty bucket takes the register of another, the same way for every set
-        out[r, :first] = out[r, donors[which, full[r][donors].argmax(1)]]
+    open_ = np.flatnonzero(full.any(1) & ~full[:, :first].all(1))
+    for rows in np.split(open_, range(512, len(open_), 512)):  # an empty bucket takes the register of another, the same way for every set
+        out[rows, :first] = out[rows[:, None], donors[which, full[rows][:, donors].argmax(2)]]
     return out[:, :first]
 
 
@@ -93,13 +91,23 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return np.clip((same / a.shape[1] - chance) / (1 - chance), 0, 1), size
 
 
+def shingle_table(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the sorted distinct shingle hashes of each text, one text after the other."""
+    data, offs = text_bytes(texts)
+    words, _, _, first = word_hashes(data, offs)
+    h, doc = all_shingles(words, first, n)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
+    return h[new], np.searchsorted(doc[new], np.arange(len(offs)))
+
+
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, a bounded number of bytes at a time."""
     out = []
     for b in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
-        data, offs = text_bytes(b.column("text"))
-        h, _, _, first = word_hashes(data, offs)
-        out += [np.unique(shingles(h[first[d] : first[d + 1]], n)) for d in range(b.num_rows)]
+        h, bounds = shingle_table(b.column("text"), n)
+        out += np.split(h, bounds[1:-1])
     return out
 
 
@@ -110,14 +118,14 @@ def sketches(items: DataFrame, n: int, rows: int = BAND_ROWS, buckets: int = BUC
         begin("text")
         for whole in batches:
             for b in slices(whole, "text"):
-                sets = shingle_sets(b.column("text"), n)
-                size = np.array([len(s) for s in sets], np.int64)
-                sig = np.array([[s.sum(dtype=U), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)] for s in sets], U)
-                regs = registers(sets, buckets)
+                h, bounds = shingle_table(b.column("text"), n)
+                sums = [np.r_[U(0), np.cumsum(x)] for x in (h, mix(h ^ U(0x5851F42D4C957F2D)))]
+                sig = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
+                regs = registers(h, bounds, buckets)
                 keys, valid = bands(regs, rows)
                 keys, counts = keys[valid].view(np.int64), valid.sum(1)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(keys))
-                cols = [b.column("id"), pa.array(size), pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64)), lists, pa.array([r.tobytes() for r in regs], pa.binary())]
+                cols = [b.column("id"), pa.array(np.diff(bounds)), *map(pa.array, sig), lists, pa.array([r.tobytes() for r in regs], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "sig_a", "sig_b", "bands", "regs"])
 
     return items.select("id", "text").mapInArrow(run, "id long, size long, sig_a long, sig_b long, bands array<long>, regs binary")
@@ -133,7 +141,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
             if not x.num_rows:
                 continue
             na, nb = x.column("size_a").to_numpy(), x.column("size_b").to_numpy()
-            ra, rb = (np.stack([np.frombuffer(v, np.uint16) for v in x.column(c).to_pylist()]) for c in ("regs_a", "regs_b"))
+            ra, rb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(x.num_rows, -1) for c in ("regs_a", "regs_b"))
             j, size = estimate(ra, rb, na, nb)
             t = num / den
             fine = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (j >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(size, 1)))
@@ -188,7 +196,8 @@ def _cluster(items: DataFrame, n: int, num: int, den: int, rows: int, buckets: i
     classes = materialise(all_.where("size > 0").groupBy(*sig).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
     member = materialise(all_.select("id", *sig).join(classes, sig, "left").select("id", "size", F.coalesce("rep", "id").alias("rep")), "member")
     others = member.where("id <> rep").select("id")
-    reps = materialise(all_.where("size > 0").dropDuplicates(["id"]).join(others, "id", "left_anti").select("id", "size", "bands", "regs"), "reps")
+    smallest = F.min_by(F.struct("size", "bands", "regs"), F.struct("size", "sig_a", "sig_b")).alias("s")
+    reps = materialise(all_.where("size > 0").groupBy("id").agg(smallest).join(others, "id", "left_anti").select("id", "s.*"), "reps")
     release(all_)
     release(classes)
 
@@ -212,18 +221,17 @@ def _cluster(items: DataFrame, n: int, num: int, den: int, rows: int, buckets: i
     open_ = materialise(held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
     still = materialise(held.join(open_, "key"), "still")
     release(open_)
-    still, before = _linkable(still, reps, items, n, num, den), still
-    release(before)
-    links.append(materialise(_compared(still, items, n, num, den), "links"))
+    left, own = _linkable(still, reps, items, n, num, den)
+    links.append(_compared(left, own, reps, items, n, num, den))
     final = materialise(components(_union(links)), "final")
     out = materialise(member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "size", F.coalesce("component", "rep").alias("component")), "clusters")
-    for t in (member, reps, shared, met, degree, hubs, spokes, label, held, still, final, *links):
+    for t in (member, reps, shared, met, degree, hubs, spokes, label, held, still, left, own, final, *links):
         release(t)
     return out
 
 
-def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Rows (key, id, component) whose set can reach the threshold with one of another component in its band bucket.
+def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, component, size) and (id, component, h) of the rows (key, id, component) whose set can reach the threshold with one of another component in its band bucket.
 
     Shingles that no set of another component has cannot be in an intersection that
     matters: with e the others, a link needs num * (|x| + |y|) <= (num + den) * e(x), and
@@ -252,33 +260,56 @@ def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
     fits = F.exists("sizes", lambda y: (den * y >= num * F.col("size")) & (num * (F.col("size") + y) <= (num + den) * F.col("common")))
     able = materialise(known.join(least, "key").where(fits).select("key", "id", "component"), "able")
     open_ = materialise(able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
-    out = materialise(able.join(open_, "key").select("key", "id", "component"), "still")
+    left = able.join(open_, "key").select("id", "component").distinct().join(sized.select("id", "size"), "id")
+    left = materialise(left.select("id", "component", "size"), "left")
+    kept = materialise(own.join(left.select("id"), "id", "left_semi"), "own")
     for t in (own, across, sized, known, least, able, open_):
         release(t)
-    return out
+    return left, kept
 
 
-def _compared(still: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Confirmed links (a, b) between different components of rows (key, id, component) that share buckets.
+def _compared(left: DataFrame, own: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of sets (id, component, size) with shingles (id, component, h).
 
-    Ids that buckets tie together form a group; a group of any size is dealt out as
-    pairs of blocks of about BLOCK ids, and a task compares two blocks by exact
-    intersection counts. Only confirmed pairs leave it.
+    Two sets that reach the threshold share a shingle among the size - ceil(num * size /
+    den) + 1 rarest of each. So sets meet only in such shingles: those that one set alone
+    holds come first and meet nobody, and what large groups have in common comes last.
+    Where more than BLOCK sets meet in one shingle all the same, they are dealt out as
+    pairs of blocks, and a task compares two blocks by exact intersection counts.
     """
-    first = materialise(still.groupBy("key").agg(F.min("id").alias("first")), "first")
-    tied = components(still.join(first, "key").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    tied = materialise(tied.withColumnRenamed("component", "group"), "tied")
-    size = materialise(tied.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    ids = materialise(still.select("id", "component").distinct(), "ids")
-    placed = ids.join(tied, "id").join(size, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    text = _involved(items.select("id", "text"), ids.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    often = materialise(own.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    met = materialise(own.select("id", "h").join(often, "h"), "often-met")
+    rarest = Window.partitionBy("id").orderBy("n", "h")
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("id"))
+    reach = F.col("size") - F.ceil(F.col("size") * num / den) + 1
+    ranked = met.join(left, "id").withColumns({"place": F.row_number().over(rarest) + alone, "reach": reach}).where("place <= reach")
+    prefix = materialise(ranked.select("h", "id", "component", "size"), "prefix")
+    groups = materialise(prefix.groupBy("h").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "m"), "groups")
+    side = prefix.join(groups.where(F.col("m") <= BLOCK).select("h"), "h")
+    other = side.toDF("h", "b", "component_b", "size_b")
+    near = (F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & (den * F.least("size", "size_b") >= num * F.greatest("size", "size_b"))
+    pairs = side.withColumnRenamed("id", "a").join(other, "h").where(near).select("a", "b").distinct()
+    links = materialise(confirmed(pairs, reps, items, n, num, den), "links")
+    large = groups.where(F.col("m") > BLOCK)
+    if not large.isEmpty():
+        links, before = materialise(links.unionByName(_by_blocks(prefix.join(large, "h"), items, n, num, den)), "links"), links
+        release(before)
+    for t in (often, met, prefix, groups):
+        release(t)
+    return links
+
+
+def _by_blocks(members: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links between different components of members (h, id, component, m), m of which meet in h."""
+    placed = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    text = _involved(items.select("id", "text"), members.select(F.col("id").alias("a"), F.col("id").alias("b")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("id", "component", "group", "block", other).join(text, "id")
+    dealt = placed.select("id", "component", "h", "block", other).join(text, "id")
     dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         begin("text")
-        part = part.drop_duplicates("id")
+        part = part.sort_values(["id", "text"]).drop_duplicates("id")
         out: list[tuple[int, int]] = []
         if part["component"].nunique() > 1:
             sets = shingle_sets(pa.array(part["text"].tolist(), pa.string()), n)
@@ -297,9 +328,8 @@ def _compared(still: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
             out = list(zip(ids[a].tolist(), ids[b].tolist(), strict=True))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    links = dealt.groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
     with compact(items.sparkSession, False):  # much work on few bytes
-        return materialise(links, "compared")
+        return materialise(dealt.groupBy("h", "lo", "hi").applyInPandas(compare, "a long, b long"), "compared")
 
 
 def _union(links: list[DataFrame]) -> DataFrame:
@@ -319,7 +349,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (rows that repeat a doc_id: each)."""
     found = cluster(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), n, num, den)
     rows = found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
-    lost = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    null = F.lit(None).cast("long")
+    lost = sketches(docs.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("id"), "text"), n)
+    lost = lost.select(null.alias("doc_id"), F.col("size").alias("n_shingles"), null.alias("component_id"), F.lit(True).alias("kept"))
     return rows.unionByName(lost)
 
 

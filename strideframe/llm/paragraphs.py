@@ -134,8 +134,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """key (id of a line or joined paragraph), component and first (1: the member that stays) of components of two or more."""
     line = F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "text")
     lines = docs.select("key", "doc_id", line).where("text IS NOT NULL")
-    words = F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
-    lines = lines.where((F.length("text") >= 2 * LINE_WORDS - 1) & (words >= LINE_WORDS))
+    lines = lines.where(F.col("text").rlike(rf"^[ \t-\r]*+(?:[^ \t-\r]++[ \t-\r]++){{{LINE_WORDS - 1}}}[^ \t-\r]"))
     joined = joined_paragraphs(docs)
     place = [F.col("line").cast("long").alias("line"), "text"]
     lines = lines.select(_line_id(F.col("key"), F.col("line")).alias("id"), "doc_id", F.lit(1).alias("kind"), *place)

@@ -75,13 +75,23 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return range_hash(prefix_hash(LOWER[data]), starts, ends), starts, ends, first
 
 
-def shingles(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-word shingles of one document's word hashes; the whole sequence if shorter."""
-    k = min(n, len(words))
-    if not k:
-        return np.zeros(0, U)
-    acc = np.full(len(words) - k + 1, k, U)
-    for j in range(k):
-        acc = (acc ^ words[j : len(words) - k + 1 + j]) * U(0xFF51AFD7ED558CCD)
-        acc ^= acc >> U(32)
-    return mix(acc)
+def all_shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of the n-word shingles of documents words[first[d]:first[d + 1]]; a shorter one is one shingle."""
+    size = np.diff(first)
+    parts, owners = [], []
+    for k in range(1, n + 1):
+        if k < n:
+            docs = np.flatnonzero(size == k)
+            at = first[docs]
+        else:
+            at = np.arange(max(len(words) - n + 1, 0))
+            doc = np.repeat(np.arange(len(size)), size)
+            at = at[doc[at] == doc[at + n - 1]]
+            docs = doc[at]
+        acc = np.full(len(at), k, U)
+        for j in range(k):
+            acc = (acc ^ words[at + j]) * U(0xFF51AFD7ED558CCD)
+            acc ^= acc >> U(32)
+        parts.append(mix(acc))
+        owners.append(docs)
+    return np.concatenate(parts), np.concatenate(owners)
