@@ -5,7 +5,11 @@ bucket per length class. In every round each row finds the leftmost of its
 minimum-rank pairs by a hashed pair lookup, merges it, and closes the gap; rows
 without a pair leave the matrix. Decoding concatenates the byte strings of ids.
 
+A pre-token of over 512 bytes is a matrix of its own, whose row minima find the next
+merge (:meth:`ByteBPE.merge_long`); it may be as long as the text.
+
 Null text is treated as empty: no ids and no bytes. Extra columns pass through.
+Repeated rows are coded each; no rows give none.
 """
 
 from __future__ import annotations
@@ -105,22 +109,53 @@ class ByteBPE:
             out[live, : ids.shape[1]], out_lens[live] = ids, n
         return out, out_lens
 
-    def merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One row of any length, ranks kept between rounds: memory and work a round stay linear."""
-        ranks = self.pairs.get(ids[:-1], ids[1:])
-        while len(ranks):
-            at = int(ranks.argmin())
-            if ranks[at] == NONE:
-                break
-            ids[at] = ranks[at]
-            ids[at + 1 : -1] = ids[at + 2 :].copy()
-            ids = ids[:-1]
-            ranks[at:-1] = ranks[at + 1 :].copy()
-            ranks = ranks[:-1]
-            lo, hi = max(at - 1, 0), min(at + 1, len(ids) - 1)
-            if hi > lo:
-                ranks[lo:hi] = self.pairs.get(ids[lo:hi], ids[lo + 1 : hi + 1])
-        return ids
+    def merge_long(self, ids: np.ndarray, width: int = 256) -> np.ndarray:
+        """One row of any length, laid out as a matrix of ``width`` columns whose row minima are kept.
+
+        A round finds the least rank by the minima and merges all of its places from left
+        to right, up to the first merge that makes a pair of lower rank; what is merged
+        leaves a hole, so a round costs the rows it touches and not the length.
+        """
+        n = len(ids)
+        ids = np.r_[ids, np.zeros(1, ids.dtype)]  # one more place, for what follows the last
+        rank = np.full(-(-n // width) * width, NONE)
+        rank[: n - 1] = self.pairs.get(ids[: n - 1], ids[1:n])
+        grid = rank.reshape(-1, width)
+        least = grid.min(1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # neighbours that are left; n: none
+
+        def pair(left: np.ndarray, right: np.ndarray, fine: np.ndarray) -> np.ndarray:
+            return np.where(fine, self.pairs.get(left, right), NONE)
+
+        while (r := least.min()) < NONE:
+            rows = np.flatnonzero(least == r)
+            y, x = np.nonzero(grid[rows] == r)
+            at = rows[y] * width + x
+            linked = np.r_[False, after[at[:-1]] == at[1:]]  # shares a token with the place before
+            run = np.arange(len(at)) - np.maximum.accumulate(np.where(linked, 0, np.arange(len(at))))
+            at = at[run % 2 == 0]
+            gone = after[at]
+            right, left = after[gone], before[at]
+            joined = np.r_[False, right[:-1] == at[1:]]  # the token to the left has just been made
+            made = np.full(len(at), r, ids.dtype)
+            lower = (pair(np.where(joined, r, ids[left]), made, left >= 0) < r) | (pair(made, ids[right], right < n) < r)
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+                gone = after[at]
+            right = after[gone]
+            ids[at], after[at], before[right] = r, right, at
+            rank[gone] = NONE
+            left = before[at]
+            rank[at] = pair(ids[at], ids[right], right < n)
+            left = left[left >= 0]
+            rank[left] = self.pairs.get(ids[left], ids[after[left]])
+            touched = np.unique(np.r_[at, gone, left] // width)
+            least[touched] = grid[touched].min(1)
+        out, i = [], 0
+        while i < n:
+            out.append(i)
+            i = int(after[i])
+        return ids[out]
 
     def learn(self, pieces: list[str]) -> None:
         """Put the ids of distinct pre-tokens into the memo."""

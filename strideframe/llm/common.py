@@ -76,9 +76,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir`` (own temp folder only where that is unset)."""
+    """A fresh folder name below ``spark.checkpoint.dir`` (own temp folder where that is unset and all runs on one machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='strideframe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/strideframe-{uuid.uuid4().hex[:12]}"

@@ -2,18 +2,24 @@
 
 Texts become tokens; numbers, names and units turn into typed placeholders, so an
 item whose quantities or people were exchanged keeps its template. Windows of
-WINDOW canonical tokens are hashed and joined; an item counts as found in a
-document if enough of its windows match and the slots are filled consistently: on
-one alignment each value of the item stands for one value of the document and
-the other way round.
+WINDOW canonical tokens are hashed and joined; windows that keep their distance form an
+alignment. An alignment counts if its slots are filled consistently: each value of
+the item stands for one value of the document and the other way round. Alignments
+that agree with each other on the values are united, those with most windows first
+(text inserted into an item splits it into two), and the item counts as found if
+enough distinct windows of it match; a window that a document repeats counts once.
+
+An item of fewer than WINDOW tokens is one window of its own length: it is found where
+its tokens, lower-cased, follow each other word for word.
 
 Tokens are letter runs and numbers; full stops, question and exclamation marks end
 sentences. A name is a capitalised word that does not begin a sentence; a unit is
 one of UNITS right after a number.
 
-Definitions: null or empty texts have no windows. Items with fewer than WINDOW tokens
-are too short to tell and match nothing. Rows without doc_id or item_id take no
-part. Repeated rows count once. Columns of other names are ignored.
+Definitions: null or empty texts, and texts without tokens, have no windows. Rows
+without doc_id or item_id take no part. Repeated rows count once; rows that repeat an
+id with other texts are judged each, and the best match of the two ids is returned.
+Columns of other names are ignored; an empty side gives no rows.
 """
 
 from __future__ import annotations
@@ -55,12 +61,17 @@ def _pairs(step: int, h: str) -> Column:
     return F.when(n > 0, F.zip_with(F.slice(F.col(h), F.lit(1), n), F.slice(F.col(h), F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
 
 
-def windows(rows: DataFrame, key: str) -> DataFrame:
-    """key, words (canonical and raw tokens without sentence ends), h (window hashes by position)."""
-    out = rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, tokens(F.col("text")).alias("raw"))
-    out = out.select(key, F.transform("raw", lambda t, i: F.struct(_canonical(F.col("raw"), t, i).alias("c"), t.alias("t"))).alias("both"))
-    out = out.select(key, F.filter("both", lambda x: ~_is_stop(x["c"])).alias("words"))
-    out = out.withColumn("h", F.transform("words", lambda x: F.xxhash64(x["c"])))
+def _words(rows: DataFrame, id: str) -> DataFrame:
+    """key (of id and text), id, words (canonical and raw tokens without sentence ends)."""
+    own = rows.where(F.col(id).isNotNull() & F.col("text").isNotNull())
+    out = own.select(F.xxhash64(id, "text").alias("key"), F.col(id), tokens(F.col("text")).alias("raw"))
+    out = out.select("key", id, F.transform("raw", lambda t, i: F.struct(_canonical(F.col("raw"), t, i).alias("c"), t.alias("t"))).alias("both"))
+    return out.select("key", id, F.filter("both", lambda x: ~_is_stop(x["c"])).alias("words"))
+
+
+def windows(rows: DataFrame, id: str) -> DataFrame:
+    """key, id, words, h (hashes of the windows by position; none in texts of fewer than WINDOW tokens)."""
+    out = _words(rows, id).withColumn("h", F.transform("words", lambda x: F.xxhash64(x["c"])))
     step = 1
     while step < WINDOW:
         out = out.withColumn("h", _pairs(step, "h"))
@@ -68,6 +79,13 @@ def windows(rows: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def _verbatim(size: int) -> Column:
+    """Hashes of the runs of ``size`` lower-cased tokens, by position."""
+    low = F.transform("words", lambda x: F.lower(x["t"]))
+    every = F.sequence(F.lit(1), F.size("words") - size + 1)
+    return F.when(F.size("words") >= size, F.transform(every, lambda i: F.xxhash64(F.lit(size), F.slice(low, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
+
+
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -75,30 +93,55 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, matched (windows), windows (of the item), coverage: one row for each item found in a document."""
     items = materialise(windows(benchmark.select("item_id", "text").dropDuplicates(), "item_id"), "items")
-    grams = materialise(items.select("item_id", F.size("h").alias("windows"), F.posexplode_outer("h").alias("place", "h")).where("h IS NOT NULL"), "grams")
+    short = [r["n"] for r in items.select(F.size("words").alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect()]  # at most WINDOW - 1 lengths
+    whole = F.col("h")
+    for size in sorted(short):
+        whole = F.when(F.size("words") == size, _verbatim(size)).otherwise(whole)
+    grams = items.select(F.col("key").alias("item"), "item_id", whole.alias("h")).select("item", "item_id", F.size("h").alias("windows"), F.posexplode_outer("h").alias("place", "h"))
+    grams = materialise(grams.where("h IS NOT NULL"), "grams")
     known = _sized(grams, grams.count())
-    own = windows(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode_outer("h").alias("at", "h"))  # outer: no filter is inferred that would build h anew
-    hits = own.join(known, "h").groupBy("doc_id", "item_id", "windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.countDistinct("place").alias("matched"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    own = windows(docs.select("doc_id", "text"), "doc_id")
+    every = F.transform("h", lambda h, i: F.struct(i.alias("at"), h.alias("h")))
+    if short:
+        every = F.concat(every, *[F.transform(_verbatim(size), lambda h, i: F.struct(i.alias("at"), h.alias("h"))) for size in short])
+    own = own.select(F.col("key").alias("doc"), "doc_id", F.explode_outer(every).alias("w")).select("doc", "doc_id", "w.*")  # outer: no filter is inferred that would build h anew
+    hits = own.join(known, "h").groupBy("doc", "doc_id", "item", "item_id", "windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
     per_shift = materialise(hits, "shifts")
-    total = per_shift.groupBy("doc_id", "item_id", "windows").agg(F.sum("matched").alias("all"))
-    likely = materialise(total.where(F.col("all") >= F.col("windows") * coverage).select("doc_id", "item_id"), "likely")
-    aligned = materialise(per_shift.join(likely, ["doc_id", "item_id"]), "aligned")
+    pair = ["doc", "doc_id", "item", "item_id", "windows"]
+    reached = per_shift.select(*pair, F.explode("places").alias("place")).groupBy(*pair).agg(F.countDistinct("place").alias("all"))
+    likely = materialise(reached.where(F.col("all") >= F.col("windows") * coverage).select("doc", "item"), "likely")
+    aligned = materialise(per_shift.join(likely, ["doc", "item"]), "aligned")
 
     # Slots are checked in the few documents that are left.
     n = aligned.count()
-    wanted = _sized(aligned, n)
-    few = docs.select("doc_id", "text").join(_sized(likely.select("doc_id").distinct(), n), "doc_id", "left_semi")
-    texts = windows(few, "doc_id").select("doc_id", F.col("words").alias("mine"))
-    item_words = items.select("item_id", F.col("words").alias("theirs"))
-    joined = texts.join(wanted, "doc_id").join(_sized(item_words, item_words.count()), "item_id")
-    length = F.col("hi") - F.col("lo") + WINDOW
-    theirs = F.slice("theirs", F.col("lo") + 1, length)
-    mine = F.slice("mine", F.col("lo") + F.col("shift") + 1, length)
-    slots = F.array_distinct(F.filter(F.zip_with(theirs, mine, _slot), lambda x: x["a"].isNotNull()))
-    checked = joined.withColumn("slots", slots).withColumn("ok", (F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["b"]))) == F.size("slots")))
-    found = checked.where("ok").groupBy("doc_id", "item_id", "windows").agg(F.least(F.sum("matched"), F.first("windows").cast("long")).alias("matched"))
-    out = found.where(F.col("matched") >= F.col("windows") * coverage)
-    return materialise(out.select("doc_id", "item_id", "matched", F.col("windows").cast("long").alias("windows"), (F.col("matched") / F.col("windows")).alias("coverage")), "leaks")
+    few = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(_sized(aligned.select("doc_id").distinct(), n), "doc_id", "left_semi")
+    mine = _words(few.dropDuplicates(), "doc_id").select(F.col("key").alias("doc"), F.col("words").alias("mine"))
+    theirs = items.select(F.col("key").alias("item"), F.col("words").alias("theirs"))
+    joined = mine.join(_sized(aligned, n), "doc").join(_sized(theirs, theirs.count()), "item")
+    lo = F.array_min("places")
+    length = F.array_max("places") - lo + F.least(F.lit(WINDOW), F.size("theirs"))
+    slots = F.zip_with(F.slice("theirs", lo + 1, length), F.slice("mine", lo + F.col("shift") + 1, length), _slot)
+    slots = F.array_sort(F.array_distinct(F.filter(slots, lambda x: x["a"].isNotNull())))
+    alignment = F.struct((-F.size("places")).alias("less"), F.array_sort("places").alias("places"), slots.alias("slots"))
+    checked = joined.select(*pair, alignment.alias("x")).where(_one_to_one(F.col("x.slots")))
+    united = checked.groupBy(*pair).agg(F.array_sort(F.collect_set("x")).alias("all"))
+    none = F.struct(F.expr("cast(array() as array<int>)").alias("places"), F.expr("cast(array() as array<struct<a:string,b:string>>)").alias("slots"))
+    total = F.aggregate("all", none, _unite, lambda acc: F.size(acc["places"]))
+    found = united.select("doc_id", "item_id", "windows", total.cast("long").alias("matched")).where(F.col("matched") >= F.col("windows") * coverage)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("matched") / F.col("windows")).alias("coverage"), "matched", F.col("windows").cast("long").alias("windows"))).alias("x"))
+    return materialise(best.select("doc_id", "item_id", "x.matched", "x.windows", "x.coverage"), "leaks")
+
+
+def _one_to_one(slots: Column) -> Column:
+    """Whether each value of distinct slots stands for one value of the other side."""
+    left, right = (F.array_distinct(F.transform(slots, lambda x: x[side])) for side in ("a", "b"))  # noqa: B023
+    return (F.size(left) == F.size(slots)) & (F.size(right) == F.size(slots))
+
+
+def _unite(acc: Column, x: Column) -> Column:
+    """Windows and slots with those of one more alignment, where all slots agree."""
+    slots = F.array_union(acc["slots"], x["slots"])
+    return F.when(_one_to_one(slots), F.struct(F.array_union(acc["places"], x["places"]).alias("places"), slots.alias("slots"))).otherwise(acc)
 
 
 def _slot(a: Column, b: Column) -> Column:
@@ -108,6 +151,6 @@ def _slot(a: Column, b: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Filtering stage: documents in which no benchmark item is found, all columns as they were."""
+    """Filtering stage: documents in which no benchmark item is found, all columns as they were. Rows that share a contaminated doc_id go together."""
     found = materialise(leaks(docs, benchmark).select("doc_id").distinct(), "contaminated")
     return docs.join(_sized(found, found.count()), "doc_id", "left_anti").select(*docs.columns)

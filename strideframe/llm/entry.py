@@ -18,7 +18,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pii.digest(docs, pii.fit(docs))
+    return pii.digest(docs, pii.fit(spark))
 
 
 def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, PIECES)
-    folds = docs.select("doc_id", "text", (langid.fold() == 0).alias("held_out"))
+    folds = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
     return langid.predict(folds, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 

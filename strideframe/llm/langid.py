@@ -8,7 +8,8 @@ maximisation on the words of a bounded, documented sample of labelled rows.
 
 Definitions: a null text, or one without a letter, is ``und`` with score 0. Rows
 without language teach nothing. With no labelled row every text is ``und``.
-Ties go to the alphabetically first language. Repeated rows are predicted alike.
+Ties go to the alphabetically first language. Repeated rows are predicted alike, and
+teach each. A null doc_id is never held out. No rows give none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +36,6 @@ ROUNDS = 3
 MEMO = 200_000
 UNKNOWN = -14.0  # log probability of a character that no piece covers, in any language
 FLOOR = 1e-7
-MAX_PIECE = 12
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -45,7 +46,7 @@ def vocabulary(path: str) -> dict[str, int]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    kept = sorted(p for p in pieces if len(p) <= MAX_PIECE and p.replace("▁", "").isalpha())
+    kept = sorted(p for p in pieces if p.replace("▁", "").isalpha())
     return {p: i for i, p in enumerate(kept)}
 
 
@@ -59,6 +60,7 @@ class Pieces:
         keys = range_hash(prefix_hash(chars), ends - [len(p) for p in names], ends)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.fromiter(vocab.values(), np.int64)[order]
+        self.longest = max(map(len, names), default=0)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[keys >> np.uint64(44)] = True
 
@@ -91,7 +93,7 @@ class Lattice:
         row = np.repeat(np.arange(self.n), self.len)
         room, begin = stop[row] - np.arange(len(chars)), stop - self.len
         pre, found = prefix_hash(chars), []
-        for size in range(1, MAX_PIECE + 1):
+        for size in range(1, pieces.longest + 1):
             s = np.flatnonzero(room >= size)
             s, ids = pieces.find(pre, s, size)
             r = row[s]
@@ -190,21 +192,34 @@ class LanguageModel:
         return names, probs
 
 
-def fold(doc_id: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
+def held_out(doc_id: str = "doc_id"):
+    """Whether a row must not teach; a null doc_id is never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """lang, word, n of rows (lang, text); words are cut as for prediction, counts summed in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
+        for whole in batches:
+            for b in slices(whole, "text"):
+                seen = Counter((lang, w) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) for w in words_of(t))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+
+    return rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> LanguageModel:
     """Fit on labelled rows of folds 1 to 4: all languages, each on a bounded hash sample of its rows."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs, vocab, pieces = sorted(sizes), vocabulary(path), piece_index(path)
     ticket = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30))
     chance = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, sample_docs / n))))]) if sizes else None
     logp = np.empty((len(vocab), len(langs)))
     if langs:
-        found = rows.where(ticket < chance[F.col("lang")]).select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-        counted = materialise(found.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")), "langid")
+        counted = materialise(word_counts(rows.where(ticket < chance[F.col("lang")])), "langid")
         for k, lang in enumerate(langs):
             top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(sample_words).collect()
             words, weight = [r["word"] for r in top], np.array([r["n"] for r in top], float)

@@ -37,7 +37,7 @@ from . import lookup
 from .common import begin, materialise, release, slices, text_bytes
 from .neardup import cluster
 from .repeats import merged
-from .textkit import mix, prefix_hash, range_hash, word_hashes, word_spans
+from .textkit import mix, prefix_hash, range_hash, running_hash, word_hashes, word_spans
 
 U = np.uint64
 LINE_WORDS = 8
@@ -51,9 +51,9 @@ GRAM = 8
 BAND_ROWS, REGISTERS = 3, 36
 
 
-def _short_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+def _short_lines(data: np.ndarray, offs: np.ndarray, words: tuple | None = None) -> tuple[np.ndarray, ...]:
     """(document, line of the batch, start, class) of the lines of 1 to LINE_WORDS - 1 words; equal classes: equal shingle sets."""
-    h, start, _, first = word_hashes(data, offs)
+    h, start, _, _ = word_hashes(data, offs) if words is None else words
     of, lo, hi = _lines(data, offs)
     a, b = np.searchsorted(start, lo), np.searchsorted(start, hi)
     line = np.flatnonzero((b > a) & (b - a < LINE_WORDS))
@@ -71,10 +71,10 @@ def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return of, np.sort(np.r_[offs[:-1], breaks + 1]), np.sort(np.r_[breaks, offs[1:]])
 
 
-def _joined(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _joined(data: np.ndarray, offs: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(head, size) for every line of a batch: first line and number of lines of its joined paragraph; size 0: in none."""
     of, lo, hi = _lines(data, offs)
-    start = word_spans(data, offs)[0]
+    start = word_spans(data, offs)[0] if start is None else start
     fits = (hi - lo <= WRAP) & (np.searchsorted(start, hi) > np.searchsorted(start, lo))
     new = ~fits | np.r_[True, ~fits[:-1] | (of[1:] != of[:-1])][: len(of)]
     heads = np.flatnonzero(new)
@@ -83,23 +83,28 @@ def _joined(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return heads[group], np.where(fits & (size[group] > 1), size[group], 0)
 
 
-def _windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first word, document, hash, (anchor hash, place of the anchor)) of every window of STRETCH words that lies in one document."""
-    h, _, _, first = word_hashes(data, offs)
-    n = len(h) - STRETCH + 1
+def _anchors(pre: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, document, anchor hash, place of the anchor) of every window of STRETCH words that lies in one document.
+
+    ``pre``: prefix sums over word hashes; ``first``: first word of every document.
+    """
+    n = len(pre) - STRETCH
     if n < 1:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.stack([z, z])
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+        return z, z, z, z
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(doc[:n] == doc[STRETCH - 1 :])
-    pre = prefix_hash(h)
-    every = np.arange(len(h) - GRAM + 1)
-    gram = range_hash(pre, every, every + GRAM)
-    least, low = gram[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, STRETCH - GRAM + 1):
-        less = gram[j : j + n] < least
-        least[less], low[less] = gram[j : j + n][less], j
-    return at, doc[at], mix(range_hash(pre, at, at + STRETCH)).view(np.int64), np.stack([least.view(np.int64), np.arange(n) + low])[:, at]
+    gram = running_hash(pre, GRAM)
+    bits = U(len(gram).bit_length())
+    best = (gram >> bits << bits) | np.arange(len(gram), dtype=U)  # ties go to the leftmost
+    width, step = STRETCH - GRAM + 1, 1
+    while step * 2 <= width:
+        best = np.minimum(best[:-step], best[step:])
+        step *= 2
+    if width > step:
+        best = np.minimum(best[: len(best) - (width - step)], best[width - step :])
+    place = (best[at] & ((U(1) << bits) - U(1))).astype(np.int64)
+    return at, doc[at], gram[place].view(np.int64), place
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -174,7 +179,8 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         begin("text")
         for whole in batches:
             for b in slices(whole, "text"):
-                _, _, _, (anchor, place) = _windows(*text_bytes(b.column("text")))
+                h, _, _, first = word_hashes(*text_bytes(b.column("text")))
+                _, _, anchor, place = _anchors(prefix_hash(h), first)
                 new = np.r_[True, place[1:] != place[:-1]][: len(place)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[new])], names=["key"])
 
@@ -189,7 +195,8 @@ def repeated_windows(docs: DataFrame, anchors: lookup.Lookup) -> DataFrame:
         begin("text")
         for whole in batches:
             for b in slices(whole, "text"):
-                _, d, key = _shared(*text_bytes(b.column("text")), anchors)
+                h, _, _, first = word_hashes(*text_bytes(b.column("text")))
+                _, d, key = _shared(h, first, anchors)
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(pa.array(d)), pa.array(b.column("key").to_numpy()[d])], names=["key", "doc_id", "doc"])
 
     plain = docs.select("doc_id", "key", "text")
@@ -204,13 +211,15 @@ def _stretches(mask: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(mask & (edge[:-1] | ~np.r_[False, mask[:-1]])), np.flatnonzero(mask & (edge[1:] | ~np.r_[mask[1:], False]))
 
 
-def _shared(data: np.ndarray, offs: np.ndarray, anchors: lookup.Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared(h: np.ndarray, first: np.ndarray, anchors: lookup.Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, document, hash) of the windows whose anchor occurs more than once."""
-    at, d, key, (anchor, place) = _windows(data, offs)
+    pre = prefix_hash(h)
+    at, d, anchor, place = _anchors(pre, first)
     new = np.r_[True, place[1:] != place[:-1]][: len(place)]
     found = anchors.first(anchor[new])[0]
     keep = found[np.cumsum(new) - 1] if len(new) else np.zeros(0, bool)
-    return at[keep], d[keep], key[keep]
+    at = at[keep]
+    return at, d[keep], mix(range_hash(pre, at, at + STRETCH)).view(np.int64)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -235,39 +244,37 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             for b in slices(whole, "text"):
                 yield cut(b)
 
-    def _copies(data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def _copies(h: np.ndarray, first: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Which words lie in a window that occurred before."""
-        at, d, key = _shared(data, offs, by_anchor)
+        at, d, key = _shared(h, first, by_anchor)
         found, (doc,) = by_window.first(key, "doc")
         at, d, key, own = at[found], d[found], key[found], (doc == keys[d])[found]
         # In the first document the first place stays, and so do windows that overlap it.
         _, firsts, back = np.unique(mix(key.view(U) ^ mix(d.astype(U))), return_index=True, return_inverse=True)
         gone = at[~own | (at >= at[firsts][back] + STRETCH)]
-        depth = np.zeros(len(word_spans(data, offs)[0]) + 1, np.int64)
-        np.add.at(depth, gone, 1)
-        np.add.at(depth, gone + STRETCH, -1)
+        depth = np.bincount(gone, minlength=len(h) + 1) - np.bincount(gone + STRETCH, minlength=len(h) + 1)
         return np.cumsum(depth[:-1]) > 0
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = text_bytes(b.column("text"))
         raw, keys = data.tobytes(), b.column("key").to_numpy()
+        words = h, begins, ends, firsts = word_hashes(data, offs)
         ids = b.column("lines")
         bounds = ids.offsets.to_numpy() - ids.offsets[0].as_py()
         flat, flat_joined = (c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in (ids, b.column("paragraphs")))
         in_group, (first, component) = by_line.first(flat, "first", "component")
         in_joined, (joined_first, joined_component) = by_line.first(flat_joined, "first", "component")
-        lead, size = _joined(data, offs)
+        lead, size = _joined(data, offs, begins)
         in_joined, joined_first, joined_component = in_joined[lead] & (size > 0), joined_first[lead], joined_component[lead]
         # A line and the paragraph it is joined to may be of one component; what stays of it isn't removed as the other.
         stays = in_group & in_joined & (component == joined_component)
         gone_lines = in_group & (first == 0) & ~(stays & (joined_first == 1)) | in_joined & (joined_first == 0) & ~(stays & (first == 1))
-        short_d, short, short_start, short_key = _short_lines(data, offs)
+        short_d, short, short_start, short_key = _short_lines(data, offs, words)
         short_found, (short_doc, short_at) = by_short.first(short_key, "doc", "start")
         gone_lines[short[short_found & ~((short_doc == keys[short_d]) & (short_at == short_start))]] = True
         in_group[short[short_found]], component[short[short_found]] = True, short_key[short_found]
-        _, begins, ends, firsts = word_hashes(data, offs)
         of = np.repeat(np.arange(b.num_rows), np.diff(firsts))
-        gone_words = gone_lines[np.searchsorted(_lines(data, offs)[1], begins, "right") - 1] | _copies(data, offs, keys)
+        gone_words = gone_lines[np.searchsorted(_lines(data, offs)[1], begins, "right") - 1] | _copies(h, firsts, keys)
         head, tail = _stretches(gone_words, of)
         gone, spans = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         kept = [raw[offs[i] : offs[i + 1]] for i in range(b.num_rows)]

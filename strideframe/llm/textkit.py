@@ -49,6 +49,12 @@ def range_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def running_hash(pre: np.ndarray, size: int) -> np.ndarray:
+    """:func:`range_hash` of every range of ``size`` entries."""
+    n = max(len(pre) - size, 0)
+    return mix((pre[len(pre) - n :] - pre[:n]) * powers(_BASE_INV, len(pre))[:n] + U(size * 0xD6E8FEB86659FD93 & _MASK))
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and first-word index per document of maximal runs without ASCII white space.
 

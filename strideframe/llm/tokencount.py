@@ -9,7 +9,8 @@ space. Where an overlap holds no such position, it is widened; in the end the
 two chunks become one.
 
 Null text counts as empty (0 tokens); special strings inside texts are tokens of
-their own, as is the library's default.
+their own, as is the library's default. Repeated rows are counted each; no rows give
+none; columns of other names are ignored.
 """
 
 from __future__ import annotations

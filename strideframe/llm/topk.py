@@ -8,8 +8,9 @@ shuffled before the k-th value is known, only counts.
 Vectors are turned into floor(1024 * x), x as double. Vectors that are null or
 hold null or non-finite components take no part, nor do rows without id; vectors
 are compared only with those of the same length (empty ones score 0). A query is
-never matched with rows of its own id. Repeated rows are candidates each. With
-fewer than k candidates all are returned.
+never matched with rows of its own id. Repeated rows are candidates each; of rows
+that repeat a query's id the smallest vector asks. Scores beyond 2^62 either way are
+held there. With fewer than k candidates all are returned; no rows give none.
 """
 
 from __future__ import annotations
@@ -59,14 +60,16 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
     if bound < 2**53:
         return (queries.astype(np.float64) @ rows.T.astype(np.float64)).astype(np.int64)
-    return queries @ rows.T
+    if bound < 2**62:
+        return queries @ rows.T
+    return np.clip(queries.astype(object) @ rows.T.astype(object), LOW + 1, HIGH).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that ``is_query`` selects by their vec_id."""
     spark = vectors.sparkSession
     rows, home = quantised(vectors), f"{shared_dir(spark)}-topk"
-    asked = rows.where(is_query).dropDuplicates(["vec_id"]).withColumn("dim", F.size("v"))
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
     # Blocks of queries of one length, each a file that every executor can map.
     lens = asked.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e.cast("double"))))).alias("top"))

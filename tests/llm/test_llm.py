@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def none(odd):
 
 
 def test_pii(spark, odd, none):
-    model = pii.Boosted([])
+    model = pii.Boosted([], [])
     text = "a@b.c.@d.e +x@y.com 1.2.3.4.5.6.7.8 300.1.1.1 +1 (314) 555-6532 4111-1111-1111-1111 4111 1111 1111 1112 é a@b.co"
     base = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -53,13 +54,39 @@ def test_pii(spark, odd, none):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and r["spans"] == want
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
     assert "@" not in clean[99] and "[EMAIL]" in clean[99] and clean[0] is None
-    assert pii.redact(none, pii.fit(none)).count() == 0 and pii.redact(odd, model).columns == odd.columns
-
-
-def test_pii_trees_learn():
-    rows = [((3, 2, 1, a, b, c, 1), 90 if a and b else 1, 2 if a and b else 50) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
-    m = pii.Boosted(rows)
-    assert m.trees and "phone" in m.thresholds and "email" not in m.thresholds
+    assert pii.redact(none, model).count() == 0 and pii.redact(odd, model).columns == odd.columns
+
+
+def test_pii_adds_loose_forms_and_nothing_invalid(spark):
+    model = pii.fit(spark)
+    added = {"joe [at] corp [dot] com": "email:0:23", "call (555) 123-4567 now": "phone:5:19", "host 10[.]0[.]0[.]7 and 300[.]0[.]0[.]7": "ip:5:19", "mail me: ann at corp dot com": "email:9:28", "card 3782 822463 10005": "card:5:22", "IP: fe80:1::2": "ip:4:13"}
+    not_added = ["ip 300.1.1.1 here", "order no. 555-123-4567", "card 3782 822463 10006", "look at house dot matrix", "on the date 2021-03-04", "at 12:30:45:10"]
+    rows = [(i, t) for i, t in enumerate([*added, *not_added])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_email": F.lit(1), "row": F.lit("x"), "spans": F.lit(2), "all_ip": F.lit(3), "a.b": F.lit(4)})
+    got = {x["doc_id"]: x["spans"] for x in pii.digest(docs, model).collect()}
+    assert got == {i: added.get(t, "") for i, t in rows}
+    clean = pii.redact(docs, model)
+    assert clean.columns == docs.columns
+    texts = {x["doc_id"]: x["text"] for x in clean.collect()}
+    assert texts[1] == "call [PHONE] now" and all(texts[i] == t for i, t in rows if t in not_added)
+    # Precision and recall on planted texts that neither fitted nor calibrated.
+    other = common.materialise(pii.planted(spark).withColumn("id", F.col("id") + 1), "planted")
+    found = Counter()
+    for x in pii.counted(other).collect():
+        f = tuple(x["f"])
+        form = list(pii.FORMS)[f[0]]
+        taken = form in model.thresholds and model.score(f) >= model.thresholds[form]
+        found[form, "hit"] += x["p"] * taken
+        found[form, "false"] += (x["n"] - x["p"]) * taken
+        found[form, "all"] += x["p"]
+    for form in pii.LOOSE:
+        assert found[form, "hit"] >= 0.6 * found[form, "all"] > 0 and found[form, "false"] <= 0.06 * found[form, "hit"], (form, found)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    text = "a@b.co 1.2.3.4 " * 3000
+    got = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.Boosted([], [])).first()
+    assert (got["n_email"], got["n_ip"]) == (3000, 3000) and got["spans"].endswith("ip:44992:44999")
 
 
 @pytest.mark.parametrize("hot", [4096, 1])
@@ -108,6 +135,9 @@ def test_near_duplicates(spark, odd, none):
             for b in sets:
                 if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     comp[a] = comp[b] = min(comp[a], comp[b])
+    assert [tuple(x) for x in neardup.near_duplicates(docs, n=4).where("doc_id IS NULL").collect()] == [(None, 1, None, True)]
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (3, "a b c d e f")], "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(twice, n=4).collect() if x["doc_id"] == 1} == {1: 1}
     got = neardup.near_duplicates(docs, n=4).where("doc_id IS NOT NULL").collect()
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in got} == {d: (len(s), comp[d], comp[d] == d) for d, s in sets.items()}
     assert len(got) == len(rows)
@@ -127,14 +157,19 @@ def test_top_k(spark):
     common.tune(spark)
     r = np.random.default_rng(0)
     rows = [(i, r.normal(size=8).round(2).tolist()) for i in range(300)] + [(1000 + i, [0.5] * 8) for i in range(30)]
+    rows += [(3000, [1e9, 0.0] * 4), (3000, [2.0] * 8), (3001, [3e9, 0.0] * 4)]
     odd_rows = [(2000, None), (2001, [float("nan")] * 8), (2002, [None] * 8), (2100, [1.0, 2.0]), (2200, [3.0, 4.0]), (None, [0.5] * 8)]
     v = spark.createDataFrame(rows + odd_rows, "vec_id long, embedding array<double>").repartition(4)
     got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.top_k(v, F.col("vec_id") % 100 == 0, 10).collect()}
     fine = [(i, np.floor(1024 * np.array(e)).astype(int)) for i, e in [*rows, (2100, [1.0, 2.0]), (2200, [3.0, 4.0])]]
     want = {}
+    asks = {}
     for q, a in fine:
-        if q % 100 == 0:
-            best = sorted((-int(a @ b), i) for i, b in fine if i != q and len(b) == len(a))[:10]
+        if q % 100 == 0 and (q not in asks or list(a) < list(asks[q])):
+            asks[q] = a
+    for q, a in asks.items():
+        if True:
+            best = sorted((-max(-(2**62), min(2**62, sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))), i) for i, b in fine if i != q and len(b) == len(a))[:10]
             want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
     assert got == want
     assert topk.top_k(v.where("false"), F.col("vec_id") % 100 == 0).count() == 0
@@ -166,10 +201,33 @@ def test_lm_scores(spark, odd, none):
     assert Counter((x["doc_id"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 6)) for x in got) == want
     held = [x for x in got if x["held_out"] and (x["doc_id"] or 0) >= 100]
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
-    # What the model gives to all that may follow a context sums to one, but for 8-bit codes.
-    every = spark.createDataFrame([(i, f"the cat {w}") for i, w in enumerate([w for w in c if w] + ["unseen-word"])], "doc_id long, text string")
-    stem = ngram.score(spark.createDataFrame([(0, "the cat")], "doc_id long, text string"), model).first()["score"]
-    assert np.isfinite(stem) and every.count() == v
+    # The interpolated model by brute force; 8-bit codes hold few distinct values here, so nothing is lost to them.
+    grams, ways = Counter(), Counter()
+    for x in rows:
+        t = toks(x["text"]) if not x["held_out"] else []
+        for k in (2, 3):
+            for i in range(len(t) - k + 1):
+                grams[tuple(t[i : i + k])] += 1
+    context = Counter()
+    for g, m in grams.items():
+        context[g[:-1]] += m
+        ways[g[:-1]] += 1
+
+    def brute(t):
+        out = 0.0
+        for i, w in enumerate(t):
+            p = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+            for k in (1, 2):
+                ctx = tuple(t[i - k : i])
+                if i < k or (c[ctx[0]] if k == 1 else grams[ctx]) == 0:
+                    break
+                seen = c[ctx[0]] if k == 1 else grams[ctx]
+                rest = max(1 - (context[ctx] - 0.75 * ways[ctx]) / seen, 1e-9) if ctx in ways else 1.0
+                p = (max(grams[ctx + (w,)] - 0.75, 0) / seen if grams[ctx + (w,)] else 0) + rest * p
+            out += np.log10(p)
+        return out
+
+    assert all(abs(x["score"] - brute(toks(y))) < 1e-3 * max(1, x["n_tokens"]) for x in got for y in [z["text"] for z in rows if z["doc_id"] == x["doc_id"]][:1])
     empty = ngram.train(none)
     assert ngram.score(odd, empty).agg(F.max("score"), F.min("score")).first() == (0.0, 0.0)
 
@@ -187,7 +245,7 @@ def test_bpe(spark, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(entry.RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     coder = bpe.coder(entry.RANKS, P.PATTERN)
-    for t in ["", "Hello  world's 123\n\n x", "日本語" * 200, "a" * 2000, "\x00\x01é", "<|endoftext|>", "ab" * 700]:
+    for t in ["", "Hello  world's 123\n\n x", "日本語" * 200, "a" * 2000, "\x00\x01é", "<|endoftext|>", "ab" * 700, "".join(random.Random(9).choice("thequickaes") for _ in range(30000))]:
         assert coder.encode(t) == enc.encode_ordinary(t) and coder.decode(coder.encode(t)) == t.encode()
     got = bpe.decode(bpe.encode(odd, entry.RANKS, P.PATTERN), entry.RANKS, P.PATTERN)
     assert set(odd.columns) < set(got.columns)
@@ -263,15 +321,78 @@ def test_token_counts(spark, odd):
         assert x["n_tokens"] == len(tok.encode(x["text"] or "", add_special_tokens=False)) and x["n_bytes"] == len((x["text"] or "").encode())
 
 
+def _leaks(docs, bench):
+    """Brute force: every alignment of every item in every document."""
+
+    def words(text):
+        toks = regex.findall(decontam.TOKEN, text)
+        out = []
+        for i, t in enumerate(toks):
+            before, stop = (toks[i - 1] if i else None), lambda x: x in ".!?"
+            if t[0] in "0123456789":
+                c = "<number>"
+            elif before and before[0] in "0123456789" and t.lower() in decontam.UNITS:
+                c = "<unit>"
+            elif t[0] != t[0].lower() and before is not None and not stop(before):
+                c = "<name>"
+            else:
+                c = t.lower()
+            if not stop(t):
+                out.append((c, t.lower()))
+        return out
+
+    def fits(pairs):
+        return len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+
+    found = {}
+    for item, their in bench:
+        if item is None or not their or not words(their):
+            continue
+        theirs, n = words(their), min(8, len(words(their)))
+        column = 1 if len(theirs) < 8 else 0
+        windows = [tuple(w[column] for w in theirs[i : i + n]) for i in range(len(theirs) - n + 1)]
+        for doc, text in docs:
+            mine = words(text or "") if doc is not None else []
+            shifts = {}
+            for at in range(len(mine) - n + 1):
+                w = tuple(x[column] for x in mine[at : at + n])
+                for place, x in enumerate(windows):
+                    if x == w:
+                        shifts.setdefault(at - place, []).append(place)
+            ways = set()
+            for shift, places in shifts.items():
+                span = range(min(places), max(places) + n)
+                slots = {(theirs[i][0] + theirs[i][1], theirs[i][0] + mine[i + shift][1]) for i in span if theirs[i][0] == mine[i + shift][0] and theirs[i][0][0] == "<"}
+                if fits(slots):
+                    ways.add((-len(places), tuple(sorted(places)), tuple(sorted(slots))))
+            places, slots = set(), set()
+            for _, p, x in sorted(ways):
+                if fits(slots | set(x)):
+                    places, slots = places | set(p), slots | set(x)
+            if len(places) >= 0.5 * len(windows):
+                found[doc, item] = max(found.get((doc, item), (0,)), (len(places) / len(windows), len(places), len(windows)))
+    return found
+
+
 def test_decontamination(spark, odd, none):
     item = "Then Anna buys 12 apples for 30 dollars and gives 12 to her good friend Tom in the park."
     same = item.replace("Anna", "Mary").replace("12", "15").replace("30", "40")
     broken = same.replace("gives 15", "gives 16")
-    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100, "Well. " + item), (101, same), (102, broken), (103, "apples for 30 dollars")], "doc_id long, text string"))
-    bench = spark.createDataFrame([(7, item), (8, "x"), (9, None), (None, item)], "item_id long, text string")
-    assert sorted((x["doc_id"], x["item_id"]) for x in decontam.leaks(docs, bench).collect()) == [(100, 7), (101, 7)]
-    assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(docs, bench.where("false")).count() == 0
-    assert decontam.drop_contaminated(docs, bench).count() == docs.count() - 2
+    r = random.Random(7)
+    prose = lambda n: " ".join(r.choice(["tree", "Rome", "12", "kg", "runs.", "blue", "Anna", "with", "7", "days"]) for _ in range(n))
+    bench = [(7, item), (8, "x"), (9, None), (None, item), (10, "Capital of France?"), (11, prose(16)), (12, prose(30)), (12, prose(9)), (13, "...")]
+    long_one, other = bench[6][1], bench[5][1]
+    rows = [(100, "Well. " + item), (101, same), (102, broken), (103, "apples for 30 dollars"), (104, "the capital of france is"), (105, " ".join([" ".join(other.split()[:8])] * 5)), (106, " ".join([*long_one.split()[:14], "indeed so", *long_one.split()[14:]])), (107, item), (107, prose(5)), (108, other + " " + prose(40) + " " + other.replace("12", "77"))]
+    rows += [(200 + i, prose(60)) for i in range(10)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = decontam.leaks(docs.withColumns({"item_id": F.lit(1), "h": F.lit(2), "words": F.lit(3)}), spark.createDataFrame(bench, "item_id long, text string").withColumn("key", F.lit(1)))
+    got = {(x["doc_id"], x["item_id"]): (x["coverage"], x["matched"], x["windows"]) for x in got.collect()}
+    want = _leaks([tuple(x) for x in docs.collect()], bench)
+    assert got == want
+    assert {(100, 7), (101, 7), (104, 10), (106, 12), (107, 7)} <= set(got) and not {(102, 7), (105, 11)} & set(got)
+    small = spark.createDataFrame(bench[:4], "item_id long, text string")
+    assert decontam.leaks(none, small).count() == 0 and decontam.leaks(docs, small.where("false")).count() == 0
+    assert decontam.drop_contaminated(docs, small).count() == docs.count() - 4
 
 
 def test_language_id(spark, odd, none):
@@ -282,9 +403,25 @@ def test_language_id(spark, odd, none):
     assert {x["lang_pred"] for x in langid.predict(odd, model).collect()} == {"und"}
     full = langid.train(docs, entry.PIECES)
     by = {x["doc_id"]: x for x in langid.predict(odd, full).collect()}
+    assert entry.op10_language_id(spark, "/root/testdata/sf0.001").where("held_out IS NULL").count() == 0
     assert by[0]["lang_pred"] == by[1]["lang_pred"] == "und" and 0 < by[4]["score"] <= 1
 
 
+def test_language_id_sums_all_segmentations():
+    vocab = {"▁a": 0, "▁ab": 1, "b": 2, "a": 3, "ba": 4, "▁": 5, "abb": 6}
+    logp = np.log(np.array([[0.3, 0.1], [0.2, 0.3], [0.1, 0.2], [0.1, 0.1], [0.1, 0.1], [0.1, 0.1], [0.1, 0.1]]))
+
+    def total(w, k):
+        if not w:
+            return 1.0
+        own = sum(np.exp(logp[vocab[w[:n]], k]) * total(w[n:], k) for n in range(1, len(w) + 1) if w[:n] in vocab)
+        return own + np.exp(langid.UNKNOWN) * total(w[1:], k)
+
+    words = ["abba", "b", "ab", "xyz", "aababb"]
+    got = langid.Lattice(words, langid.Pieces(vocab)).forward(logp)[1]
+    assert np.allclose(got, [[np.log(total("▁" + w, k)) for k in (0, 1)] for w in words])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
