@@ -101,10 +101,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     grams = materialise(grams.where("h IS NOT NULL"), "grams")
     known = _sized(grams, grams.count())
     own = windows(docs.select("doc_id", "text"), "doc_id")
-    every = F.transform("h", lambda h, i: F.struct(i.alias("at"), h.alias("h")))
+    at = F.posexplode_outer("h").alias("at", "h")  # outer: no filter is inferred that would build h anew
     if short:
-        every = F.concat(every, *[F.transform(_verbatim(size), lambda h, i: F.struct(i.alias("at"), h.alias("h"))) for size in short])
-    own = own.select(F.col("key").alias("doc"), "doc_id", F.explode_outer(every).alias("w")).select("doc", "doc_id", "w.*")  # outer: no filter is inferred that would build h anew
+        paired = lambda h, i: F.struct(i.alias("at"), h.alias("h"))
+        at = F.explode_outer(F.concat(F.transform("h", paired), *[F.transform(_verbatim(size), paired) for size in short])).alias("w")
+    own = own.select(F.col("key").alias("doc"), "doc_id", at).select("doc", "doc_id", *(["w.*"] if short else ["at", "h"]))
     hits = own.join(known, "h").groupBy("doc", "doc_id", "item", "item_id", "windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
     per_shift = materialise(hits, "shifts")
     pair = ["doc", "doc_id", "item", "item_id", "windows"]
