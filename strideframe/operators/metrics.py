@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,24 +26,103 @@ def far_per_hour(rate: float, hop: float) -> float:
     return rate * windows_per_hour(hop)
 
 
+#: Ranges that a global order is cut into.
+RANGES = 64
+
+
+def _range(rows: DataFrame, order: str) -> Column:
+    """Number of the range that a value of ``order`` falls into: a fixed expression, so every branch and every retry agree."""
+    cuts = sorted(set(rows.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.01)))  # at most RANGES numbers
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+
+
+def _running(rows: DataFrame, order: str, cols: list[str], *by: str) -> DataFrame:
+    """Exclusive running sums over an order (within ``by``) without one task seeing all rows."""
+    parts = rows.withColumn("_range", _range(rows, order))
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    base = sums.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_b_{c}") for c in cols])  # a row a range
+    out = parts.withColumns({f"_w_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols}).join(base if by else F.broadcast(base), [*by, "_range"])
+    return out.withColumns({f"{c}_before": F.col(f"_w_{c}") + F.col(f"_b_{c}") for c in cols}).drop("_range", *[f"_w_{c}" for c in cols], *[f"_b_{c}" for c in cols])
+
+
+def percentiles(rows: DataFrame, value: str, ps: list[float], *by: str) -> DataFrame:
+    """``by``, p: array of exact, linearly interpolated percentiles (``ps`` from 0 to 1); null values are left out.
+
+    Distinct values are counted first; running counts by range tell which value holds a rank, so no task holds all values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = _running(counts, "_v", ["_n"], *by)
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    ranked = ranked.join(totals, list(by)) if by else ranked.crossJoin(F.broadcast(totals))  # one row
+    at = [(F.col("_total") - 1) * F.lit(float(p)) for p in ps]
+    holds = lambda r: F.max(F.when((F.col("_n_before") <= r) & (r < F.col("_n_before") + F.col("_n")), F.col("_v")))
+    found = ranked.groupBy(*by, "_total").agg(*[holds(f(a)).alias(f"_{name}{i}") for i, a in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))])
+    return found.select(*by, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]).alias("p"))
+
+
 def percentile_threshold(scores: DataFrame, score: str, p: float) -> DataFrame:
     """Exact, linearly interpolated percentile; a row flags where it is strictly above."""
     if not 0 <= p <= 100:
         raise ValueError("p must be within 0 and 100")
-    return scores.agg(F.percentile(score, F.lit(p / 100)).alias("threshold"))
+    return percentiles(scores, score, [p / 100]).select(F.col("p")[0].alias("threshold"))
+
+
+def thresholds(negatives: DataFrame, score: str, fars: list[float], hop: float) -> DataFrame:
+    """(target_far, threshold): one row a budget."""
+    cuts = percentiles(negatives, score, [1 - flag_rate_for_far(f, hop) for f in fars])
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(float(f)) for f in fars]).alias("target_far"), F.col("p").alias("threshold"))).alias("x")
+    return cuts.select(pairs).select("x.*")
 
 
 def recall_at_far(rows: DataFrame, score: str, positive: str, fars: list[float], hop: float) -> DataFrame:
     """Threshold on negatives for each budget, recall on positives, alarms an hour that result."""
-    rates = [1 - flag_rate_for_far(f, hop) for f in fars]
-    cuts = rows.where(~F.col(positive)).agg(F.percentile(score, F.array(*map(F.lit, rates))).alias("t"))
-    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(float(f)) for f in fars]).alias("target_far"), F.col("t").alias("threshold"))).alias("p")
-    table = F.broadcast(cuts.select(pairs).select("p.*"))  # one row a budget
+    table = F.broadcast(thresholds(rows.where(~F.col(positive)), score, fars, hop))  # one row a budget
     above = (F.col(score) > F.col("threshold")).cast("double")
     out = rows.join(table).groupBy("target_far", "threshold").agg(F.avg(F.when(F.col(positive), above)).alias("recall"), F.avg(F.when(~F.col(positive), above)).alias("rate"))
     return out.select("target_far", "threshold", "recall", (F.col("rate") * windows_per_hour(hop)).alias("achieved_far"))
 
 
+def observed_far(held: DataFrame, score: str, table: DataFrame, hop: float) -> DataFrame:
+    """Alarms an hour on held-out negatives under thresholds (target_far, threshold) that other rows gave."""
+    rate = F.avg((F.col(score) > F.col("threshold")).cast("double"))
+    return held.crossJoin(F.broadcast(table)).groupBy("target_far", "threshold").agg((rate * windows_per_hour(hop)).alias("observed_far"))  # one row a budget
+
+
+def far_table(spark: SparkSession, fars: list[float], hop: float) -> DataFrame:
+    """(far, flag_rate, percentile): the share of windows that each budget lets flag, and the percentile to cut at."""
+    rows = [(float(f), flag_rate_for_far(f, hop), 100 * (1 - flag_rate_for_far(f, hop))) for f in fars]
+    return spark.createDataFrame(rows, "far double, flag_rate double, percentile double")
+
+
+def score_report(rows: DataFrame, score: str, positive: str, hop: float, fars: tuple[float, ...] = (0.5, 1.0, 2.0, 6.0), label: str = "score") -> str:
+    """A few lines of text: separation by rank, then recall at each alarm budget."""
+    n = rows.agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n")).first()
+    ranks = auroc(rows, score, positive).first()[0], auprc(rows, score, positive).first()[0]
+    out = [f"{label}:", f"  AUROC {ranks[0]:.4f}   AUPRC {ranks[1]:.4f}   ({n['p']:,} events vs {n['n']:,} normal)"]
+    for r in recall_at_far(rows, score, positive, list(fars), hop).orderBy("target_far").collect():
+        out.append(f"  recall {r['recall']:.3f} at {r['target_far']:>4.1f} false alarms/hour   (threshold {r['threshold']:.4f}, achieved {r['achieved_far']:.2f}/h)")
+    return "\n".join(out)
+
+
+def best_row(rows: DataFrame, by: str, first: str, largest: bool = True) -> DataFrame:
+    """The one row with the largest (smallest) ``by``; of equals the first by ``first``; rows without ``by`` are out."""
+    return rows.where(F.col(by).isNotNull()).orderBy(F.desc(by) if largest else F.asc(by), first).limit(1)
+
+
+def paired_predictions(a: DataFrame, b: DataFrame, key: str, probs: str = "probs") -> DataFrame:
+    """``key``, a, b: the classes two models give to the same windows, whatever the order of their rows."""
+    return a.select(key, argmax(F.col(probs)).alias("a")).join(b.select(key, argmax(F.col(probs)).alias("b")), key)
+
+
+def per_class_recall(rows: DataFrame, truth: str, a: str, b: str) -> DataFrame:
+    """(label, n, float_recall, int8_recall, delta) of the labels that occur."""
+    hit = lambda c: F.avg((F.col(c) == F.col(truth)).cast("double"))
+    own = rows.where(F.col(truth) >= 0).groupBy(F.col(truth).alias("label"))
+    return own.agg(F.count("*").alias("n"), hit(a).alias("float_recall"), hit(b).alias("int8_recall"), (hit(b) - hit(a)).alias("delta"))
+
+
 def auroc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """Mann-Whitney with ties as halves. Distinct scores are counted first; running sums go by range partition."""
     by_score = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
@@ -52,17 +131,6 @@ def auroc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     return running.agg((won / (F.sum("p") * F.sum("n"))).alias("auroc"))
 
 
-def _running(rows: DataFrame, order: str, cols: list[str]) -> DataFrame:
-    """Exclusive running sums over a global order without one task seeing all rows."""
-    parts = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    base = sums.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_b_{c}") for c in cols])  # one row a partition
-    out = parts.withColumns({f"_w_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols}).join(F.broadcast(base), "_part")
-    return out.withColumns({f"{c}_before": F.col(f"_w_{c}") + F.col(f"_b_{c}") for c in cols}).drop("_part", *[f"_w_{c}" for c in cols], *[f"_b_{c}" for c in cols])
-
-
 def auprc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """Average precision; within equal scores negatives rank first."""
     flipped = rows.select((-F.col(score)).alias("s"), F.col(positive).cast("long").alias("p"))

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import percentiles
+
 
 def activation_ranges(values: DataFrame, layer: str, value: str) -> DataFrame:
     """Percentiles of |v| a layer, and how many of 127 levels the 99th percentile gets."""
-    p = values.groupBy(layer).agg(F.percentile(F.abs(value), F.array(F.lit(0.5), F.lit(0.99), F.lit(0.999))).alias("p"), F.max(F.abs(value)).alias("max"))
+    sizes = values.select(layer, F.abs(value).alias("size"))
+    p = percentiles(sizes, "size", [0.5, 0.99, 0.999], layer).join(sizes.groupBy(layer).agg(F.max("size").alias("max")), layer)
     out = p.select(layer, F.col("p")[0].alias("p50"), F.col("p")[1].alias("p99"), F.col("p")[2].alias("p999"), "max")
     return out.withColumns({"ratio": F.col("max") / F.col("p999"), "levels": 127 * F.col("p99") / F.col("max"), "flagged": 127 * F.col("p99") / F.col("max") < 32})
 
 
 def weight_ranges(weights: DataFrame, layer: str, channel: str, value: str) -> DataFrame:
     """Spread of channel maxima, and the fewest levels a channel's 99th percentile gets."""
-    per = weights.groupBy(layer, channel).agg(F.greatest(F.max(F.abs(value)), F.lit(1e-12)).alias("top"), F.percentile(F.abs(value), F.lit(0.99)).alias("p99"))
+    sizes = weights.select(layer, channel, F.abs(value).alias("size"))
+    top = sizes.groupBy(layer, channel).agg(F.greatest(F.max("size"), F.lit(1e-12)).alias("top"))
+    per = percentiles(sizes, "size", [0.99], layer, channel).join(top, [layer, channel]).withColumn("p99", F.col("p")[0])
     return per.groupBy(layer).agg((F.max("top") / F.min("top")).alias("spread"), F.min(127 * F.col("p99") / F.col("top")).alias("in_channel"))
 
 
@@ -31,10 +36,14 @@ def diagnose(rows: DataFrame) -> DataFrame:
 
 
 def attribute(rows: DataFrame, least: float = 0.02) -> DataFrame:
-    """weight_cost and activation_cost from accuracies float_acc, dynamic_acc, int8_acc, and where the loss lies."""
+    """weight_cost and activation_cost from accuracies float_acc, dynamic_acc, int8_acc, and where the loss lies.
+
+    A side is to blame if it costs over ``least`` and over twice the other; else a sum of at most ``least`` is no loss.
+    """
     out = rows.withColumns({"weight_cost": F.col("float_acc") - F.col("dynamic_acc"), "activation_cost": F.col("dynamic_acc") - F.col("int8_acc")})
     w, a = F.col("weight_cost"), F.col("activation_cost")
-    return out.withColumn("verdict", F.when((w < least) & (a < least), "neither").when(w > 2 * a, "weights").when(a > 2 * w, "activations").otherwise("both"))
+    blamed = lambda x, y: (x > 2 * F.greatest(y, F.lit(1e-6))) & (x > least)
+    return out.withColumn("verdict", F.when(blamed(a, w), "activations").when(blamed(w, a), "weights").when(w + a <= least, "neither").otherwise("both"))
 
 
 def arena_estimate(tensors: DataFrame, size: Column) -> DataFrame:

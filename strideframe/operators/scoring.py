@@ -12,12 +12,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def covariance_pairs(rows: DataFrame, key: str, vector: str, shrinkage: float = 1e-3) -> DataFrame:
-    """(i, j, cov): sample covariance of every pair of components, ridge on the diagonal."""
-    a = rows.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v"))
-    b = a.select("i", F.col("x").cast("double").alias("x"), F.posexplode("v").alias("j", "y"))
-    cov = b.groupBy("i", "j").agg(F.covar_samp("x", F.col("y").cast("double")).alias("cov"))
-    return cov.withColumn("cov", F.col("cov") + F.when(F.col("i") == F.col("j"), shrinkage).otherwise(0.0))
+def moments(rows: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, sums of products about the means): partial sums a task, d squared numbers each, whatever the rows."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, ss, origin = 0, None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            if s is None:
+                origin, s, ss = x[0].copy(), np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
+            y = x - origin
+            n, s, ss = n + len(x), s + y.sum(0), ss + y.T @ y
+        if n:
+            mean = s / n
+            m2 = ss - n * np.outer(mean, mean)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(mean + origin).tolist()]), pa.array([m2.ravel().tolist()])], names=["n", "mean", "m2"])
+
+    parts = rows.where(F.col(vector).isNotNull()).select(vector).mapInArrow(part, "n long, mean array<double>, m2 array<double>")
+    n, mean, m2 = 0, np.zeros(0), np.zeros((0, 0))
+    for r in parts.toLocalIterator():
+        k, mu = r["n"], np.array(r["mean"])
+        c = np.array(r["m2"]).reshape(len(mu), -1)
+        if not n:
+            n, mean, m2 = k, mu, c
+        else:
+            d = mu - mean
+            m2 = m2 + c + np.outer(d, d) * n * k / (n + k)
+            mean, n = mean + d * k / (n + k), n + k
+    return n, mean, m2
+
+
+def covariance_pairs(rows: DataFrame, vector: str, shrinkage: float = 1e-3) -> DataFrame:
+    """(i, j, cov): sample covariance of every pair of components, ridge on the diagonal; none below two rows."""
+    n, mean, m2 = moments(rows, vector)
+    cov = m2 / (n - 1) + shrinkage * np.eye(len(mean)) if n > 1 else np.zeros((0, 0))
+    return rows.sparkSession.createDataFrame([(i, j, float(v)) for i, row in enumerate(cov) for j, v in enumerate(row)], "i int, j int, cov double")
 
 
 @dataclass
@@ -28,35 +59,8 @@ class Mahalanobis:
 
     @classmethod
     def fit(cls, rows: DataFrame, vector: str, shrinkage: float = 1e-3) -> Mahalanobis:
-        """One pass of partial sums a task (count, sum, outer products): d squared numbers, whatever the rows."""
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, s, ss, origin = 0, None, None, None
-            for b in batches:
-                x = np.array(b.column(0).to_pylist(), np.float64)
-                if not len(x):
-                    continue
-                if s is None:
-                    origin, s, ss = x[0].copy(), np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
-                y = x - origin
-                n, s, ss = n + len(x), s + y.sum(0), ss + y.T @ y
-            if n:
-                mean = s / n
-                m2 = ss - n * np.outer(mean, mean)
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(mean + origin).tolist()]), pa.array([m2.ravel().tolist()])], names=["n", "mean", "m2"])
-
-        parts = rows.select(vector).mapInArrow(part, "n long, mean array<double>, m2 array<double>")
-        n, mean, m2 = 0, None, None
-        for r in parts.toLocalIterator():
-            k, mu = r["n"], np.array(r["mean"])
-            c = np.array(r["m2"]).reshape(len(mu), -1)
-            if mean is None:
-                n, mean, m2 = k, mu, c
-            else:
-                d = mu - mean
-                m2 = m2 + c + np.outer(d, d) * n * k / (n + k)
-                mean, n = mean + d * k / (n + k), n + k
-        if mean is None or n <= len(mean):
+        n, mean, m2 = moments(rows, vector)
+        if n <= len(mean):
             raise ValueError("covariance is singular: need more rows than components")
         precision = np.linalg.inv(m2 / (n - 1) + shrinkage * np.eye(len(mean)))
         return cls(mean, precision, np.linalg.cholesky(precision))
@@ -66,7 +70,7 @@ class Mahalanobis:
 
         @F.pandas_udf("double")
         def distance(v: pd.Series) -> pd.Series:
-            d = np.array(v.tolist(), np.float64).reshape(len(v), -1)
+            d = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, len(mean)))
             if d.shape[1:] != mean.shape:
                 raise ValueError("vectors are not as wide as the model")
             d = d - mean

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import augment, metrics, network, quant, scoring, signal, splits, stats, windows
 from ..shipping import ship
+from ..sources.firmware import HOST_ONLY, RESOLVER_METHODS, SLOW
 
 WIN, STRIDE = 16, 8
 HOP = 1.28
@@ -281,7 +282,7 @@ def entropy(spark, sf_dir):
 
 @query("WITH e AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.i = b.i THEN 0.001 ELSE 0 END, 6) AS cov FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i")
 def covariance_pairs(spark, sf_dir):
-    return _round(scoring.covariance_pairs(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "cov").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "cov")
+    return _round(scoring.covariance_pairs(_table(spark, sf_dir, "embeddings"), "embedding"), "cov")
 
 
 @query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT avg(x) AS mx, avg(y) AS my, covar_samp(x, x) + 0.001 AS a, covar_samp(x, y) AS b, covar_samp(y, y) + 0.001 AS c FROM p)
@@ -399,30 +400,92 @@ def weight_ranges(spark, sf_dir):
 
 @query(f"WITH {WINDOWS}, e AS (SELECT user_id % 3 AS g, avg(abs(value)) AS energy FROM w GROUP BY user_id, k HAVING count(*) = 16) SELECT g, round(quantile_cont(energy, 0.25), 6) AS q1, round(quantile_cont(energy, 0.5), 6) AS q2, round(quantile_cont(energy, 0.75), 6) AS q3 FROM e GROUP BY g")
 def boxplot_energy(spark, sf_dir):
-    e = _energies(spark, sf_dir).groupBy((F.col("user_id") % 3).alias("g")).agg(F.percentile("energy", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    e = metrics.percentiles(_energies(spark, sf_dir).withColumn("g", F.col("user_id") % 3), "energy", [0.25, 0.5, 0.75], "g").withColumnRenamed("p", "q")
     return _round(e.select("g", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3")), "q1", "q2", "q3")
 
 
 @query("WITH r AS (SELECT event_type, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM events GROUP BY 1) SELECT event_type, CAST(least(floor((value - lo) / (hi - lo) * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM events JOIN r USING (event_type) WHERE value BETWEEN lo AND hi GROUP BY 1, 2")
 def histogram_channels(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("event_type", "value")
-    r = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.005), F.lit(0.995))).alias("q"))
+    r = metrics.percentiles(e, "value", [0.005, 0.995], "event_type").withColumnRenamed("p", "q")
     j = e.join(F.broadcast(r), "event_type").where(F.col("value").between(F.col("q")[0], F.col("q")[1]))  # one row an event type
     return j.groupBy("event_type", F.least(F.floor((F.col("value") - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0]) * 20), F.lit(19)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'output resolution'), ('b', 'calibration'), ('c', 'mostly output'), ('d', 'weights')) t(run, verdict)")
+RUNS = "r AS (SELECT label, avg(CAST(embedding[1] > 0 AS INTEGER)) AS a, avg(CAST(embedding[2] > 0 AS INTEGER)) AS b, avg(CAST(embedding[3] > 0 AS INTEGER)) AS c FROM embeddings GROUP BY label)"
+
+
+def _runs(spark, sf_dir):
+    """Accuracies of three runs for each label, taken from the signs of three components."""
+    share = lambda i: F.avg((F.col("e")[i] > 0).cast("double"))
+    return _vec(spark, sf_dir, 3).groupBy("label").agg(share(0).alias("a"), share(1).alias("b"), share(2).alias("c"))
+
+
+@query(f"WITH {RUNS} SELECT label, CASE WHEN b - a > -0.02 THEN 'output resolution' WHEN c - b > 0.02 THEN 'calibration' WHEN c - a > 0.02 THEN 'mostly output' ELSE 'weights' END AS verdict FROM r")
 def diagnose_verdict(spark, sf_dir):
-    rows = spark.createDataFrame([("a", -0.01, 0.0, 0.0), ("b", -0.1, 0.05, 0.0), ("c", -0.1, 0.0, 0.05), ("d", -0.1, 0.0, 0.0)], "run string, float_out_delta double, sweep_gain double, float_out_gain double")
-    return quant.diagnose(rows).select("run", "verdict")
+    deltas = {"float_out_delta": F.col("b") - F.col("a"), "sweep_gain": F.col("c") - F.col("b"), "float_out_gain": F.col("c") - F.col("a")}
+    return quant.diagnose(_runs(spark, sf_dir).withColumns(deltas)).select("label", "verdict")
 
 
-@query("SELECT * FROM (VALUES ('ADD', 'accelerated'), ('PACK', 'slow'), ('ZZZ', 'unmapped')) t(op, status)")
-def op_check(spark, sf_dir):
-    from ..sources.firmware import RESOLVER_METHODS, SLOW
+@query(f"""WITH {RUNS}, d AS (SELECT label, a - b AS w, b - c AS x FROM r) SELECT label, round(w, 6) AS weight_cost, round(x, 6) AS activation_cost,
+ CASE WHEN x > 2 * greatest(w, 1e-6) AND x > 0.02 THEN 'activations' WHEN w > 2 * greatest(x, 1e-6) AND w > 0.02 THEN 'weights' WHEN w + x <= 0.02 THEN 'neither' ELSE 'both' END AS verdict FROM d""")
+def attribute_verdict(spark, sf_dir):
+    found = quant.attribute(_runs(spark, sf_dir).toDF("label", "float_acc", "dynamic_acc", "int8_acc"))
+    return _round(found.select("label", "weight_cost", "activation_cost", "verdict"), "weight_cost", "activation_cost")
+
 
+OPS = [*RESOLVER_METHODS, *HOST_ONLY, "ZZZ"]
+
+
+@query(f"""WITH o AS (SELECT DISTINCT {OPS}[p_partkey % {len(OPS)} + 1] AS op FROM part)
+ SELECT op, CASE WHEN op NOT IN {tuple(RESOLVER_METHODS)} THEN 'unmapped' WHEN op IN {SLOW} THEN 'slow' ELSE 'accelerated' END AS status FROM o WHERE op <> 'DELEGATE'""")
+def op_check(spark, sf_dir):
     known = spark.createDataFrame([(o, o not in SLOW) for o in RESOLVER_METHODS], "op string, accelerated boolean")
-    return quant.op_check(spark.createDataFrame([("ADD",), ("PACK",), ("ZZZ",), ("DELEGATE",), ("ADD",)], "op string"), known)
+    used = F.element_at(F.array(*map(F.lit, OPS)), (F.col("p_partkey") % len(OPS) + 1).cast("int"))
+    return quant.op_check(_table(spark, sf_dir, "part").select(used.alias("op")), known)
+
+
+@query(f"WITH {PRED} SELECT label, count(*) AS n, round(avg(CAST(a = label AS INTEGER)), 6) AS float_recall, round(avg(CAST(b = label AS INTEGER)), 6) AS int8_recall, round(avg(CAST(b = label AS INTEGER)) - avg(CAST(a = label AS INTEGER)), 6) AS delta FROM q GROUP BY label")
+def per_class_recall(spark, sf_dir):
+    return _round(metrics.per_class_recall(_predicted(spark, sf_dir), "label", "a", "b"), "float_recall", "int8_recall", "delta")
+
+
+@query("SELECT CAST(f AS DOUBLE) AS far, round(least(1, f / 2812.5), 9) AS flag_rate, round(100 * (1 - least(1, f / 2812.5)), 6) AS percentile FROM (SELECT unnest([0.5, 1.0, 2.0, 6.0, 4000.0])::DOUBLE AS f)")
+def far_table(spark, sf_dir):
+    return metrics.far_table(spark, [0.5, 1, 2, 6, 4000], HOP).select("far", F.round("flag_rate", 9).alias("flag_rate"), F.round("percentile", 6).alias("percentile"))
+
+
+@query("""WITH t AS (SELECT 6.0::DOUBLE AS far, quantile_cont(value, 1 - 6 / 2812.5) AS t FROM events WHERE user_id % 2 = 0 UNION ALL SELECT 60.0, quantile_cont(value, 1 - 60 / 2812.5) FROM events WHERE user_id % 2 = 0)
+ SELECT far AS target_far, round(t, 6) AS threshold, round(avg(CASE WHEN value > t THEN 1.0 ELSE 0 END) * 2812.5, 6) AS observed_far FROM events, t WHERE user_id % 2 = 1 GROUP BY far, t""")
+def observed_far(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id", "value")
+    table = metrics.thresholds(e.where("user_id % 2 = 0"), "value", [6.0, 60.0], HOP)
+    return _round(metrics.observed_far(e.where("user_id % 2 = 1"), "value", table, HOP), "threshold", "observed_far")
+
+
+@query('SELECT CAST(sum(CAST(n = 0 AS INTEGER)) AS BIGINT) AS "none", CAST(sum(CAST(n > 1 AS INTEGER)) AS BIGINT) AS several FROM (SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1)')
+def split_coverage(spark, sf_dir):
+    return splits.coverage(_table(spark, sf_dir, "customer").select("c_custkey"), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT o_orderkey AS pos, c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def gather_rows(spark, sf_dir):
+    wanted = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("c_custkey"))
+    return splits.gather(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), wanted, "c_custkey")
+
+
+@query("(SELECT 'best' AS which, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) UNION ALL (SELECT 'worst', o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1)")
+def best_and_worst(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    rows = [metrics.best_row(o, "o_totalprice", "o_orderkey", large).select(F.lit(name).alias("which"), "o_orderkey", "o_totalprice") for name, large in (("best", True), ("worst", False))]
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"WITH {PRED} SELECT vec_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM q")
+def paired_predictions(spark, sf_dir):
+    v = _vec(spark, sf_dir, 10)
+    coarse = v.select("vec_id", F.transform("e", lambda x: F.round(x * 4)).alias("probs"))
+    return metrics.paired_predictions(v.select("vec_id", F.col("e").alias("probs")), coarse, "vec_id")
 
 
 @query()
@@ -473,6 +536,7 @@ def class_middle(spark, sf_dir):
 @query(f"WITH {WINDOWS} SELECT user_id, CAST(k AS BIGINT) AS k, round(avg(value), 6) AS mean, round(avg(abs(value)), 6) AS energy FROM w GROUP BY user_id, k HAVING count(*) = 16")
 def stream_windows(spark, sf_dir):
     """The streaming operator over the whole table, read as a stream and written to a table."""
+    import tempfile
     import uuid
 
     from ..streaming.windows import stream_windows as windowed
@@ -480,9 +544,13 @@ def stream_windows(spark, sf_dir):
     name = f"stream_{uuid.uuid4().hex[:8]}"
     schema = _table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/strideframe"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="strideframe-")
     out, state = f"{root}/{name}-out", f"{root}/{name}-state"
-    run = windowed(stream.select("user_id", "ts", "event_id", "value").withColumn("o", F.struct("ts", "event_id")).drop("ts", "event_id").withColumn("o", F.to_json("o")), "user_id", "o", "value", WIN, STRIDE).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run = windowed(stream.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", WIN, STRIDE).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
     return _round(spark.read.parquet(out), "mean", "energy")
 

@@ -114,4 +114,4 @@ def summary(windows: DataFrame) -> dict:
 
 
 def slug(name: str) -> str:
-    return re.sub(r"[^0-9A-Za-z]+", "-", name).strip("-")
+    return re.sub(r"[^\w-]", "-", name).strip("-")

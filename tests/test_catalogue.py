@@ -6,7 +6,7 @@ import pytest
 from strideframe.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ("customer", "events", "embeddings", "labels", "lineitem", "orders")
+TABLES = ("customer", "events", "embeddings", "labels", "lineitem", "orders", "part")
 
 
 @pytest.fixture(scope="module")

@@ -110,6 +110,27 @@ def test_auroc_ties(spark):
 def test_verdicts(spark):
     rows = spark.createDataFrame([(0.9, 0.89, 0.7)], "float_acc double, dynamic_acc double, int8_acc double")
     assert quant.attribute(rows).first()["verdict"] == "activations"
+    for costs, verdict in (((0.015, 0.015), "both"), ((0.005, 0.005), "neither"), ((0.1, 0.01), "weights"), ((0.05, 0.04), "both")):
+        case = spark.createDataFrame([(0.9, 0.9 - costs[0], 0.9 - sum(costs))], "float_acc double, dynamic_acc double, int8_acc double")
+        assert quant.attribute(case).first()["verdict"] == verdict
+
+
+def test_percentiles_by_group(spark):
+    r = np.random.default_rng(1)
+    rows = [(g, float(v)) for g in (1, 2) for v in r.normal(size=500 + g).round(1)] + [(3, 7.0), (1, None)]
+    got = {x["g"]: x["p"] for x in metrics.percentiles(spark.createDataFrame(rows, "g int, v double"), "v", [0, 0.25, 0.99, 1], "g").collect()}
+    for g in (1, 2, 3):
+        assert np.allclose(got[g], np.percentile([v for x, v in rows if x == g and v is not None], [0, 25, 99, 100]))
+
+
+def test_score_report_and_partition(spark):
+    rows = spark.createDataFrame([(float(i % 50), i % 7 == 0) for i in range(700)], "s double, p boolean")
+    text = metrics.score_report(rows, "s", "p", 1.28).splitlines()
+    assert text[0] == "score:" and "(100 events vs 600 normal)" in text[1] and len(text) == 6
+    keys = spark.range(4).withColumnRenamed("id", "k")
+    with pytest.raises(AssertionError, match="1 windows in no split, 1 in more than one"):
+        splits.assert_partition(keys, spark.createDataFrame([(0,), (1,), (1,), (2,)], "k long"), "k")
+    assert [x["k"] for x in splits.gather(keys, spark.createDataFrame([(0, 3), (1, 1), (2, 3), (3, 9)], "pos int, k long"), "k").orderBy("pos").collect()] == [3, 1, 3]
 
 
 def _line_tree(root):
@@ -176,14 +197,17 @@ def test_reports(spark, tmp_path):
 
 def test_firmware(tmp_path):
     blob = bytes(range(256))
-    _, body = firmware.c_array(blob, tmp_path / "model", "model")
+    _, body = firmware.byte_source(blob, tmp_path / "model", "model")
     text = body.read_text().split("{")[1].split("}")[0]
     assert bytes(int(x, 16) for x in text.replace("\n", " ").split(",") if x.strip()) == blob
-    doc = firmware.write_settings(tmp_path / "c.json", 128, ["a"], 50, 64, ["x"], [0], [1], {"e": 1})
+    doc = firmware.write_settings(tmp_path / "c.json", win=128, channels=6, fs=50, stride=64, classes=["x"], mean=[0], std=[1], thresholds={"e": 1})
     assert doc["windows_per_hour"] == 2812.5 and json.loads((tmp_path / "c.json").read_text())["hop_seconds"] == 1.28
-    assert firmware.device_ops(["PACK", "DELEGATE", "ADD", "ADD"]) == ["ADD", "PACK"]
+    assert doc["channels"] == 6
+    ops = firmware.Operators.of(["PACK", "DELEGATE", "ADD", "ADD"])
+    assert ops.status() == {"ADD": "accelerated", "PACK": "slow"} and "OpResolver<2> resolver" in ops.resolver()
+    assert "without fast kernel: PACK" in ops.notes("m", {"largest": 1, "total": 2}, 9) and "kMean[2] = {0.500000f" in firmware.statistics_source(kMean=[0.5, 1], kStd=[1, 2])
     with pytest.raises(KeyError):
-        firmware.resolver_source(["ZZZ"])
+        firmware.Operators.of(["ZZZ"]).resolver()
     assert firmware.assign_roles([64, 6], 6, 64) == {"probs": 1, "embedding": 0}
     for bad in ([6, 6], [6], [6, 64, 1]):
         with pytest.raises(ValueError):
@@ -191,8 +215,16 @@ def test_firmware(tmp_path):
 
 
 def test_archives(tmp_path):
-    (tmp_path / "a" / "b").mkdir(parents=True)
-    (tmp_path / "a" / "b" / "marker").touch()
-    assert archives.find_root(tmp_path, "marker").name == "b"
+    import zipfile
+
+    inner = tmp_path / "inner.zip"
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a/b/marker", "x")
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.write(inner, "deep/inner.zip")
+    corpus = archives.Corpus("c", "marker", least_bytes=1, home=tmp_path)
+    assert corpus.root() == corpus.root() == tmp_path / "c" / "deep" / "a" / "b"
     with pytest.raises(FileNotFoundError):
-        archives.find_root(tmp_path, "other")
+        archives.Corpus("c", "other", least_bytes=1, home=tmp_path).root()
+    with pytest.raises(RuntimeError):
+        archives.Corpus("none", "marker", home=tmp_path).root()
