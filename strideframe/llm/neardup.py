@@ -221,17 +221,17 @@ def _cluster(items: DataFrame, n: int, num: int, den: int, rows: int, buckets: i
     open_ = materialise(held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
     still = materialise(held.join(open_, "key"), "still")
     release(open_)
-    left, own = _linkable(still, reps, items, n, num, den)
-    links.append(_compared(left, own, reps, items, n, num, den))
+    left, common = _linkable(still, reps, items, n, num, den)
+    links.append(_compared(left, common, reps, items, n, num, den))
     final = materialise(components(_union(links)), "final")
     out = materialise(member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "size", F.coalesce("component", "rep").alias("component")), "clusters")
-    for t in (member, reps, shared, met, degree, hubs, spokes, label, held, still, left, own, final, *links):
+    for t in (member, reps, shared, met, degree, hubs, spokes, label, held, still, left, common, final, *links):
         release(t)
     return out
 
 
 def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(id, component, size) and (id, component, h) of the rows (key, id, component) whose set can reach the threshold with one of another component in its band bucket.
+    """(id, component, size, common) and (id, h, n: sets with it) of the rows (key, id, component) whose set can reach the threshold with one of another component in its band bucket.
 
     Shingles that no set of another component has cannot be in an intersection that
     matters: with e the others, a link needs num * (|x| + |y|) <= (num + den) * e(x), and
@@ -252,37 +252,33 @@ def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(of), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "h"])
 
     own = materialise(text.join(ids, "id").mapInArrow(spread, "id long, component long, h long"), "own")
-    across = materialise(own.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h"), "across")
-    common = own.join(across, "h").groupBy("id").agg(F.count("*").alias("common"))
+    across = own.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
+    shared = materialise(own.join(across, "h").select("id", "h", "n"), "across")
+    common = shared.groupBy("id").agg(F.count("*").alias("common"))
     sized = materialise(reps.select("id", "size").join(common, "id").select("id", "size", "common"), "sized")
     known = materialise(still.join(sized, "id"), "known")
     least = materialise(known.groupBy("key").agg(F.collect_set("size").alias("sizes")), "least")
     fits = F.exists("sizes", lambda y: (den * y >= num * F.col("size")) & (num * (F.col("size") + y) <= (num + den) * F.col("common")))
     able = materialise(known.join(least, "key").where(fits).select("key", "id", "component"), "able")
     open_ = materialise(able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
-    left = able.join(open_, "key").select("id", "component").distinct().join(sized.select("id", "size"), "id")
-    left = materialise(left.select("id", "component", "size"), "left")
-    kept = materialise(own.join(left.select("id"), "id", "left_semi"), "own")
-    for t in (own, across, sized, known, least, able, open_):
+    left = able.join(open_, "key").select("id", "component").distinct().join(sized, "id")
+    left = materialise(left.select("id", "component", "size", "common"), "left")
+    for t in (own, sized, known, least, able, open_):
         release(t)
-    return left, kept
+    return left, shared
 
 
-def _compared(left: DataFrame, own: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Confirmed links (a, b) between different components of sets (id, component, size) with shingles (id, component, h).
+def _compared(left: DataFrame, shared: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of sets (id, component, size, common) with common shingles (id, h, n).
 
     Two sets that reach the threshold share a shingle among the size - ceil(num * size /
-    den) + 1 rarest of each. So sets meet only in such shingles: those that one set alone
-    holds come first and meet nobody, and what large groups have in common comes last.
+    den) + 1 first of each, in any order of all shingles. Here those that no two components
+    share come first and meet nobody, then the rarest; what large groups have in common comes last.
     Where more than BLOCK sets meet in one shingle all the same, they are dealt out as
     pairs of blocks, and a task compares two blocks by exact intersection counts.
     """
-    often = materialise(own.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    met = materialise(own.select("id", "h").join(often, "h"), "often-met")
-    rarest = Window.partitionBy("id").orderBy("n", "h")
-    alone = F.col("size") - F.count("*").over(Window.partitionBy("id"))
-    reach = F.col("size") - F.ceil(F.col("size") * num / den) + 1
-    ranked = met.join(left, "id").withColumns({"place": F.row_number().over(rarest) + alone, "reach": reach}).where("place <= reach")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "h")) + F.col("size") - F.col("common")
+    ranked = shared.join(left, "id").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1)
     prefix = materialise(ranked.select("h", "id", "component", "size"), "prefix")
     groups = materialise(prefix.groupBy("h").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "m"), "groups")
     side = prefix.join(groups.where(F.col("m") <= BLOCK).select("h"), "h")
@@ -294,7 +290,7 @@ def _compared(left: DataFrame, own: DataFrame, reps: DataFrame, items: DataFrame
     if not large.isEmpty():
         links, before = materialise(links.unionByName(_by_blocks(prefix.join(large, "h"), items, n, num, den)), "links"), links
         release(before)
-    for t in (often, met, prefix, groups):
+    for t in (prefix, groups):
         release(t)
     return links
 
