@@ -5,10 +5,10 @@ hash in it, so equal strings have equal anchors at equal places. Neighbouring
 strings of one anchor form a span. Anchors that occur once, anywhere, rule their
 strings out; anchors whose spans are all alike settle theirs; only anchors with
 different spans around them are contested. For those, each distinct span's text
-goes to one index partition, where a bounded-order Burrows-Wheeler transform is
-built (suffixes sorted by LENGTH bytes, by rank doubling), kept as runs with the
-places of run ends sampled; streaming each text against it gives the strings
-with a match of LENGTH bytes.
+goes to one index partition, where a Burrows-Wheeler transform is built (suffixes
+sorted by rank doubling) and kept as runs with the places of their ends sampled;
+streaming each text against the samples gives its matching statistics, compared
+byte by byte where runs meet, and so the strings with a match of LENGTH bytes.
 
 An anchor with more than HOT different spans is not gathered: its strings are
 hashed and counted one by one, which any number of tasks can share.
@@ -69,39 +69,52 @@ def spans(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.
 
 
 class RunLengthIndex:
-    """Bounded-order BWT of several texts; only suffixes that begin one of a text's first ``n`` strings are kept."""
+    """Run-compressed Burrows-Wheeler transform of several texts, each with an end of its own.
+
+    Kept are the runs (head, last row), the text places of each run's first and last row,
+    and the common prefix of the two rows at every border between runs. That is enough for
+    the matching statistics of every place against all the others: two rows of one run go
+    on, one byte earlier, as neighbouring rows too, so a place that starts no run matches
+    its upper neighbour for one byte less than the place before it does, and one that ends
+    no run likewise its lower neighbour. A text begins a run of its own.
+    """
+
+    SYMBOLS = 7  # of nine bits each: 0 is the end of a text, 1 to 256 are its bytes
 
     def __init__(self, texts: list[bytes], counts: np.ndarray, length: int = LENGTH):
-        data = np.frombuffer(b"".join(texts) + b"\0" * length, np.uint8)
-        begin = np.zeros(len(texts), np.int64)
-        np.cumsum([len(t) for t in texts[:-1]], out=begin[1:])
-        size = len(data) - length
-        key = np.zeros(size, U)
-        for j in range(8):
-            key = key << U(8) | data[j : size + j]
+        lens = np.array([len(t) for t in texts], np.int64)
+        data, size = np.frombuffer(b"".join(texts), np.uint8), int(lens.sum())
+        self.begin, self.counts, self.length = np.cumsum(lens) - lens, counts, length
+        left = np.repeat(self.begin + lens, lens) - np.arange(size)  # bytes to the end of the text
+        key = self._keys(data, left)
         rank, order = self._rank(key)
-        done = 8
-        while done < length:
-            step = min(done, length - done)
+        done, longest = self.SYMBOLS, int(lens.max(initial=0))
+        while done < longest:
             ahead = np.zeros(size, U)
-            ahead[: size - step] = rank[step:] + U(1)
+            inside = np.flatnonzero(left > done)
+            ahead[inside] = rank[inside + done] + U(1)
             rank, order = self._rank(rank << U(32) | ahead)
-            done += step
-        owner = np.repeat(np.arange(len(texts)), counts)
-        first = np.cumsum(counts) - counts
-        suffix = begin[owner] + np.arange(len(owner)) - first[owner]
-        inside = np.full(size, -1, np.int64)
-        inside[suffix] = np.arange(len(suffix))
-        sorted_ = order[inside[order] >= 0]  # the places of the kept suffixes in sorted order
-        char = np.where(np.isin(sorted_, begin), 256, data[sorted_ - 1])
-        edge = np.r_[True, char[1:] != char[:-1]]
-        self.heads = char[edge]
-        self.run_ends = np.r_[np.flatnonzero(edge)[1:], len(sorted_)]
-        self.samples = sorted_[self.run_ends - 1]
-        alike = np.r_[False, rank[sorted_[1:]] == rank[sorted_[:-1]]]  # LCP with the suffix before reaches the length
-        self.matched = np.zeros(len(suffix), bool)
-        self.matched[inside[sorted_]] = alike | np.r_[alike[1:], False]
-        self.first, self.counts = first, counts
+            done *= 2
+        # Equal endings stay in the order of their texts, as ends that differ would have it.
+        char = np.empty(size, np.int64)
+        char[1:] = data[:-1]
+        char[self.begin[lens > 0]] = 256 + np.flatnonzero(lens > 0)
+        char = char[order]
+        edge = np.flatnonzero(np.r_[True, char[1:] != char[:-1]][:size])
+        runs = len(edge)
+        self.heads, self.run_ends = char[edge], np.r_[edge[1:], size][:runs] - 1
+        above, below = order[edge[1:] - 1], order[edge[1:]]
+        border = self._common(key, left, above, below)
+        self.run_first, self.first_match = self._by_place(order[edge], np.r_[0, border][:runs])
+        self.run_last, self.last_match = self._by_place(order[self.run_ends], np.r_[border, 0][:runs])
+
+    @classmethod
+    def _keys(cls, data: np.ndarray, left: np.ndarray) -> np.ndarray:
+        symbols = np.r_[data.astype(U) + U(1), np.zeros(cls.SYMBOLS, U)]
+        key = np.zeros(len(data), U)
+        for j in range(cls.SYMBOLS):
+            key = key << U(9) | np.where(left > j, symbols[j : j + len(data)], U(0))
+        return key
 
     @staticmethod
     def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +124,36 @@ class RunLengthIndex:
         rank[order] = np.cumsum(np.r_[False, k[1:] != k[:-1]]).astype(U) if len(key) else k
         return rank, order
 
-    def stream(self, text: int) -> np.ndarray:
-        """For each of a text's strings whether it occurs elsewhere in the index."""
-        return self.matched[self.first[text] : self.first[text] + self.counts[text]]
+    @classmethod
+    def _common(cls, key: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at ``a`` and ``b``, compared symbol by symbol."""
+        most, out = np.minimum(left[a], left[b]), np.zeros(len(a), np.int64)
+        open_ = np.arange(len(a))
+        while len(open_):
+            differ = key[a[open_] + out[open_]] ^ key[b[open_] + out[open_]]
+            for j in range(1, cls.SYMBOLS + 1):
+                out[open_] += differ >> U(9 * (cls.SYMBOLS - j)) == 0
+            open_ = open_[(differ == 0) & (out[open_] < most[open_])]
+        return np.minimum(out, most)
+
+    @staticmethod
+    def _by_place(place: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(place)
+        return place[order], match[order]
+
+    def statistics(self) -> np.ndarray:
+        """For each byte of the joined texts the longest match that it begins, anywhere else in the index."""
+        size = int(self.run_ends[-1]) + 1 if len(self.run_ends) else 0
+        out, at = np.zeros(size, np.int64), np.arange(size)
+        for place, match in ((self.run_first, self.first_match), (self.run_last, self.last_match)):
+            out = np.maximum(out, np.repeat(match + place, np.diff(np.r_[place, size])) - at)  # a text's start is always a sample
+        return out
+
+    def stream(self) -> Iterator[np.ndarray]:
+        """For each text, whether each of its strings occurs elsewhere in the index."""
+        long = self.statistics() >= self.length
+        for a, n in zip(self.begin.tolist(), self.counts.tolist(), strict=True):
+            yield long[a : a + n]
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,9 +224,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
 
     def marks(held: list) -> pa.RecordBatch:
         ix, out = RunLengthIndex([r[5] for r in held], np.array([r[4] for r in held]), length), []
-        for t, (_, key, times, lo, _, _) in enumerate(held):
+        for (_, key, times, lo, _, _), flags in zip(held, ix.stream(), strict=True):
             if times == 1:  # spans that occur again whole are known already
-                a, b = _runs(ix.stream(t))
+                a, b = _runs(flags)
                 out += [(key, lo + x, lo + y + length - 1) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["key", "lo", "hi"])
 

@@ -89,6 +89,30 @@ def test_pii_many_matches_in_one_text(spark):
     assert (got["n_email"], got["n_ip"]) == (3000, 3000) and got["spans"].endswith("ip:44992:44999")
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_run_length_index(seed):
+    r = random.Random(seed)
+    length, base = r.choice([1, 2, 5, 9, 30]), bytes(r.choice(b"\0ab\xff") for _ in range(60)) * 3
+    texts = []
+    for _ in range(r.randint(1, 8)):
+        text = bytearray(base[r.randint(0, 40) :][: r.randint(length, length + 40)])
+        text[r.randrange(len(text))] = r.choice(b"\0abz")
+        texts.append(bytes(text))
+    texts += texts[:1] * r.randint(0, 1)
+    index = repeats.RunLengthIndex(texts, np.array([len(t) - length + 1 for t in texts]), length)
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    assert [f.tolist() for f in index.stream()] == [[seen[t[i : i + length]] > 1 for i in range(len(t) - length + 1)] for t in texts]
+    places = [(t, i) for t in texts for i in range(len(t))]
+    common_ = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    best = [max((common_(t[i:], u[j:]) for n, (u, j) in enumerate(places) if n != m), default=0) for m, (t, i) in enumerate(places)]
+    assert index.statistics().tolist() == best
+    assert len(index.heads) == len(index.run_ends) == len(index.run_first) and index.run_ends[-1] == len(places) - 1
+
+
+def test_run_length_index_of_nothing():
+    assert list(repeats.RunLengthIndex([], np.zeros(0, np.int64)).stream()) == []
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_repeats(spark, odd, none, hot):
     r = random.Random(0)
