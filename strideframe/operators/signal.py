@@ -1,7 +1,8 @@
 """Filters over continuous signals: median, zero-phase low-pass, resampling, gravity.
 
-Median and FIR-free steps are window functions. Recursive filters run along a whole
-trial, so a trial is one group of an Arrow-batched function; trials are independent.
+The median is a window function. The other filters run over chunks of a trial with as many
+neighbouring samples on both sides as reach a chunk's own ones, so no group grows with its trial;
+samples are numbered from 0 without gaps in a trial (``windows.indexed`` does so).
 """
 
 from __future__ import annotations
@@ -37,19 +38,29 @@ def butterworth_sections(cutoff: float, fs: float, order: int = 3) -> np.ndarray
     return out
 
 
+def memory(sections: np.ndarray) -> int:
+    """Samples after which a filter has forgotten its state, to within rounding."""
+    slowest = max(np.sqrt(abs(a2)) if a2 else abs(a1) for *_, a1, a2 in sections)
+    return max(64, int(np.ceil(np.log(1e-15) / np.log(slowest))))
+
+
 def _run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    y = x.astype(np.float64)
+    """Blocks of a long signal are rows that run side by side, each from as far back as the filter remembers."""
+    back = memory(sections)
+    if len(x) <= 2 * back:
+        rows, back = np.asarray(x, np.float64)[None], 0
+    else:  # what comes before the signal is its first sample for ever
+        n = -(-len(x) // back)
+        rows = np.lib.stride_tricks.sliding_window_view(np.r_[np.full(back, x[0]), x, np.full(n * back - len(x), x[-1])], 2 * back)[::back]
+    y = np.array(rows.T, np.float64, order="C")
     for b0, b1, b2, _, a1, a2 in sections:
         # State of a section that has seen its first sample for ever.
-        level = y[0]
-        z1, z2 = level * (1 - b0), level * (b2 - a2)
-        out = np.empty_like(y)
+        z1, z2 = y[0] * (1 - b0), y[0] * (b2 - a2)
         for i, v in enumerate(y):
             o = b0 * v + z1
             z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
-            out[i] = o
-        y = out
-    return y
+            y[i] = o
+    return y[back:].T.ravel()[: len(x)]
 
 
 def low_pass(x: np.ndarray, cutoff: float, fs: float, order: int = 3) -> np.ndarray:
@@ -62,45 +73,75 @@ def low_pass(x: np.ndarray, cutoff: float, fs: float, order: int = 3) -> np.ndar
     return y[pad : len(y) - pad] if pad > 0 else y
 
 
-def resample_array(x: np.ndarray, fs_in: float, fs_out: float) -> np.ndarray:
-    """Rational resampling by a Kaiser-windowed sinc, edges padded with zeros."""
+def _ratio(fs_in: float, fs_out: float) -> tuple[int, int]:
     up, down = round(1000 * fs_out), round(1000 * fs_in)
-    g = gcd(up, down)
-    up, down = up // g, down // g
-    x = np.asarray(x, np.float64)
+    return up // gcd(up, down), down // gcd(up, down)
+
+
+def resample_array(x: np.ndarray, fs_in: float, fs_out: float, lead: int = 0, first: int = 0, own: int | None = None) -> np.ndarray:
+    """Rational resampling by a Kaiser-windowed sinc, edges padded with zeros.
+
+    Of a piece of a longer signal: ``lead`` samples come before number ``first`` of the whole, and the
+    result is of the ``own`` samples from there on.
+    """
+    up, down = _ratio(fs_in, fs_out)
+    x, own = np.asarray(x, np.float64), len(x) - lead if own is None else own
     if up == down:
-        return x
+        return x[lead : lead + own]
     half = 10 * max(up, down)
     t = np.arange(-half, half + 1)
     h = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
-    h *= up / h.sum()
-    n = -(-len(x) * up // down)
-    out = np.zeros(n)
-    for j in range(n):
-        at = j * down
-        low, high = max(0, -(-(at - half) // up)), min(len(x) - 1, (at + half) // up)
-        if low <= high:
-            i = np.arange(low, high + 1)
-            out[j] = (x[i] * h[at - i * up + half]).sum()
-    return out
-
+    h = np.r_[h * (up / h.sum()), 0.0]  # the last entry is for taps beyond the window
+    taps = np.arange(2 * half // up + 1)
+    padded = np.r_[np.zeros(len(taps)), x, np.zeros(len(taps))]
+    js, parts = np.arange(-(-first * up // down), -(-(first + own) * up // down)), []
+    for at in np.array_split(js * down, max(1, len(js) * len(taps) >> 20)):  # about a million products at a time
+        low = -((half - at) // up)  # first sample under the window
+        i = low[:, None] + taps
+        h_at = at[:, None] - i * up + half
+        place = np.clip(i - first + lead + len(taps), 0, len(padded) - 1)
+        parts.append((padded[place] * h[np.where(h_at < 0, -1, h_at)]).sum(1))
+    return np.concatenate(parts)
+
+
+#: Samples of a chunk; it is longer where a filter reaches further.
+CHUNK = 1 << 16
+
+
+def _by_chunk(samples: DataFrame, by: str, value: str, schema: str, reach: int, chunk: int, f) -> DataFrame:
+    """``f(x, lead, first, own)`` for each chunk: x are its samples and ``reach`` more on either side, if there are any;
+    ``own`` of them count, after ``lead`` others, and the first is number ``first`` of the trial. f gives the columns, i among them.
+    """
+    size = max(chunk, reach)
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    at, inside = F.expr(f"i div {size}"), F.col("i") % size
+    near = F.array(at, F.when((inside < reach) & (at > 0), at - 1), F.when(inside >= size - reach, at + 1))
 
-def _per_trial(samples: DataFrame, by: str, value: str, schema: str, f) -> DataFrame:
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("i")[value].to_numpy(np.float64)
-        cols = f(x)
-        n = len(next(iter(cols.values())))
-        return pd.DataFrame({by: [key[0]] * n, "i": np.arange(n), **cols})
+        part = part.sort_values("i")
+        i, first = part["i"].to_numpy(), int(key[1]) * size
+        lead, end = np.searchsorted(i, [first, first + size])
+        if lead == end:  # only the end of the chunk before
+            return pd.DataFrame({c: [] for c in names})
+        cols = f(part[value].to_numpy(np.float64), int(lead), first, int(end - lead))
+        return pd.DataFrame({by: [key[0]] * len(cols["i"]), **cols})[names]
 
-    return samples.select(by, "i", value).groupBy(by).applyInPandas(run, schema)
+    rows = samples.select(by, "i", value, F.explode(F.filter(near, lambda c: c.isNotNull())).alias("_chunk"))
+    return rows.groupBy(by, "_chunk").applyInPandas(run, schema)
 
 
 def _kind(samples: DataFrame, by: str) -> str:
     return samples.schema[by].dataType.simpleString()
 
 
-def resample(samples: DataFrame, by: str, value: str, fs_in: float, fs_out: float) -> DataFrame:
-    return _per_trial(samples, by, value, f"{by} {_kind(samples, by)}, i long, {value} double", lambda x: {value: resample_array(x, fs_in, fs_out)})
+def resample(samples: DataFrame, by: str, value: str, fs_in: float, fs_out: float, chunk: int = CHUNK) -> DataFrame:
+    up, down = _ratio(fs_in, fs_out)
+
+    def run(x: np.ndarray, lead: int, first: int, own: int) -> dict[str, np.ndarray]:
+        y = resample_array(x, fs_in, fs_out, lead, first, own)
+        return {"i": -(-first * up // down) + np.arange(len(y)), value: y}
+
+    return _by_chunk(samples, by, value, f"{by} {_kind(samples, by)}, i long, {value} double", 10 * max(up, down) // up + 1, chunk, run)
 
 
 def median3_array(x: np.ndarray) -> np.ndarray:
@@ -108,23 +149,25 @@ def median3_array(x: np.ndarray) -> np.ndarray:
     return np.median(np.stack([p[:-2], p[1:-1], p[2:]]), 0)
 
 
-def denoise(samples: DataFrame, by: str, value: str, fs: float) -> DataFrame:
+def denoise(samples: DataFrame, by: str, value: str, fs: float, chunk: int = CHUNK) -> DataFrame:
     """Median of three for signals over three samples; 20 Hz low-pass for rates over 40 Hz."""
+    reach = memory(butterworth_sections(20.0, fs)) if fs > 40 else 3
 
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+    def run(x: np.ndarray, lead: int, first: int, own: int) -> dict[str, np.ndarray]:
         y = median3_array(x) if len(x) > 3 else x
-        return {value: low_pass(y, 20.0, fs) if fs > 40 else y}
+        y = low_pass(y, 20.0, fs) if fs > 40 else y
+        return {"i": first + np.arange(own), value: y[lead : lead + own]}
 
-    return _per_trial(samples, by, value, f"{by} {_kind(samples, by)}, i long, {value} double", run)
+    return _by_chunk(samples, by, value, f"{by} {_kind(samples, by)}, i long, {value} double", reach + 1, chunk, run)
 
 
-def gravity_split(samples: DataFrame, by: str, value: str, fs: float, cutoff: float = 0.3) -> DataFrame:
+def gravity_split(samples: DataFrame, by: str, value: str, fs: float, cutoff: float = 0.3, chunk: int = CHUNK) -> DataFrame:
     """Slow part (gravity) and the rest (body)."""
     if fs <= 2 * cutoff:
         raise ValueError("rate too low for the cutoff")
 
-    def run(x: np.ndarray) -> dict[str, np.ndarray]:
-        g = low_pass(x, cutoff, fs)
-        return {"gravity": g, "body": x - g}
+    def run(x: np.ndarray, lead: int, first: int, own: int) -> dict[str, np.ndarray]:
+        g, own_x = low_pass(x, cutoff, fs)[lead : lead + own], x[lead : lead + own]
+        return {"i": first + np.arange(own), "gravity": g, "body": own_x - g}
 
-    return _per_trial(samples, by, value, f"{by} {_kind(samples, by)}, i long, gravity double, body double", run)
+    return _by_chunk(samples, by, value, f"{by} {_kind(samples, by)}, i long, gravity double, body double", memory(butterworth_sections(cutoff, fs)), chunk, run)

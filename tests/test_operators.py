@@ -41,6 +41,50 @@ def test_low_pass_and_gravity():
     assert (gone[200:-200] ** 2).mean() < 0.01
 
 
+def test_filters_by_chunk_equal_whole_trials(spark):
+    rng = np.random.default_rng(5)
+    trials = {1: rng.normal(size=5000).cumsum() / 10, 2: rng.normal(size=7), 3: rng.normal(size=2), 4: rng.normal(size=1000)}
+    rows = spark.createDataFrame([(t, i, float(v)) for t, x in trials.items() for i, v in enumerate(x)], "t int, i long, v double")
+
+    def same(df, col, want):
+        got = df.toPandas().sort_values(["t", "i"])
+        for t in trials:
+            mine = got[got["t"] == t]
+            assert mine["i"].tolist() == list(range(len(want[t])))
+            assert np.abs(mine[col].to_numpy() - want[t]).max() < 1e-9
+
+    def plain(x, sections):  # one sample after the other, as the definition has it
+        for b0, b1, b2, _, a1, a2 in sections:
+            z1, z2, y = x[0] * (1 - b0), x[0] * (b2 - a2), []
+            for v in x:
+                y.append(b0 * v + z1)
+                z1, z2 = b1 * v - a1 * y[-1] + z2, b2 * v - a2 * y[-1]
+            x = np.array(y)
+        return x
+
+    def zero_phase(x, cutoff, fs):
+        pad, sections = min(21, len(x) - 1), signal.butterworth_sections(cutoff, fs)
+        wide = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]] if pad else x
+        y = plain(plain(wide, sections)[::-1], sections)[::-1]
+        return y[pad : len(y) - pad]
+
+    smooth = {t: signal.median3_array(x) if len(x) > 3 else x for t, x in trials.items()}
+    same(signal.denoise(rows, "t", "v", 50, chunk=100), "v", {t: zero_phase(x, 20, 50) for t, x in smooth.items()})
+    same(signal.gravity_split(rows, "t", "v", 50, chunk=100), "gravity", {t: zero_phase(x, 0.3, 50) for t, x in trials.items()})
+    for fs_in, fs_out in ((100, 50), (50, 75), (200, 60)):
+        up, down = signal._ratio(fs_in, fs_out)
+        half = 10 * max(up, down)
+        at = np.arange(-half, half + 1)
+        h = np.sinc(at / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+        h *= up / h.sum()
+        want = {}
+        for t, x in trials.items():  # zeros between samples, then an ordinary convolution
+            wide = np.zeros(len(x) * up)
+            wide[::up] = x
+            want[t] = np.convolve(wide, h)[half : half + len(wide)][::down]
+        same(signal.resample(rows, "t", "v", fs_in, fs_out, chunk=64), "v", want)
+
+
 def test_resample_alias():
     t = np.arange(2000) / 200
     tone = signal.resample_array(np.sin(2 * np.pi * 5 * t), 200, 50)
