@@ -488,9 +488,14 @@ def paired_predictions(spark, sf_dir):
     return metrics.paired_predictions(v.select("vec_id", F.col("e").alias("probs")), coarse, "vec_id")
 
 
-@query()
+@query(f"""WITH {SAMPLES}, t AS (SELECT unnest(range(-20, 21)) AS t),
+ r AS (SELECT t, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t / 2) / (pi() * t / 2) END
+   * list_sum(list_transform(range(31), lambda m: pow(6.25 * (1 - t * t / 400.0::DOUBLE), m) / pow(CAST(factorial(CAST(m AS INTEGER)) AS DOUBLE), 2))) AS h FROM t)
+ SELECT a.user_id, a.i // 2 AS i, round(sum(b.value * r.h) / (SELECT sum(h) FROM r), 6) AS value
+ FROM x a JOIN x b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 20 AND a.i + 20 JOIN r ON r.t = a.i - b.i WHERE a.i % 2 = 0 GROUP BY a.user_id, a.i""")
 def resample_poly(spark, sf_dir):
-    return signal.resample(samples(spark, sf_dir), "user_id", "value", 100, 50)
+    """Half the rate; the SQL sums over taps of a sinc under a Kaiser window, with the Bessel function as its series."""
+    return _round(signal.resample(samples(spark, sf_dir), "user_id", "value", 100, 50), "value")
 
 
 @query()
