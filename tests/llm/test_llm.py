@@ -335,6 +335,29 @@ def test_paragraphs_short_and_wrapped_lines(spark):
     assert got[31] == ""  # a near copy of a line of twelve words
 
 
+def test_paragraph_links_against_brute_force(spark):
+    """Recall of the banding over the lines of whole documents: every pair at 0.8 or more is in one component."""
+    keyed = paragraphs._keyed(common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text"))
+    line = F.posexplode(F.split("text", "\n", -1)).alias("line", "text")
+    lines = keyed.where("text IS NOT NULL").select("key", line).select(paragraphs._line_id(F.col("key"), F.col("line")).alias("id"), "text").collect()
+    component = {x["key"]: x["component"] for x in paragraphs.repeated_lines(keyed).collect()}
+    sets, alike = {}, {}
+    for x in lines:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), x["text"]))
+        if len(w) >= paragraphs.LINE_WORDS:
+            sets[x["id"]] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+            alike.setdefault(sets[x["id"]], x["id"])
+    holds = {}
+    for g, i in alike.items():
+        for shingle in g:
+            holds.setdefault(shingle, []).append(i)
+    met = Counter((a, b) for ids in holds.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    pairs = [(a, b) for (a, b), n in met.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    pairs += [(i, alike[g]) for i, g in sets.items() if alike[g] != i]
+    found = sum(a in component and component[a] == component.get(b) for a, b in pairs)
+    assert len(pairs) > 50 and found >= 0.999 * len(pairs), (found, len(pairs))
+
+
 def test_token_counts(spark, odd):
     tok = tokencount.library(entry.LIBRARY)
     r = random.Random(4)
@@ -419,6 +442,14 @@ def test_decontamination(spark, odd, none):
     assert decontam.drop_contaminated(docs, small).count() == docs.count() - 4
 
 
+def test_decontamination_of_given_tables(spark):
+    """All leaks that brute force finds in whole tables, and no others."""
+    docs, bench = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
+    got = {(x["doc_id"], x["item_id"]): (x["coverage"], x["matched"], x["windows"]) for x in decontam.leaks(docs, bench).collect()}
+    want = _leaks([tuple(x) for x in docs.select("doc_id", "text").collect()], [tuple(x) for x in bench.select("item_id", "text").collect()])
+    assert got and got == want
+
+
 def test_language_id(spark, odd, none):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     got = entry.op10_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
