@@ -85,3 +85,13 @@ def arrays(uri: str) -> dict[str, np.ndarray]:
         size = int(np.prod(shape)) * np.dtype(kind).itemsize
         out[name] = raw[8 + n + at : 8 + n + at + size].view(kind).reshape(shape)
     return out
+
+
+def exists(uri: str) -> bool:
+    path = _mounted(uri)
+    if path is not None:
+        return os.path.exists(path)
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.get_file_info(path).type != fs.FileType.NotFound
