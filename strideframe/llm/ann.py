@@ -2,7 +2,8 @@
 
 Equal vectors are one node, which stands for the smallest ids of its rows (as many as any
 answer can hold), so copies neither crowd a graph nor get lost. Nodes are dealt to shards of
-bounded size by a hash of their smallest id; a shard's graph is written once, as flat
+bounded size by a hash of their smallest id, those of like length together, so that one huge
+vector does not blur the others of its graph; a shard's graph is written once, as flat
 arrays, and searched by blocks of queries. Every row is indexed; what a graph finds is
 scored anew, in double precision on the original vectors.
 
@@ -17,7 +18,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,13 @@ def nodes(rows: DataFrame, k: int) -> DataFrame:
     return ids.groupBy("v").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list(F.struct("vec_id", "times"))).alias("members"))  # k + 1 at most
 
 
+def band(v: str) -> Column:
+    """The power of 4 next to a vector's length."""
+    top = F.array_max(F.transform(v, lambda e: F.abs(e)))
+    scaled = F.aggregate(v, F.lit(0.0), lambda a, e: a + (e / top) * (e / top))
+    return F.rint(F.log2(top) / 2 + F.log2(scaled) / 4).cast("int")
+
+
 @lru_cache(maxsize=4)
 def _graph(uri: str) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
     g = store.arrays(uri)
@@ -60,24 +68,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = hnsw.SE
     """query_id, rank, vec_id, score for the rows that ``is_query`` selects by their vec_id."""
     spark, none = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     rows, home = taking_part(vectors), f"{shared_dir(vectors.sparkSession)}-ann"
-    index = materialise(nodes(rows, k).withColumn("dim", F.size("v")), "ann-nodes")
+    index = materialise(nodes(rows, k).withColumns({"dim": F.size("v"), "band": band("v")}), "ann-nodes")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    # One row for each length of vectors.
-    sizes = {r["dim"]: [-(-r["n"] // SHARD), 0] for r in index.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect():
-        sizes[r["dim"]][1] = -(-r["n"] // BLOCK)
-    if not sizes:
+    # One row for each number of components (and power of 4 of the length).
+    shards = {(r["dim"], r["band"]): -(-r["n"] // SHARD) for r in index.groupBy("dim", "band").agg(F.count("*").alias("n")).collect()}
+    blocks = {(r["dim"],): -(-r["n"] // BLOCK) for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    if not shards or not blocks:
         return spark.createDataFrame([], none)
 
-    def dealt(table: DataFrame, key: str, which: int) -> DataFrame:
-        parts = F.lit(1)
-        for dim, n in sizes.items():
-            parts = F.when(F.col("dim") == dim, max(1, n[which])).otherwise(parts)
-        out = table.withColumn("part", F.pmod(F.xxhash64(key), parts.cast("long")))
-        return out.repartition(min(10_000, sum(max(1, n[which]) for n in sizes.values())), "dim", "part")
+    def dealt(table: DataFrame, id_: str, parts: dict[tuple, int], *key: str) -> DataFrame:
+        n = F.lit(1)
+        for value, many in parts.items():
+            if many > 1:
+                n = F.when(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(key, value, strict=True)]), many).otherwise(n)
+        out = table.withColumn("part", F.pmod(F.xxhash64(id_), n.cast("long")))
+        return out.repartition(min(10_000, sum(parts.values())), *key, "part")
 
     def save_graph(part: pd.DataFrame) -> pd.DataFrame:
-        dim, shard = int(part["dim"].iloc[0]), int(part["part"].iloc[0])
+        dim, power, shard = (int(part[c].iloc[0]) for c in ("dim", "band", "part"))
         order, levels = hnsw.order_and_sizes(part["node"].to_numpy(np.int64))
         part = part.iloc[order]
         v = np.array(part["v"].tolist(), np.float64).reshape(len(part), dim)
@@ -86,7 +94,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = hnsw.SE
         members = part["members"].tolist()
         flat = np.array([(m["vec_id"], m["times"]) for own in members for m in own], np.int64).reshape(-1, 2)
         offs = np.cumsum([0, *map(len, members)])
-        store.put_arrays(f"{home}/g-{dim}-{shard}", v=v, x=x, ids=flat[:, 0], times=flat[:, 1], offs=offs, levels=np.array([len(links)]), **{f"links{i}": a for i, a in enumerate(links)})
+        store.put_arrays(f"{home}/g-{dim}-{power}-{shard}", v=v, x=x, ids=flat[:, 0], times=flat[:, 1], offs=offs, levels=np.array([len(links)]), **{f"links{i}": a for i, a in enumerate(links)})
         return pd.DataFrame({"nodes": [len(part)]})
 
     def save_block(part: pd.DataFrame) -> pd.DataFrame:
@@ -95,19 +103,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = hnsw.SE
         store.put_arrays(f"{home}/q-{dim}-{block}", ids=part["vec_id"].to_numpy(np.int64), v=np.array(part["v"].tolist(), np.float64).reshape(len(part), dim))
         return pd.DataFrame({"nodes": [len(part)]})
 
-    for table, key, which, save in ((index, "node", 0, save_graph), (asked, "vec_id", 1, save_block)):
-        dealt(table, key, which).groupBy("dim", "part").applyInPandas(save, "nodes long").agg(F.sum("nodes")).collect()
+    for table, id_, parts, key, save in ((index, "node", shards, ("dim", "band"), save_graph), (asked, "vec_id", blocks, ("dim",), save_block)):
+        dealt(table, id_, parts, *key).groupBy(*key, "part").applyInPandas(save, "nodes long").agg(F.sum("nodes")).collect()
 
-    def run(dim: int, blocks: int):
+    def run(dim: int, names: list[tuple[int, int]], n_blocks: int):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for pair in b.column("id").to_pylist():
-                    yield one(*divmod(pair, blocks))
-
-        def one(shard: int, block: int) -> pa.RecordBatch:
+                    shard, block = divmod(pair, n_blocks)
+                    for power, many in names:
+                        if shard < many:
+                            yield one(f"{home}/g-{dim}-{power}-{shard}", f"{home}/q-{dim}-{block}")
+                            break
+                        shard -= many
+
+        def one(graph: str, block: str) -> pa.RecordBatch:
             out = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-            if store.exists(f"{home}/g-{dim}-{shard}") and store.exists(f"{home}/q-{dim}-{block}"):  # a hash may leave a part empty
-                (g, links), asks = _graph(f"{home}/g-{dim}-{shard}"), store.arrays(f"{home}/q-{dim}-{block}")
+            if store.exists(graph) and store.exists(block):  # a hash may leave a part empty
+                (g, links), asks = _graph(graph), store.arrays(block)
                 out = best(g, links, np.asarray(asks["ids"]), np.asarray(asks["v"]))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
 
@@ -129,9 +142,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = hnsw.SE
 
         return scan
 
-    pairs = [spark.range(0, s * b, 1, min(s * b, 10_000)).mapInArrow(run(dim, b), "query_id long, vec_id long, score double") for dim, (s, b) in sizes.items() if b]
-    if not pairs:
-        return spark.createDataFrame([], none)
+    pairs = []
+    for (dim,), n_blocks in blocks.items():
+        names = [(power, many) for (d, power), many in sorted(shards.items()) if d == dim]
+        n = sum(many for _, many in names) * n_blocks
+        pairs.append(spark.range(0, n, 1, min(n, 10_000)).mapInArrow(run(dim, names, n_blocks), "query_id long, vec_id long, score double"))
     near = pairs[0]
     for p in pairs[1:]:
         near = near.unionByName(p)

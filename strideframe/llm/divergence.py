@@ -114,7 +114,7 @@ def _pack(part: pd.DataFrame) -> pd.DataFrame:
     out = []
     for block, at in part.groupby("block").indices.items():
         own = part.iloc[at]
-        data = np.stack([column[at], own["place"].to_numpy() % BLOCK, own["n"].to_numpy()]).astype(np.int64)
+        data = np.stack([column[at], own["place"].to_numpy(), own["n"].to_numpy()]).astype(np.int64)
         out.append((own["lang"].iloc[0], int(own["chunk"].iloc[0]), int(block), data.tobytes()))
     return pd.DataFrame(out, columns=["lang", "chunk", "block", "data"])
 
@@ -209,7 +209,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pairs(kept: DataFrame, own: DataFrame) -> DataFrame:
     """lang, source, item, value of every ordered pair of sources of a language."""
     entries = kept.join(own.select("lang", "source", "place", "block", "chunks"), ["lang", "source"])
-    keyed = entries.select("lang", "term", "n", "place", "block", F.pmod(F.xxhash64("term"), F.col("chunks")).alias("chunk"))
+    keyed = entries.select("lang", "term", "n", (F.col("place") % BLOCK).alias("place"), "block", F.pmod(F.xxhash64("term"), F.col("chunks")).alias("chunk"))
     packed = keyed.groupBy("lang", "chunk").applyInPandas(_pack, "lang string, chunk long, block long, data binary")
     sizes = own.groupBy("lang").agg(F.first("blocks").alias("blocks"), F.first("spans").alias("spans"), F.first("terms").alias("terms"))
     vectors = packed.join(sizes, "lang").select("lang", "chunk", "block", "data", F.lit(None).cast("array<struct<source:string,total:bigint>>").alias("groups"), "terms", "blocks", F.floor(F.col("chunk") / SPAN).alias("span"))
