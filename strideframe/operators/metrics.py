@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def windows_per_hour(hop: float) -> float:
     if hop <= 0:
@@ -26,25 +28,14 @@ def far_per_hour(rate: float, hop: float) -> float:
     return rate * windows_per_hour(hop)
 
 
-#: Ranges that a global order is cut into.
-RANGES = 64
-
-
-def _range(rows: DataFrame, order: str) -> Column:
-    """Number of the range that a value of ``order`` falls into: a fixed expression, so every branch and every retry agree."""
-    cuts = sorted(set(rows.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.01)))  # at most RANGES numbers
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-
-
 def _running(rows: DataFrame, order: str, cols: list[str], *by: str) -> DataFrame:
     """Exclusive running sums over an order (within ``by``) without one task seeing all rows."""
-    parts = rows.withColumn("_range", _range(rows, order))
+    parts = rows.withColumn("_range", ranges.place(rows, order))
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    base = sums.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_b_{c}") for c in cols])  # a row a range
+    base = ranges.starts(sums, list(by), *[f"_t_{c}" for c in cols])  # a row a range
     out = parts.withColumns({f"_w_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols}).join(base if by else F.broadcast(base), [*by, "_range"])
-    return out.withColumns({f"{c}_before": F.col(f"_w_{c}") + F.col(f"_b_{c}") for c in cols}).drop("_range", *[f"_w_{c}" for c in cols], *[f"_b_{c}" for c in cols])
+    return out.withColumns({f"{c}_before": F.col(f"_w_{c}") + F.col(f"b__t_{c}") for c in cols}).drop("_range", *[f"_w_{c}" for c in cols], *[f"b__t_{c}" for c in cols])
 
 
 def percentiles(rows: DataFrame, value: str, ps: list[float], *by: str) -> DataFrame:
@@ -131,13 +122,32 @@ def auroc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     return running.agg((won / (F.sum("p") * F.sum("n"))).alias("auroc"))
 
 
+#: Terms of a tie's sum that are added one by one; the rest has a closed form.
+TERMS = 32
+
+
+def _tie(hits: Column, rows: Column, more: Column) -> Column:
+    """Sum of (hits + j) / (rows + j) for j = 1 .. more: a tie's share of average precision, in constant memory.
+
+    Past the first terms the sum is more - (rows - hits) * (H(rows + more) - H(rows)); the harmonic numbers
+    are taken by their asymptotic series, whose error there is below 1e-14.
+    """
+    few = F.least(more, F.lit(TERMS).cast("long"))
+    head = F.aggregate(F.sequence(F.lit(1).cast("long"), few), F.lit(0.0), lambda acc, j: acc + (hits + j) / (rows + j))
+    rest = (more - TERMS).cast("double")
+    low = (rows + TERMS).cast("double")
+    high = low + rest
+    series = lambda m: 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * F.pow(m, F.lit(4))) - 1 / (252 * F.pow(m, F.lit(6)))
+    tail = rest - (rows - hits) * (F.log1p(rest / low) + series(high) - series(low))
+    return F.when(more > TERMS, head + tail).when(more > 0, head).otherwise(0.0)
+
+
 def auprc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """Average precision; within equal scores negatives rank first."""
     flipped = rows.select((-F.col(score)).alias("s"), F.col(positive).cast("long").alias("p"))
     by_score = flipped.groupBy("s").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("n"))
     run = _running(by_score, "s", ["p", "n"])
-    each = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("p")), F.lit(0.0), lambda acc, j: acc + (F.col("p_before") + j) / (F.col("p_before") + F.col("n_before") + F.col("n") + j))
-    total = F.when(F.col("p") > 0, each).otherwise(0.0)
+    total = _tie(F.col("p_before"), F.col("p_before") + F.col("n_before") + F.col("n"), F.col("p"))
     return run.agg((F.sum(total) / F.sum("p")).alias("auprc"))
 
 

@@ -135,6 +135,36 @@ def label_by_overlap(spark, sf_dir):
     return _overlaps(spark, sf_dir, "event").select("user_id", "k", windows.label_by_overlap(F.col("fraction")).alias("label"))
 
 
+SPANS = SAMPLES + """, n AS (SELECT user_id, count(*) AS n FROM x GROUP BY user_id HAVING count(*) >= 16),
+ b AS (SELECT user_id, k, k * 8 AS s, k * 8 + 16 AS e FROM (SELECT user_id, unnest(generate_series(0, (n - 16) // 8)) AS k FROM n)),
+ v AS (SELECT user_id, i AS impact, i - 2 AS vs, i + 3 + CAST(k2 AS BIGINT) % 20 AS ve FROM x WHERE event_type = 'error'),
+ o AS (SELECT b.user_id, k, impact, least(e, ve) - greatest(s, vs) AS shared, ve - vs AS width FROM b JOIN v ON b.user_id = v.user_id AND s < ve AND vs < e)"""
+
+
+def _event_spans(spark, sf_dir):
+    """(windows, spans): every window of every user, and a span of 5 to 24 samples about each of a user's errors."""
+    x = samples(spark, sf_dir)
+    w = windows.window_bounds(x.groupBy("user_id").agg(F.count("*").alias("n")), "n", WIN, STRIDE).drop("n")
+    v = x.where("event_type = 'error'").select("user_id", F.col("i").alias("impact"), (F.col("i") - 2).alias("ev_start"), (F.col("i") + 3 + F.col("k2").cast("long") % 20).alias("ev_end"))
+    return w, v
+
+
+@query(f"WITH {SPANS} SELECT user_id, CAST(k AS BIGINT) AS k, CAST(impact AS BIGINT) AS impact, CAST(shared AS BIGINT) AS shared FROM o")
+def window_span_pairs(spark, sf_dir):
+    """Every pair of a window and an event span that have samples in common."""
+    w, v = _event_spans(spark, sf_dir)
+    shared = F.least("end", "ev_end") - F.greatest("start", "ev_start")
+    return windows.interval_pairs(w, v, "user_id", WIN).select("user_id", "k", "impact", shared.alias("shared"))
+
+
+@query(f"""WITH {SPANS}, m AS (SELECT user_id, k, count(*) AS n, max(CAST(shared AS DOUBLE) / width) AS f FROM o GROUP BY 1, 2)
+ SELECT b.user_id, CAST(b.k AS BIGINT) AS k, coalesce(n, 0) AS n_spans, round(coalesce(f, 0), 6) AS fraction, CAST(CASE WHEN coalesce(f, 0) <= 0 THEN 0 WHEN f >= 0.8 THEN 1 ELSE -1 END AS INTEGER) AS label FROM b LEFT JOIN m USING (user_id, k)""")
+def label_by_event_spans(spark, sf_dir):
+    """The label of every window against all event spans of its user."""
+    w, v = _event_spans(spark, sf_dir)
+    return _round(windows.label_by_spans(w, v, "user_id", cell=WIN), "fraction")
+
+
 @query(f"WITH {SAMPLES}, n AS (SELECT user_id, i, value AS b, coalesce(lag(value) OVER u, value) AS a, coalesce(lead(value) OVER u, value) AS c FROM x WINDOW u AS (PARTITION BY user_id ORDER BY i)) SELECT user_id, CAST(i AS BIGINT) AS i, greatest(least(a, b), least(greatest(a, b), c)) AS median FROM n")
 def median3_denoise(spark, sf_dir):
     return signal.median3(samples(spark, sf_dir), "user_id", "value", "median").select("user_id", "i", "median")
