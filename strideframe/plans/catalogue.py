@@ -6,6 +6,8 @@ event; batches of channels come from lineitem, vectors and classes from embeddin
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -571,23 +573,53 @@ def class_middle(spark, sf_dir):
 @query(f"WITH {WINDOWS} SELECT user_id, CAST(k AS BIGINT) AS k, round(avg(value), 6) AS mean, round(avg(abs(value)), 6) AS energy FROM w GROUP BY user_id, k HAVING count(*) = 16")
 def stream_windows(spark, sf_dir):
     """The streaming operator over the whole table, read as a stream and written to a table."""
-    import tempfile
-    import uuid
-
     from ..streaming.windows import stream_windows as windowed
 
-    name = f"stream_{uuid.uuid4().hex[:8]}"
-    schema = _table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    found = windowed(stream.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", WIN, STRIDE)
+    return _round(_drained(spark, found), "mean", "energy")
+
+
+def _folder(spark) -> str:
+    """A fresh folder name that all executors share (own temp folder where all runs on one machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="strideframe-")
-    out, state = f"{root}/{name}-out", f"{root}/{name}-state"
-    run = windowed(stream.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", WIN, STRIDE).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return _round(spark.read.parquet(out), "mean", "energy")
+    return f"{root}/strideframe-{uuid.uuid4().hex[:12]}"
+
+
+def _drained(spark, stream):
+    """What a stream gives until its source is empty, written to a table."""
+    home = _folder(spark)
+    stream.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/out")
+
+
+#: Seconds that an event may be late in the test of late streams; parts in which the table arrives.
+DISORDER, ARRIVALS = 3600, 4
+
+
+@query(f"WITH {WINDOWS} SELECT user_id, CAST(k AS BIGINT) AS k, round(avg(value), 6) AS mean, round(avg(abs(value)), 6) AS energy FROM w GROUP BY user_id, k HAVING count(*) = 16")
+def stream_late_windows(spark, sf_dir):
+    """The whole table arrives in parts, each event up to an hour late by a hash of its id and parts in no order inside; windows are as if in order."""
+    from ..streaming.ordered import ordered_windows, with_state_store
+
+    home = _folder(with_state_store(spark))
+    e = _table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    seconds = F.unix_seconds("ts")
+    arrival = seconds + F.pmod(F.xxhash64("event_id"), F.lit(DISORDER))
+    first, last = e.agg(F.min(seconds), F.max(seconds)).first()
+    span = (last - first + DISORDER) // ARRIVALS + 1
+    e.withColumn("part", F.floor((arrival - first) / span)).repartition("part").write.partitionBy("part").parquet(f"{home}/in")
+    for k in range(ARRIVALS):  # files are streamed in the order in which they were written
+        spark.read.parquet(f"{home}/in/part={k}").write.parquet(f"{home}/stream/{k}")
+    end = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(last + 10 * (span + DISORDER))).alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"))
+    end.write.parquet(f"{home}/stream/{ARRIVALS}")  # moves the watermark past the last event
+    stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{home}/stream")
+    found = ordered_windows(stream, "user_id", "ts", ["event_id"], "value", WIN, STRIDE, f"{span + DISORDER} seconds", "10000 days")
+    return _round(_drained(spark, found).drop("late"), "mean", "energy")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
