@@ -89,3 +89,9 @@ def quantise(x: Column, step: float, zero: int) -> Column:
 
 def dequantise(q: Column, step: float, zero: int) -> Column:
     return (q - zero) * F.lit(float(step)) if step else q.cast("double")
+
+
+def dequantised(x: Column, step: Column) -> Column:
+    """What is left of x after symmetric int8 with a step that is a column; 0 where the step is 0."""
+    level = F.least(F.greatest(F.rint(x / step), F.lit(-127.0)), F.lit(127.0))
+    return F.when(step > 0, level * step).otherwise(0.0)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import augment, metrics, network, quant, scoring, signal, splits, stats, windows
 from ..shipping import ship
+from ..sources import corpora, reports, splits_sink
 from ..sources.firmware import HOST_ONLY, RESOLVER_METHODS, SLOW
 
 WIN, STRIDE = 16, 8
@@ -203,6 +204,25 @@ def summary_counts(spark, sf_dir):
     return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("subjects"))
 
 
+@query("""SELECT CASE WHEN grouping(l_returnflag) = 0 THEN 'l_returnflag' WHEN grouping(l_linestatus) = 0 THEN 'l_linestatus' WHEN grouping(l_linenumber) = 0 THEN 'l_linenumber' ELSE 'all' END AS what,
+ coalesce(l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR), '') AS value, count(*) AS n, count(DISTINCT l_suppkey) AS subjects FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus), (l_linenumber))""")
+def corpus_counts(spark, sf_dir):
+    """Rows and suppliers in all and by each tag, from one aggregation."""
+    return corpora.counts(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_linenumber", subject="l_suppkey").fillna("", ["value"])
+
+
+@query("""WITH m AS (SELECT user_id % 40 AS g, event_type, stddev_pop(value) AS v FROM events WHERE user_id % 40 <> 7 OR event_type <> 'view' GROUP BY 1, 2)
+ SELECT 'run ' || g AS run, """ + ", ".join(f"coalesce(max(CASE WHEN event_type = '{m}' THEN format('{{:.4f}}', v) END), '-') AS {m}" for m in ("click", "error", "purchase", "signup", "view")) + " FROM m GROUP BY g")
+def run_comparison(spark, sf_dir):
+    """Manifests of runs (groups of users) whose metrics are the deviation of each event type's values; one lacks one."""
+    g = (F.col("user_id") % 40).alias("g")
+    e = _table(spark, sf_dir, "events").select(g, "event_type", "value").where("g <> 7 OR event_type <> 'view'")
+    named = F.map_from_entries(F.collect_list(F.struct("event_type", "v")))
+    runs = e.groupBy("g", "event_type").agg(F.stddev_pop("value").alias("v")).groupBy("g").agg(named.alias("metrics"))
+    docs = runs.select(F.parse_json(F.to_json(F.struct(F.concat(F.lit("run "), "g").alias("name"), "metrics"))).alias("doc"))
+    return reports.compare(docs, ["click", "error", "purchase", "signup", "view"])
+
+
 SPLIT = """u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, row_number() OVER (ORDER BY md5('42|' || user_id), user_id) AS r, count(*) OVER () AS n FROM u),
  c AS (SELECT *, least(greatest(1, round_even(0.7 * n, 0)), n - 2) AS tr FROM r), d AS (SELECT *, least(greatest(1, round_even(0.15 * n, 0)), n - tr - 1) AS va FROM c),
  s AS (SELECT user_id, CASE WHEN r <= tr THEN 'train' WHEN r <= tr + va THEN 'val' ELSE 'test' END AS split FROM d)"""
@@ -219,6 +239,22 @@ def split_describe(spark, sf_dir):
     return splits.describe(e, splits.subject_split(e, "user_id"), "user_id")
 
 
+@query(f"""WITH {SPLIT}, e AS (SELECT split, user_id, event_type, value FROM events JOIN s USING (user_id)), t AS (SELECT avg(value) AS m, stddev_pop(value) + 1e-6 AS d FROM e WHERE split = 'train'),
+ k AS (SELECT split, count(DISTINCT event_type) AS classes FROM e GROUP BY split)
+ SELECT split, count(*) AS n, count(DISTINCT user_id) AS subjects, any_value(classes) AS classes, round(any_value(m), 6) AS mean, round(any_value(d), 6) AS std, round(avg((value - m) / d), 6) AS z FROM e JOIN k USING (split), t GROUP BY split""")
+def split_sink(spark, sf_dir):
+    """Events written by part with their statistics, twice and one part again, then read back and normalised."""
+    e = _table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    rows, home = e.join(splits.subject_split(e, "user_id"), "user_id"), f"{_folder(spark)}-split"
+    for again in (rows, rows, rows.where("split = 'val'")):
+        splits_sink.write_split(again, home, ["value"], "event_type")
+    mean, std = splits_sink.read_statistics(spark, home)["value"]
+    z = stats.normalised(F.col("value"), mean, std)
+    found = splits_sink.read_split(spark, home).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("subjects"), F.avg(z).alias("z"))
+    classes = spark.read.parquet(f"{home}/classes").groupBy("split").agg(F.count("*").alias("classes"))
+    return _round(found.join(classes, "split").withColumns({"mean": F.lit(mean), "std": F.lit(std)}), "mean", "std", "z")
+
+
 @query("SELECT user_id, count(DISTINCT event_type) AS splits FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
 def split_leaks(spark, sf_dir):
     return splits.leaks(_table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("split")), "user_id")
@@ -466,6 +502,45 @@ def attribute_verdict(spark, sf_dir):
     return _round(found.select("label", "weight_cost", "activation_cost", "verdict"), "weight_cost", "activation_cost")
 
 
+SIZES = [20, 80, 320]
+SWEEP = f"""e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), tr AS (SELECT * FROM e WHERE vec_id % 4 <> 0),
+ m AS (SELECT label, d, avg(v) AS m FROM (SELECT label, unnest(range(64)) AS d, unnest(x) AS v FROM tr) GROUP BY 1, 2),
+ w AS (SELECT label AS c, list(m ORDER BY d) AS w FROM m GROUP BY 1),
+ u AS (SELECT c, w, list_sum(list_transform(w, lambda v: v * v)) / -2 AS b, list_transform(w, lambda v: round_even(v / (list_max(list_transform(w, lambda z: abs(z))) / 127), 0) * (list_max(list_transform(w, lambda z: abs(z))) / 127)) AS s FROM w),
+ r AS (SELECT x, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS r FROM tr),
+ n AS (SELECT unnest({SIZES}) AS n), st AS (SELECT n, max(list_max(list_transform(x, lambda v: abs(v)))) / 127 AS st FROM r, n WHERE r <= greatest(1, n // 10) GROUP BY n),
+ q AS (SELECT n, st, vec_id, label, list_transform(x, lambda v: least(greatest(round_even(v / st, 0), -127), 127) * st) AS x FROM e, st),
+ rq AS (SELECT n, list_transform(x, lambda v: least(greatest(round_even(v / st, 0), -127), 127) * st) AS x FROM r JOIN st ON r <= greatest(1, n // 10)),
+ ro AS (SELECT n, max(abs(round(list_sum(list_transform(list_zip(x, s), lambda p: p[1] * p[2])) + b, 9))) / 127 AS o FROM rq, u GROUP BY n),
+ sc AS (SELECT n, vec_id, label, c, round(list_sum(list_transform(list_zip(x, s), lambda p: p[1] * p[2])) + b, 9) AS v FROM q, u),
+ pr AS (SELECT n, vec_id, label, arg_max(c, (v, -c)) AS fl, arg_max(c, (least(greatest(round_even(v / o, 0), -127), 127), -c)) AS i8 FROM sc JOIN ro USING (n) GROUP BY n, vec_id, label),
+ f AS (SELECT vec_id, arg_max(c, (round(list_sum(list_transform(list_zip(x, w), lambda p: p[1] * p[2])) + b, 9), -c)) AS f FROM e, u GROUP BY vec_id),
+ a AS (SELECT n AS rep_size, 'float' AS output, label, fl AS p, f FROM pr JOIN f USING (vec_id) UNION ALL SELECT n, 'int8', label, i8, f FROM pr JOIN f USING (vec_id)),
+ sw AS (SELECT CAST(rep_size AS INTEGER) AS rep_size, output, CAST(label AS INTEGER) AS label, count(*) AS n, avg(CAST(p = label AS INTEGER)) AS accuracy, avg(CAST(f = label AS INTEGER)) AS float_accuracy,
+  avg(CAST(p = label AS INTEGER)) - avg(CAST(f = label AS INTEGER)) AS delta, avg(CAST(p = f AS INTEGER)) AS agreement FROM a GROUP BY GROUPING SETS ((rep_size, output), (rep_size, output, label)))"""
+
+
+def _sweep(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    train = e.where("vec_id % 4 <> 0")
+    return quant.sweep(e, train, quant.centroids(train, "label", "x"), "vec_id", "label", "x", SIZES, 10)
+
+
+@query(f"WITH {SWEEP} SELECT rep_size, output, coalesce(label, -1) AS label, n, round(accuracy, 6) AS accuracy, round(float_accuracy, 6) AS float_accuracy, round(delta, 6) AS delta, round(agreement, 6) AS agreement FROM sw")
+def quant_sweep(spark, sf_dir):
+    """Accuracies of a nearest-mean classifier over whole embeddings under int8 variants, overall (label -1) and by class."""
+    return _round(_sweep(spark, sf_dir).fillna(-1, ["label"]), "accuracy", "float_accuracy", "delta", "agreement")
+
+
+@query(f"""WITH {SWEEP}, i AS (SELECT * FROM sw WHERE label IS NULL AND output = 'int8'), o AS (SELECT accuracy AS fo FROM sw WHERE label IS NULL AND output = 'float' ORDER BY rep_size DESC LIMIT 1),
+ g AS (SELECT any_value(float_accuracy) AS fa, arg_max(rep_size, (accuracy, -rep_size)) AS best, max(accuracy) AS acc, arg_max(accuracy, rep_size) - arg_min(accuracy, rep_size) AS gain FROM i)
+ SELECT round(fa, 6) AS float_accuracy, best AS best_size, round(acc, 6) AS best_accuracy, round(gain, 6) AS sweep_gain, round(fo - fa, 6) AS float_out_delta, round(fo - acc, 6) AS float_out_gain,
+ CASE WHEN fo - fa > -0.02 THEN 'output resolution' WHEN gain > 0.02 THEN 'calibration' WHEN fo - acc > 0.02 THEN 'mostly output' ELSE 'weights' END AS verdict FROM g, o""")
+def quant_sweep_verdict(spark, sf_dir):
+    """Where int8 loses accuracy, from the predictions of every variant over whole embeddings."""
+    return _round(quant.sweep_verdict(_sweep(spark, sf_dir)), "float_accuracy", "best_accuracy", "sweep_gain", "float_out_delta", "float_out_gain")
+
+
 OPS = [*RESOLVER_METHODS, *HOST_ONLY, "ZZZ"]
 
 

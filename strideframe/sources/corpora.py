@@ -9,79 +9,61 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.windows import indexed, window_arrays
+from ..operators.windows import window_arrays
+from . import motion
+from .archives import Corpus
+from .layout import CHANNELS, CLASSES, LINE_LABELS, LINE_SIGNALS, LINE_WIN, TRIAL_COLUMNS, TRIAL_LABELS
 
-# Fixed values of the window schema and of the two corpora's layouts.
-CLASSES = ("walk", "upstairs", "downstairs", "sit", "stand", "jog")
-CHANNELS = ("acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z")
-LINE_LABELS = {1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
-TRIAL_LABELS = {"wlk": 0, "ups": 1, "dws": 2, "sit": 3, "std": 4, "jog": 5}
-TRIAL_COLUMNS = ("userAcceleration.x", "userAcceleration.y", "userAcceleration.z", "rotationRate.x", "rotationRate.y", "rotationRate.z")
-LINE_SIGNALS = ("body_acc_x", "body_acc_y", "body_acc_z", "body_gyro_x", "body_gyro_y", "body_gyro_z")
-LINE_WIN = 128
+__all__ = ["CHANNELS", "CLASSES", "LINE_LABELS", "LINE_SIGNALS", "LINE_WIN", "TRIAL_COLUMNS", "TRIAL_LABELS"]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of one text file, by line number."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return rows.where(F.trim("value") != "")
-
 
 def read_line_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Windows that come as one line a channel; both parts, labels 1 to 5, aligned by line number."""
-    parts = []
-    for split in ("train", "test"):
-        label = _lines(spark, f"{root}/{split}/y_{split}.txt").select("line", F.trim("value").cast("int").alias("label"))
-        person = _lines(spark, f"{root}/{split}/subject_{split}.txt").select("line", F.trim("value").cast("int").alias("person"))
-        out = label.join(person, "line", "full")
-        for name in LINE_SIGNALS:
-            v = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("float"))
-            out = out.join(_lines(spark, f"{root}/{split}/Inertial Signals/{name}_{split}.txt").select("line", v.alias(name)), "line", "full")
-        bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ("label", "person", *LINE_SIGNALS)] + [F.size(c) != LINE_WIN for c in LINE_SIGNALS])
-        n = out.where(F.coalesce(bad, F.lit(True))).count()
-        if n:
-            raise ValueError(f"{split}: {n} lines do not align or are not {LINE_WIN} samples long")
-        parts.append(out)
-    rows = parts[0].unionByName(parts[1]).where(F.col("label").isin(*LINE_LABELS))
+    """Windows that come as one line a channel; both parts, labels 1 to 5, aligned by line number in one shuffle."""
+    lines = motion.register(spark).read.format("motion").option("layout", "lines").load(root)
+    rows = lines.groupBy("split", "line").pivot("name", ["y", "subject", *LINE_SIGNALS]).agg(F.first("v"))
+    sizes = {"y": 1, "subject": 1} | dict.fromkeys(LINE_SIGNALS, LINE_WIN)
+    bad = reduce(lambda a, b: a | b, [F.coalesce(F.size(c) != n, F.lit(True)) for c, n in sizes.items()])
+    rows = rows.select("*", F.col("y")[0].cast("int").alias("label"), F.col("subject")[0].cast("int").alias("person"))
+    seen = rows.agg(F.sum(bad.cast("long")).alias("bad"), F.countDistinct("split").alias("splits")).first()
+    if seen["bad"] or seen["splits"] != 2:
+        raise ValueError(f"{seen['bad']} lines do not align or are not {LINE_WIN} samples long; {seen['splits']} of 2 parts")
     codes = F.create_map(*[F.lit(x) for kv in LINE_LABELS.items() for x in kv])
     x = F.transform(F.arrays_zip(*LINE_SIGNALS), lambda s: F.array(*[s[c] for c in LINE_SIGNALS]))
-    return rows.select(x.alias("X"), codes[F.col("label")].alias("y_act"), F.lit(-1).cast("byte").alias("y_fall"), F.format_string("uci_%02d", "person").alias("subject"), F.lit("uci").alias("dataset"))
+    known = rows.where(F.col("label").isin(*LINE_LABELS))
+    return known.select(x.alias("X"), codes[F.col("label")].alias("y_act"), F.lit(-1).cast("byte").alias("y_fall"), F.format_string("uci_%02d", "person").alias("subject"), F.lit("uci").alias("dataset"))
 
 
 def read_trial_corpus(spark: SparkSession, root: str, win: int = 128, stride: int = 64) -> DataFrame:
     """Continuous trials, one CSV each in a folder named after its activity; columns are found by name, file by file."""
-    try:
-        whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "sub_*.csv").text(root, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-        named = whole.select("path", "value", F.regexp_extract("path", r"/([^/_]+)_[^/]*/[^/]+$", 1).alias("act"), F.regexp_extract("path", r"/(sub_[^/]+)\.csv$", 1).alias("stem"))
-    except Exception as e:
-        raise FileNotFoundError(f"no trials below {root}") from e
-    codes = F.create_map(*[F.lit(x) for kv in TRIAL_LABELS.items() for x in kv])
-    files = named.where(F.col("act").isin(*TRIAL_LABELS)).withColumn("lines", F.split("value", "\r?\n"))
-    head = F.transform(F.split(F.col("lines")[0], ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    files = files.withColumn("head", head).where(F.forall(F.array(*map(F.lit, TRIAL_COLUMNS)), lambda c: F.array_contains("head", c)))
-    at = [F.array_position("head", c).cast("int") for c in TRIAL_COLUMNS]
-    rows = files.select("path", "stem", codes[F.col("act")].alias("y_act"), *[a.alias(f"_{i}") for i, a in enumerate(at)], F.posexplode("lines").alias("line", "text")).where("line > 0 AND trim(text) <> ''")
-    cells = rows.withColumn("f", F.split("text", ","))
-    samples = cells.select("path", "stem", "y_act", (F.col("line") - 1).cast("long").alias("i"), *[F.element_at("f", F.col(f"_{i}")).cast("float").alias(c) for i, c in enumerate(CHANNELS)])
-    windows = window_arrays(indexed(samples, "path", "i"), "path", list(CHANNELS), win, stride)
-    about = samples.select("path", F.concat(F.lit("ms_"), "stem").alias("subject"), "y_act").distinct()
-    out = windows.join(about, "path").select("X", "y_act", F.lit(-1).cast("byte").alias("y_fall"), "subject", F.lit("ms").alias("dataset"))
-    if out.isEmpty():
+    samples = motion.register(spark).read.format("motion").option("layout", "trials").load(root)
+    windows = sliding(samples, win, stride)
+    if windows.isEmpty():
         raise ValueError(f"no usable trial below {root}")
-    return out
+    return windows
+
+
+def sliding(samples: DataFrame, win: int, stride: int) -> DataFrame:
+    """Windows of the common schema from samples whose index within the trial is known."""
+    about = samples.select("path", "subject", "y_act").distinct()
+    return window_arrays(samples, "path", list(CHANNELS), win, stride).join(about, "path").select("X", "y_act", F.lit(-1).cast("byte").alias("y_fall"), "subject", F.lit("ms").alias("dataset"))
 
 
 #: tag -> (reader, windowed by the corpus itself). More corpora are registered here.
 LOADERS: dict[str, tuple[Callable, bool]] = {"uci": (read_line_corpus, True), "ms": (read_trial_corpus, False)}
 
 
-def load_all(spark: SparkSession, roots: dict[str, str], win: int = 128, stride: int = 64) -> DataFrame:
-    """Union of the corpora in ``roots`` (tag -> folder)."""
-    unknown = set(roots) - set(LOADERS)
+def load_all(spark: SparkSession, roots: dict[str, str | Corpus], win: int = 128, stride: int = 64, tags: list[str] | None = None) -> DataFrame:
+    """Union of the corpora ``tags`` (all of ``roots`` by default); a :class:`Corpus` is fetched first where it is missing."""
+    tags = list(roots) if tags is None else tags
+    unknown = sorted(set(tags) - set(LOADERS) | set(tags) - set(roots))
     if unknown:
-        raise ValueError(f"unknown corpora {sorted(unknown)}")
-    parts = [f(spark, root) if own else f(spark, root, win, stride) for tag, root in roots.items() for f, own in [LOADERS[tag]]]
+        raise ValueError(f"unknown corpora {unknown}")
+    parts = []
+    for tag in tags:
+        root, (f, own) = roots[tag], LOADERS[tag]
+        root = str(root.root()) if isinstance(root, Corpus) else root
+        parts.append(f(spark, root) if own else f(spark, root, win, stride))
     return concat(*parts)
 
 
@@ -107,10 +89,24 @@ def validate(windows: DataFrame, win: int) -> DataFrame:
     return windows
 
 
+def counts(windows: DataFrame, *columns: str, subject: str = "subject") -> DataFrame:
+    """(what, value, n, subjects): windows and people in all (what 'all') and for each value of each of ``columns``, in one shuffle."""
+    each = windows.select(subject, *columns).groupingSets([[], *[[F.col(c)] for c in columns]], *columns)
+    found = each.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.countDistinct(subject).alias("subjects"))
+    # Bit k of the id, from the left, tells that column k is not in the set.
+    full = (1 << len(columns)) - 1
+    what, value = F.when(F.col("g") == full, "all"), F.lit(None).cast("string")
+    for k, c in enumerate(columns):
+        own = F.col("g") == full - (1 << (len(columns) - 1 - k))
+        what, value = what.when(own, c), F.when(own, F.col(c).cast("string")).otherwise(value)
+    return found.select(what.alias("what"), value.alias("value"), "n", "subjects")
+
+
 def summary(windows: DataFrame) -> dict:
-    by = lambda c: {r[c]: r["count"] for r in windows.groupBy(c).count().collect()}
-    one = windows.agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects")).first()
-    return {"n": one["n"], "subjects": one["subjects"], "dataset": by("dataset"), "y_act": by("y_act"), "y_fall": by("y_fall")}
+    rows = counts(windows, "dataset", "y_act", "y_fall").collect()  # a row a corpus and class
+    whole = next((r for r in rows if r["what"] == "all"), None)
+    by = lambda c, f: {f(r["value"]): r["n"] for r in rows if r["what"] == c}
+    return {"n": whole["n"] if whole else 0, "subjects": whole["subjects"] if whole else 0, "dataset": by("dataset", str), "y_act": by("y_act", int), "y_fall": by("y_fall", int)}
 
 
 def slug(name: str) -> str:

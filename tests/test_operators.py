@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import arrays
 from strideframe.operators import augment, metrics, quant, scoring, signal, splits, windows
-from strideframe.sources import archives, config, corpora, firmware, reports
+from strideframe.sources import archives, config, corpora, firmware, motion, reports
 
 
 @pytest.mark.parametrize("n, win, stride, m", [(128, 128, 64, 1), (192, 128, 64, 2), (256, 128, 64, 3), (127, 128, 64, 0), (0, 128, 64, 0), (100, 10, 10, 10)])
@@ -213,8 +213,21 @@ def test_trial_corpus(spark, tmp_path):
     assert len(rows) == 5 * 3 * 2 and {r["subject"] for r in rows} == {"ms_sub_1", "ms_sub_2"}
     assert np.allclose(np.array([r["X"] for r in rows]).mean((0, 1)), range(6))
     assert corpora.summary(w)["n"] == 30
+    assert corpora.summary(w)["y_act"] == {0: 10, 3: 10, 5: 10} and corpora.summary(w.where("false"))["n"] == 0
     with pytest.raises(ValueError):
         corpora.load_all(spark, {"nope": "x"})
+    with pytest.raises(ValueError):
+        corpora.load_all(spark, {"ms": str(tmp_path)}, tags=["uci"])
+    kept = archives.Corpus("corpus", "sub_1.csv", home=tmp_path.parent)
+    (tmp_path.parent / "corpus").mkdir(exist_ok=True)
+    (tmp_path / "wlk_15").rename(tmp_path.parent / "corpus" / "wlk_15")
+    assert len(corpora.load_all(spark, {"ms": archives.Corpus("corpus", "wlk_15", home=tmp_path.parent)}).collect()) == 10 and kept.located()
+    rows = motion.register(spark).read.format("motion").option("layout", "trials").load(f"{tmp_path}")
+    assert rows.rdd.getNumPartitions() == 4 and rows.count() == 1600 and rows.where("acc_x <> 0 OR gyr_z <> 5").count() == 0
+    with pytest.raises(Exception, match="no trials below"):
+        motion.register(spark).read.format("motion").load(f"{tmp_path}/nothing").count()
+    with pytest.raises(Exception, match="unknown layout"):
+        motion.register(spark).read.format("motion").option("layout", "x").load(f"{tmp_path}").count()
 
 
 def test_settings(tmp_path):
@@ -231,12 +244,21 @@ def test_settings(tmp_path):
 
 def test_reports(spark, tmp_path):
     reports.write_manifest(tmp_path, "run one", {}, {"acc": np.float64(0.5)}, stamp="20200101T000000Z")
-    reports.write_manifest(tmp_path, "run two", {}, {"acc": 0.75, "f1": 0.5}, stamp="20200102T000000Z")
+    reports.write_manifest(tmp_path, "run two", {"deep": {"x": 3}}, {"acc": 0.75, "f1": 0.5, "note": "text"}, stamp="20200102T000000Z")
     (tmp_path / "20200103_bad.json").write_text("{nope")
     got = reports.read_manifests(spark, tmp_path)
-    assert [r["name"] for r in got.collect()] == ["run two", "run one"]
-    cells = {(r["name"], r["metric"]): r["text"] for r in reports.compare(got).collect()}
-    assert cells[("run one", "f1")] == "-" and cells[("run two", "acc")] == "0.7500"
+    assert sorted(r["file"] for r in got.collect()) == ["20200101T000000Z_run-one.json", "20200102T000000Z_run-two.json"]
+    about = {r["run"]: r for r in got.select(reports.field("doc", "name").alias("run"), reports.field("doc", "git.commit").alias("commit"), reports.field("doc", "config.deep.x", "int").alias("x"), reports.field("doc", "timestamp_utc").alias("t")).collect()}
+    assert about["run two"]["x"] == 3 and about["run one"]["x"] is None and about["run one"]["t"] == "20200101T000000Z"
+    cells = {r["run"]: r for r in reports.compare(got, None, "file").collect()}
+    assert cells["run one"]["f1"] == "-" and cells["run two"]["acc"] == "0.7500" and "note" not in cells["run one"]
+    assert reports.compare(got.where("false"), ["acc"]).count() == 0
+    assert reports.read_manifests(spark, tmp_path / "none").count() == 0
+
+
+def test_provenance(tmp_path):
+    got = reports.provenance(tmp_path / "none")
+    assert got["git"] == {"commit": None, "branch": None, "dirty": None} and got["environment"]["pyspark"]
 
 
 def test_firmware(tmp_path):
