@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import augment, metrics, network, quant, scoring, signal, splits, stats, windows
+from ..operators import augment, metrics, network, quant, scoring, signal, splits, stats, training, windows
 from ..shipping import ship
 from ..sources import corpora, reports, splits_sink
 from ..sources.firmware import HOST_ONLY, RESOLVER_METHODS, SLOW
@@ -640,6 +640,15 @@ def network_forward(spark, sf_dir):
     return network.predict(_six_channels(spark, sf_dir), network.initial_weights(fall=True))
 
 
+@query()
+def train_on_windows(spark, sf_dir):
+    """Held-out accuracy and macro-F1 a fold: how many errors (0 to 3 or more) a window holds, told from its values."""
+    v, errors = F.col("value"), F.sum((F.col("event_type") == "error").cast("int"))
+    aggs = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg(F.abs("value")).alias("energy"), F.avg(F.when(F.col("event_type") == "error", v).otherwise(0)).alias("hit"), errors.alias("errors")]
+    w = windows.sliding_windows(samples(spark, sf_dir), "user_id", WIN, STRIDE, *aggs).withColumn("label", F.least(F.col("errors"), F.lit(3)).cast("int"))
+    return _round(training.cross_validate(w, ["mean", "sd", "lo", "hi", "energy", "hit"], "label", "user_id", 4), "accuracy", "macro_f1")
+
+
 @query("SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE r = n // 2")
 def class_middle(spark, sf_dir):
     return stats.class_middle(_table(spark, sf_dir, "embeddings"), "label", "vec_id")
