@@ -4,9 +4,10 @@ Each language has a probability for every piece of a fixed public vocabulary.
 The likelihood of a word is the sum, over all its segmentations into pieces, of
 the product of piece probabilities (forward algorithm); a text's likelihood is
 the product over its words. Probabilities are fitted by expectation
-maximisation on the words of a bounded, documented sample of labelled rows.
+maximisation on all words of a bounded, documented sample of labelled rows: tasks add up
+expected piece counts of slices of the words, the driver turns the sums into probabilities.
 
-Definitions: a null text, or one without a letter, is ``und`` with score 0. Rows
+Definitions: a null text, or one without a letter (Unicode category L), is ``und`` with score 0. Rows
 without language teach nothing. With no labelled row every text is ``und``.
 Ties go to the alphabetically first language. Repeated rows are predicted alike, and
 teach each. A null doc_id is never held out. No rows give none; other columns are ignored.
@@ -15,7 +16,6 @@ teach each. A null doc_id is never held out. No rows give none; other columns ar
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from .common import begin, holds, materialise, release, slices
 from .textkit import prefix_hash, range_hash
 
-#: Bounds of the training sample: about this many documents, and at most so many distinct words, a language.
+#: Bound of the training sample: about this many documents a language; all their words teach.
 SAMPLE_DOCS = 1_000
-SAMPLE_WORDS = 40_000
+#: Words whose segmentations a task weighs at once.
+LATTICE = 4_000
 ROUNDS = 3
 MEMO = 200_000
 UNKNOWN = -14.0  # log probability of a character that no piece covers, in any language
 FLOOR = 1e-7
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @lru_cache(maxsize=2)
@@ -181,7 +181,7 @@ class LanguageModel:
         get = self.memo.__getitem__
         names, probs = [], []
         for t, ws in zip(texts, counts, strict=True):
-            if not ws or not self.langs or not LETTER.search(t):
+            if not ws or not self.langs or not any(map(str.isalpha, t)):
                 names.append("und")
                 probs.append(0.0)
                 continue
@@ -210,27 +210,54 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> LanguageModel:
+def _expected(words: DataFrame, langs: list[str], logp: np.ndarray, path: str) -> np.ndarray:
+    """(pieces, languages): expected counts over ``words`` (lang, word, n); tasks sum theirs, a number a piece and language is gathered."""
+    shared = words.sparkSession.sparkContext.broadcast(logp)  # pieces x languages: bounded by the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
+        pieces, total = piece_index(path), np.zeros(shared.value.shape)
+        for b in batches:
+            lang, n = np.array(b.column("lang").to_pylist(), object), b.column("n").to_numpy().astype(float)
+            word = np.array(b.column("word").to_pylist(), object)
+            for k, name in enumerate(langs):
+                own = sorted(np.flatnonzero(lang == name).tolist(), key=lambda i: len(word[i]))
+                for part in slabs(own, [len(word[i]) for i in own]):
+                    total[:, k] += Lattice(word[part].tolist(), pieces).expected(shared.value[:, k : k + 1], n[part])
+        at, k = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(total[at, k])], names=["k", "at", "v"])
+
+    got = words.mapInArrow(run, "k long, at long, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(logp.shape)
+    out[got["at"].to_numpy(np.int64), got["k"].to_numpy(np.int64)] = got["v"].to_numpy()
+    return out
+
+
+def slabs(rows: list[int], lens: list[int]) -> Iterator[list[int]]:
+    """``rows``, sorted by length, in parts of at most LATTICE rows whose padded characters stay few."""
+    a = 0
+    while a < len(rows):
+        b = a + 1
+        while b < len(rows) and b - a < LATTICE and (lens[b] + 2) * (b - a + 1) <= 60_000:
+            b += 1
+        yield rows[a:b]
+        a = b
+
+
+def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Fit on labelled rows of folds 1 to 4: all languages, each on a bounded hash sample of its rows."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs, vocab, pieces = sorted(sizes), vocabulary(path), piece_index(path)
+    langs, vocab = sorted(sizes), vocabulary(path)
     ticket = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30))
     chance = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, sample_docs / n))))]) if sizes else None
-    logp = np.empty((len(vocab), len(langs)))
+    logp = np.full((len(vocab), len(langs)), -math.log(max(1, len(vocab))))
     if langs:
-        counted = materialise(word_counts(rows.where(ticket < chance[F.col("lang")])), "langid")
-        for k, lang in enumerate(langs):
-            top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(sample_words).collect()
-            words, weight = [r["word"] for r in top], np.array([r["n"] for r in top], float)
-            parts = [slice(i, i + 4000) for i in range(0, len(words), 4000)]
-            order = sorted(range(len(words)), key=lambda i: len(words[i]))
-            lattices = [(Lattice([words[i] for i in order[p]], pieces), weight[order[p]]) for p in parts]
-            p = np.full(len(vocab), 1 / len(vocab))
-            for _ in range(ROUNDS):
-                got = sum((lat.expected(np.log(p)[:, None], w) for lat, w in lattices), np.zeros(len(vocab)))
-                p = (got + 0.01) / (got.sum() + 0.01 * len(vocab))
-            logp[:, k] = np.log(np.maximum(p, FLOOR))
+        tasks = max(2, docs.sparkSession.sparkContext.defaultParallelism)
+        counted = materialise(word_counts(rows.where(ticket < chance[F.col("lang")])).repartition(tasks, "word"), "langid")
+        for _ in range(ROUNDS):
+            got = _expected(counted, langs, logp, path)
+            logp = np.log(np.maximum((got + 0.01) / (got.sum(0) + 0.01 * len(vocab)), FLOOR))
         release(counted)
     total = sum(sizes.values())
     return LanguageModel(langs, logp, np.array([math.log(sizes[x] / total) for x in langs]), path)

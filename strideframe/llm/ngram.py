@@ -306,7 +306,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             return ctx[rows] * v + ids[rows]
 
         kept = materialise(_counted(docs, keys_of).where(F.col("n") >= MIN_COUNT).withColumn("k", F.lit(1).cast("long")), f"grams{size}")
-        if kept.count() * v >= 1 << 63:
+        if size < order and kept.count() * v >= 1 << 63:  # no word follows those of the last order
             raise ValueError(f"as many n-grams of {size} words do not fit 64-bit keys with the next word")
         weights = kept.groupBy(F.expr(f"key div {max(v, 1)}").alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         level, weight = _level(kept, f"{home}/{size}", v, parents), _weights(weights, f"{home}/w{size}", parents)
@@ -322,6 +322,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     carried = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram")
         for whole in batches:
             for b in slices(whole, "text"):
                 h, bounds = tokens(b.column("text"))

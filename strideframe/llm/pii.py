@@ -70,8 +70,12 @@ CONTEXT = {
     "card": r"(?i)(card|visa|credit|pay|amex)",
     "phone": r"(?i)(tel|phone|call|fax|mobil|dial)",
 }
-AGAINST = r"(?i)(order|invoice|version|release|part|isbn|serial|model|ticket|item|article|page|date|section|build|time)"
+AGAINST = r"(?i)\b(?:order|invoice|version|release|part|isbn|serial|model|ticket|item|article|page|date|section|build|time)s?\b"
+#: A year, month and day, either way round: no phone number.
+DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-](?:0?[1-9]|1[0-2])[ ./-](?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[ ./-](?:0?[1-9]|[12][0-9]|3[01])[ ./-](?:19|20)[0-9]{2})$"
 #: Values of the features: form, digits (in fours), separators, left and right edge, context for and against, check passed, brackets.
+#: Forms that a word against them doesn't make less likely: nobody writes a part number that way.
+CERTAIN = ("bracketed_mail", "defanged_ip")
 LEVELS = (len(FORMS), 8, 4, 2, 2, 2, 2, 2, 2)
 
 def _with_running(rows: DataFrame, step: Callable[[Column, Column], Column], **sums: str) -> DataFrame:
@@ -145,7 +149,9 @@ def _valid(form: str, value: Column) -> Column:
         return ((gap == 1) & (groups == 8)) | ((gap == 2) & (groups < 8))
     if form in ("card", "other_card"):
         return F.when(n.between(16 if form == "card" else 15, 19), _luhn(_digits(value))).otherwise(False)
-    if form in ("phone", "grouped_phone"):
+    if form == "grouped_phone":
+        return n.between(8, 15) & ~value.rlike(DATE)
+    if form == "phone":
         return n.between(8, 15)
     return F.lit(True)
 
@@ -292,7 +298,7 @@ class Boosted:
         least = F.lit(math.inf)
         for form, at in self.thresholds.items():
             least = F.when(c["f"]["f0"] == list(FORMS).index(form), F.lit(at)).otherwise(least)
-        return total >= least
+        return (total >= least) & (c["f"]["f7"] == 1)  # what fails the check of its form is never added
 
 
 def planted(spark: SparkSession, n: int = PLANTED) -> DataFrame:
@@ -322,7 +328,7 @@ def planted(spark: SparkSession, n: int = PLANTED) -> DataFrame:
 
     # For each form what is planted: personal data, and its look-alike.
     made = {
-        "bracketed_mail": (mail, mail),
+        "bracketed_mail": (mail, F.concat(word(0), pick("at", " [at] ", " (at) "), word(1))),
         "spelled_mail": (spelled, F.concat(pick("verb", "look", "meet", "stop"), F.lit(" at "), word(1), F.lit(" dot "), word(2))),
         "hex_ip": (F.when(halved, F.concat(hexes(0, 4), F.lit(":"), hexes(1, 4), F.lit("::"), hexes(2, 4))).otherwise(F.concat_ws(":", *[hexes(k, 4) for k in range(8)])), F.when(halved, F.concat_ws(":", a, d, digits(13, 2), digits(15, 2))).otherwise(F.concat_ws(":", *[hexes(k, 2) for k in range(6)]))),
         "defanged_ip": (octets(dot, 256, 0), octets(dot, 700, 256)),
@@ -339,7 +345,7 @@ def planted(spark: SparkSession, n: int = PLANTED) -> DataFrame:
         # Failing checks also follow words that point to them; what looks the same is told by those words alone,
         # and brackets around an "at" or a dot are rare enough to tell unless a word speaks against them.
         pointed = draw("mood", 10) < F.when(F.col("good"), 8).otherwise(0 if form.endswith("_mail") or form == "grouped_phone" else 3)
-        lead = F.when(pointed, pick("near", *words[FORMS[form]])).when(F.col("good") | (draw("mood", 10) > (9 if form == "bracketed_mail" else 7)), pick("neutral", *neutral)).otherwise(pick("against", *against))
+        lead = F.when(pointed, pick("near", *words[FORMS[form]])).when((F.col("good") if form not in CERTAIN else F.col("good") & (draw("mood", 10) < 9)) | (draw("mood", 10) > (9 if form == "bracketed_mail" else 7)), pick("neutral", *neutral)).otherwise(pick("against", *against))
         plants.append(F.struct(F.lit(FORMS[form]).alias("kind"), F.when(F.col("good"), yes).otherwise(no).alias("value"), lead.alias("lead")))
     rows = rows.withColumn("plant", F.array(*plants)[draw("form", len(plants))])
     rows = rows.select("id", F.concat(word(3), F.lit(" "), word(4), F.lit(" "), F.col("plant.lead")).alias("before"), F.col("plant.value").alias("value"), F.when(F.col("good"), F.col("plant.kind")).alias("kind"))

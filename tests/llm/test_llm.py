@@ -59,8 +59,8 @@ def test_pii(spark, odd, none):
 
 def test_pii_adds_loose_forms_and_nothing_invalid(spark):
     model = pii.fit(spark)
-    added = {"joe [at] corp [dot] com": "email:0:23", "call (555) 123-4567 now": "phone:5:19", "host 10[.]0[.]0[.]7 and 300[.]0[.]0[.]7": "ip:5:19", "mail me: ann at corp dot com": "email:9:28", "card 3782 822463 10005": "card:5:22", "IP: fe80:1::2": "ip:4:13"}
-    not_added = ["ip 300.1.1.1 here", "order no. 555-123-4567", "card 3782 822463 10006", "look at house dot matrix", "on the date 2021-03-04", "at 12:30:45:10"]
+    added = {"joe [at] corp [dot] com": "email:0:23", "call (555) 123-4567 now": "phone:5:19", "host 10[.]0[.]0[.]7 and 300[.]0[.]0[.]7": "ip:5:19", "mail me: ann at corp dot com": "email:9:28", "card 3782 822463 10005": "card:5:22", "IP: fe80:1::2": "ip:4:13", "updates from joe [at] corp [dot] com": "email:13:36", "item joe (at) corp (dot) com": "email:5:28", "page 10[.]0[.]0[.]7": "ip:5:19", "my apartment phone: 555-123-4567": "phone:20:32"}
+    not_added = ["ip 300.1.1.1 here", "order no. 555-123-4567", "card 3782 822463 10006", "look at house dot matrix", "on the date 2021-03-04", "at 12:30:45:10", "call on 2021-03-04", "phone 2021-03-04", "fax 1999-12-31", "call 31.12.1999"]
     rows = [(i, t) for i, t in enumerate([*added, *not_added])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_email": F.lit(1), "row": F.lit("x"), "spans": F.lit(2), "all_ip": F.lit(3), "a.b": F.lit(4)})
     got = {x["doc_id"]: x["spans"] for x in pii.digest(docs, model).collect()}
@@ -458,6 +458,8 @@ def test_language_id(spark, odd, none):
     assert {x["lang_pred"] for x in langid.predict(odd, model).collect()} == {"und"}
     full = langid.train(docs, entry.PIECES)
     by = {x["doc_id"]: x for x in langid.predict(odd, full).collect()}
+    marks = spark.createDataFrame([(1, "\u00b2 \u00bd \u2167 \u2460 12"), (2, "\u00b2 word"), (3, "\u65e5\u672c")], "doc_id long, text string")
+    assert {x["doc_id"]: x["lang_pred"] == "und" for x in langid.predict(marks, full).collect()} == {1: True, 2: False, 3: False}  # numbers that look like letters are none
     assert entry.op10_language_id(spark, "/root/testdata/sf0.001").where("held_out IS NULL").count() == 0
     assert by[0]["lang_pred"] == by[1]["lang_pred"] == "und" and 0 < by[4]["score"] <= 1
 
