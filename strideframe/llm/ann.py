@@ -51,11 +51,11 @@ def nodes(rows: DataFrame, k: int) -> DataFrame:
     return ids.groupBy("v").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list(F.struct("vec_id", "times"))).alias("members"))  # k + 1 at most
 
 
-def band(v: str) -> Column:
-    """The power of 4 next to a vector's length."""
-    top = F.array_max(F.transform(v, lambda e: F.abs(e)))
-    scaled = F.aggregate(v, F.lit(0.0), lambda a, e: a + (e / top) * (e / top))
-    return F.rint(F.log2(top) / 2 + F.log2(scaled) / 4).cast("int")
+def banded(rows: DataFrame) -> DataFrame:
+    """``rows`` with band, the power of 4 next to the length of v."""
+    rows = rows.withColumn("top", F.array_max(F.transform("v", lambda e: F.abs(e))))  # a column, so that no lambda computes it anew
+    scaled = F.aggregate("v", F.lit(0.0), lambda a, e: a + (e / F.col("top")) * (e / F.col("top")))
+    return rows.withColumn("band", F.rint(F.log2("top") / 2 + F.log2(scaled) / 4).cast("int")).drop("top")
 
 
 @lru_cache(maxsize=4)
@@ -68,7 +68,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = hnsw.SE
     """query_id, rank, vec_id, score for the rows that ``is_query`` selects by their vec_id."""
     spark, none = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     rows, home = taking_part(vectors), f"{shared_dir(vectors.sparkSession)}-ann"
-    index = materialise(nodes(rows, k).withColumns({"dim": F.size("v"), "band": band("v")}), "ann-nodes")
+    index = materialise(banded(nodes(rows, k).withColumn("dim", F.size("v"))), "ann-nodes")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     # One row for each number of components (and power of 4 of the length).
     shards = {(r["dim"], r["band"]): -(-r["n"] // SHARD) for r in index.groupBy("dim", "band").agg(F.count("*").alias("n")).collect()}
