@@ -9,6 +9,10 @@ that agree with each other on the values are united, those with most windows fir
 (text inserted into an item splits it into two), and the item counts as found if
 enough distinct windows of it match; a window that a document repeats counts once.
 
+In a run of placeholders (a table, a list) one with REACH of them on either side stands for
+itself in a window: a row of numbers alone is the template of any other row of numbers, so
+the inside of a run is found by its values. Slots are checked alike in and out of runs.
+
 An item of fewer than WINDOW tokens is one window of its own length: it is found where
 its tokens, lower-cased, follow each other word for word.
 
@@ -27,10 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 WINDOW = 8  # a power of two: window hashes are built by doubling
 COVERAGE = 0.5
+REACH = 2
 #: Rows up to which a side is broadcast (a few dozen bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 UNITS = ("kg", "g", "mg", "lb", "oz", "km", "m", "cm", "mm", "mi", "ft", "in", "l", "ml", "s", "ms", "min", "h", "hours", "hour", "days", "day", "years", "year", "minutes", "seconds", "meters", "metres", "miles", "feet", "inches", "pounds", "dollars", "euros", "percent")
@@ -69,9 +74,22 @@ def _words(rows: DataFrame, id: str) -> DataFrame:
     return out.select("key", id, F.filter("both", lambda x: ~_is_stop(x["c"])).alias("words"))
 
 
+def _open(x: Column) -> Column:
+    """Whether a word is a placeholder (tokens of a text hold no such bracket)."""
+    return x["c"].startswith("<")
+
+
+def _in_run(x: Column, i: Column) -> Column:
+    """Whether REACH placeholders stand on either side of this one. The word itself comes first, so plain words cost one look."""
+    inside = _open(x)
+    for k in range(1, REACH + 1):
+        inside = inside & _open(F.get("words", i - k)) & _open(F.get("words", i + k))
+    return inside  # null beyond the ends, which decides as false does
+
+
 def windows(rows: DataFrame, id: str) -> DataFrame:
     """key, id, words, h (hashes of the windows by position; none in texts of fewer than WINDOW tokens)."""
-    out = _words(rows, id).withColumn("h", F.transform("words", lambda x: F.xxhash64(x["c"])))
+    out = _words(rows, id).withColumn("h", F.transform("words", lambda x, i: F.xxhash64(F.when(_in_run(x, i), F.lower(x["t"])).otherwise(x["c"]))))
     step = 1
     while step < WINDOW:
         out = out.withColumn("h", _pairs(step, "h"))
@@ -122,20 +140,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     lo = F.array_min("places")
     length = F.array_max("places") - lo + F.least(F.lit(WINDOW), F.size("theirs"))
     slots = F.zip_with(F.slice("theirs", lo + 1, length), F.slice("mine", lo + F.col("shift") + 1, length), _slot)
-    slots = F.array_sort(F.array_distinct(F.filter(slots, lambda x: x["a"].isNotNull())))
+    slots = F.array_sort(F.array_distinct(F.filter(slots, lambda x: x.isNotNull())))
     alignment = F.struct((-F.size("places")).alias("less"), F.array_sort("places").alias("places"), slots.alias("slots"))
     checked = joined.select(*pair, alignment.alias("x")).where(_one_to_one(F.col("x.slots")))
     united = checked.groupBy(*pair).agg(F.array_sort(F.collect_set("x")).alias("all"))
-    none = F.struct(F.expr("cast(array() as array<int>)").alias("places"), F.expr("cast(array() as array<struct<a:string,b:string>>)").alias("slots"))
+    none = F.struct(F.expr("cast(array() as array<int>)").alias("places"), F.expr("cast(array() as array<string>)").alias("slots"))
     total = F.aggregate("all", none, _unite, lambda acc: F.size(acc["places"]))
     found = united.select("doc_id", "item_id", "windows", total.cast("long").alias("matched")).where(F.col("matched") >= F.col("windows") * coverage)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("matched") / F.col("windows")).alias("coverage"), "matched", F.col("windows").cast("long").alias("windows"))).alias("x"))
-    return materialise(best.select("doc_id", "item_id", "x.matched", "x.windows", "x.coverage"), "leaks")
+    out = materialise(best.select("doc_id", "item_id", "x.matched", "x.windows", "x.coverage"), "leaks")
+    for scratch in (items, grams, per_shift, likely, aligned):
+        release(scratch)
+    return out
 
 
 def _one_to_one(slots: Column) -> Column:
     """Whether each value of distinct slots stands for one value of the other side."""
-    left, right = (F.array_distinct(F.transform(slots, lambda x: x[side])) for side in ("a", "b"))  # noqa: B023
+    left, right = (F.array_distinct(F.transform(slots, lambda x: F.substring_index(x, "\t", side))) for side in (1, -1))  # noqa: B023
     return (F.size(left) == F.size(slots)) & (F.size(right) == F.size(slots))
 
 
@@ -146,9 +167,9 @@ def _unite(acc: Column, x: Column) -> Column:
 
 
 def _slot(a: Column, b: Column) -> Column:
-    """The values on both sides where both tokens are the same placeholder."""
+    """Both values with a tab between where both tokens are the same placeholder; strings, as sets of structs are compared pair by pair."""
     same = (a["c"] == b["c"]) & a["c"].isin("<number>", "<name>", "<unit>")
-    return F.struct(F.when(same, F.concat(a["c"], F.lower(a["t"]))).alias("a"), F.when(same, F.concat(b["c"], F.lower(b["t"]))).alias("b"))
+    return F.when(same, F.concat(a["c"], F.lower(a["t"]), F.lit("\t"), b["c"], F.lower(b["t"])))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
