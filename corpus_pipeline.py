@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.llm import bpe, decontam, entry, langid, neardup, pii
-from strideframe.llm.common import materialise, table, tune
+from strideframe.llm.common import materialise, release, table, tune
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:  # the table of the stage before is read no more
+            release(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
