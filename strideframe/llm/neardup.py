@@ -44,6 +44,8 @@ BAND_ROWS = 4
 SLACK = 6.0
 #: Sets that may meet in one shingle as pairs; of more, the sets of one side of a block that is compared with another.
 BLOCK = 128
+#: Bytes of text whose shingles and registers a task holds at once: arrays that stay in the cache are faster, too.
+KERNEL_BYTES = 1 << 19
 #: Ids (8 bytes each) up to which a filter on them is broadcast.
 BROADCAST_IDS = 500_000
 
@@ -105,7 +107,7 @@ def shingle_table(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, a bounded number of bytes at a time."""
     out = []
-    for b in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+    for b in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", KERNEL_BYTES):
         h, bounds = shingle_table(b.column("text"), n)
         out += np.split(h, bounds[1:-1])
     return out
@@ -117,7 +119,7 @@ def sketches(items: DataFrame, n: int, rows: int = BAND_ROWS, buckets: int = BUC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("text")
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", KERNEL_BYTES):
                 h, bounds = shingle_table(b.column("text"), n)
                 sums = [np.r_[U(0), np.cumsum(x)] for x in (h, mix(h ^ U(0x5851F42D4C957F2D)))]
                 sig = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
@@ -164,7 +166,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
             return [memo[k] for k in ids]
 
         for whole in batches:
-            for x in slices(whole, "text_a", 2 << 20):
+            for x in slices(whole, "text_a", KERNEL_BYTES):
                 a, b = sets(x.column("a").to_pylist(), x.column("text_a")), sets(x.column("b").to_pylist(), x.column("text_b"))
                 met = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(a, b, strict=True)], np.int64)
                 total = np.array([len(p) + len(q) for p, q in zip(a, b, strict=True)], np.int64) - met
@@ -245,7 +247,7 @@ def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("text")
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", KERNEL_BYTES):
                 sets = shingle_sets(b.column("text"), n)
                 owner = np.repeat(b.column("id").to_numpy(), [len(x) for x in sets])
                 of = np.repeat(b.column("component").to_numpy(), [len(x) for x in sets])
