@@ -53,6 +53,42 @@ def percentiles(rows: DataFrame, value: str, ps: list[float], *by: str) -> DataF
     return found.select(*by, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]).alias("p"))
 
 
+def box(rows: DataFrame, value: str, *by: str, reach: float = 1.5) -> DataFrame:
+    """``by``, q1, q2, q3, low, high (furthest values within ``reach`` times q3 - q1 of the box), n, n_outside.
+
+    Quartiles are exact. Null values and rows without a group are left out; no rows give no groups.
+    """
+    p = F.col("p")
+    found = percentiles(rows, value, [0.25, 0.5, 0.75], *by).select(*by, p[0].alias("q1"), p[1].alias("q2"), p[2].alias("q3"))
+    v, room = F.col("_v"), (F.col("q3") - F.col("q1")) * reach
+    inside = (v >= F.col("q1") - room) & (v <= F.col("q3") + room)
+    ends = [F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high")]
+    return _with(rows, value, found, *by).groupBy(*by, "q1", "q2", "q3").agg(*ends, F.count("*").alias("n"), F.count_if(~inside).alias("n_outside"))
+
+
+def density(rows: DataFrame, value: str, *by: str, bins: int = 20, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
+    """``by``, bin, left (its lower edge), n, density over ``bins`` equal bins between two exact percentiles, empty bins too.
+
+    The density of a group sums to 1 over its width. Values beyond the percentiles, nulls and rows without a
+    group are left out. Where both percentiles are equal all values are in bin 0 and the density is null.
+    """
+    p = F.col("p")
+    found = percentiles(rows, value, [lo, hi], *by).select(*by, p[0].alias("_lo"), p[1].alias("_hi"))
+    v, width = F.col("_v"), F.col("_hi") - F.col("_lo")
+    held = _with(rows, value, found, *by).where(v.between(F.col("_lo"), F.col("_hi")))
+    at = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    counts = F.array(*[F.count_if(F.col("_bin") == i) for i in range(bins)])  # all bins of a group in one partial aggregate
+    whole = held.withColumn("_bin", at).groupBy(*by, "_lo", "_hi").agg(F.count("*").alias("_total"), counts.alias("_counts"))
+    each = whole.select(*by, "_lo", "_hi", "_total", F.posexplode("_counts").alias("bin", "n"))
+    return each.select(*by, "bin", (F.col("_lo") + F.col("bin") * width / bins).alias("left"), "n", F.when(width > 0, F.col("n") * bins / (F.col("_total") * width)).alias("density"))
+
+
+def _with(rows: DataFrame, value: str, found: DataFrame, *by: str) -> DataFrame:
+    """The values (_v) of ``rows`` beside what ``found`` has of their group."""
+    values = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    return values.join(found, list(by)) if by else values.crossJoin(F.broadcast(found))  # one row
+
+
 def percentile_threshold(scores: DataFrame, score: str, p: float) -> DataFrame:
     """Exact, linearly interpolated percentile; a row flags where it is strictly above."""
     if not 0 <= p <= 100:

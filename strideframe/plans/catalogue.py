@@ -480,6 +480,22 @@ def histogram_channels(spark, sf_dir):
     return j.groupBy("event_type", F.least(F.floor((F.col("value") - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0]) * 20), F.lit(19)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {WINDOWS}, e AS (SELECT user_id % 3 AS g, avg(abs(value)) AS v FROM w GROUP BY user_id, k HAVING count(*) = 16),
+ q AS (SELECT g, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM e GROUP BY g),
+ held AS (SELECT *, v BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5 AS inside FROM e JOIN q USING (g))
+ SELECT g, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3, round(min(v) FILTER (inside), 6) AS low, round(max(v) FILTER (inside), 6) AS high, count(*) AS n, count(*) FILTER (NOT inside) AS n_outside FROM held GROUP BY g, q1, q2, q3""")
+def box_whiskers(spark, sf_dir):
+    return _round(metrics.box(_energies(spark, sf_dir).withColumn("g", F.col("user_id") % 3), "energy", "g"), "q1", "q2", "q3", "low", "high")
+
+
+@query("""WITH r AS (SELECT event_type, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM events GROUP BY 1),
+ b AS (SELECT event_type, CAST(least(floor((value - lo) / (hi - lo) * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM events JOIN r USING (event_type) WHERE value BETWEEN lo AND hi GROUP BY 1, 2),
+ t AS (SELECT event_type, sum(n) AS total FROM b GROUP BY 1), a AS (SELECT *, CAST(unnest(range(20)) AS INTEGER) AS bin FROM r)
+ SELECT event_type, bin, round(lo + bin * (hi - lo) / 20, 6) AS "left", coalesce(n, 0) AS n, round(coalesce(n, 0) * 20 / (total * (hi - lo)), 6) AS density FROM a JOIN t USING (event_type) LEFT JOIN b USING (event_type, bin)""")
+def density_channels(spark, sf_dir):
+    return _round(metrics.density(_table(spark, sf_dir, "events"), "value", "event_type"), "left", "density")
+
+
 RUNS = "r AS (SELECT label, avg(CAST(embedding[1] > 0 AS INTEGER)) AS a, avg(CAST(embedding[2] > 0 AS INTEGER)) AS b, avg(CAST(embedding[3] > 0 AS INTEGER)) AS c FROM embeddings GROUP BY label)"
 
 
