@@ -50,6 +50,17 @@ def sliding_windows(samples: DataFrame, by: str, win: int, stride: int, *aggs: C
     return grouped.where(F.col("n") == win).drop("n")
 
 
+def mean_in_order(value: Column, order: str = "i") -> Column:
+    """Aggregate: mean of a window's values added up one by one in sample order, without nulls.
+
+    ``avg`` adds in the order in which rows arrive, so equal windows may differ in the last bit and fall on
+    both sides of a threshold that is one of them.
+    """
+    held = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.cast("double").alias("v")))))
+    total = F.aggregate(held, F.lit(0.0), lambda acc, x: acc + x["v"])
+    return F.when(F.size(held) > 0, total / F.size(held))
+
+
 def window_arrays(samples: DataFrame, by: str, channels: list[str], win: int, stride: int) -> DataFrame:
     """Complete windows with X, an array of samples, each an array of channels (floats)."""
     x = F.struct("i", F.array(*[F.col(c).cast("float") for c in channels]).alias("x"))

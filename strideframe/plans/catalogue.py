@@ -61,13 +61,13 @@ def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.sliding_windows(samples(spark, sf_dir), "user_id", WIN, STRIDE, F.avg(F.abs("value")).alias("energy"))
+    return windows.sliding_windows(samples(spark, sf_dir), "user_id", WIN, STRIDE, windows.mean_in_order(F.abs("value")).alias("energy"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows a person has above the energy threshold of 60 alarms an hour."""
     e = _energies(spark, sf_dir)
-    cut = metrics.percentile_threshold(e, "energy", 100 * (1 - metrics.flag_rate_for_far(60, HOP)))
+    cut = metrics.percentiles(e, "energy", [1 - metrics.flag_rate_for_far(60, HOP)]).select(F.col("p")[0].alias("threshold"))
     flagged = e.crossJoin(F.broadcast(cut)).groupBy("user_id").agg(F.count("*").alias("n_windows"), F.sum((F.col("energy") > F.col("threshold")).cast("long")).alias("n_alarms"))
     return flagged.select(F.concat(F.lit("ev_"), F.col("user_id").cast("string")).alias("subject"), "n_windows", "n_alarms")
 

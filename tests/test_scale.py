@@ -151,3 +151,32 @@ def test_sweep_tells_lost_output_resolution(spark):
     verdict = quant.sweep_verdict(found).first()
     assert verdict["best_size"] == 10 and verdict["sweep_gain"] == 0 and verdict["verdict"] in ("output resolution", "weights")
     assert splits.ticket(1, F.lit(2)) is not None
+
+
+def test_equal_windows_have_the_same_energy_in_any_order_of_rows(spark):
+    x = [0.1, 0.2, 0.3, 0.7, 1e9, 0.6, 0.4, 29.27]
+    rows = [(u, i, v) for u in range(40) for i, v in enumerate(x)]
+    mixed = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
+    frame = spark.createDataFrame([*mixed, (99, 0, None)], "u long, i long, v double").repartition(7)
+    got = windows.sliding_windows(frame, "u", 8, 8, windows.mean_in_order(F.col("v")).alias("e")).collect()
+    total = 0.0
+    for v in x:
+        total += v
+    assert len(got) == 40 and {r["e"] for r in got} == {total / 8}
+    none = windows.sliding_windows(frame.where("u = 99"), "u", 1, 1, windows.mean_in_order(F.col("v")).alias("e")).first()
+    assert none["e"] is None
+
+
+def test_copies_of_a_window_have_one_energy_and_alarms_equal_sql(spark, tmp_path):
+    import duckdb
+
+    r = np.random.default_rng(3)
+    rows = [(u * 16 + i, u, i, float(v)) for u, v_ in enumerate(np.tile(np.round(r.exponential(50, (30, 16)), 2), (20, 1))) for i, v in enumerate(v_)]
+    mixed = [rows[i] for i in r.permutation(len(rows))]
+    frame = spark.createDataFrame(mixed, "event_id long, user_id long, t long, value double")
+    frame.select("event_id", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value", F.lit('{"k": 1}').alias("props")).repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    energies = {r["energy"] for r in catalogue._energies(spark, str(tmp_path)).collect()}
+    got = {tuple(x) for x in catalogue.queries()["alarm_windows"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert len(energies) == 30 and got == set(con.sql(catalogue.oracle_sql()["alarm_windows"]).fetchall())
