@@ -52,3 +52,15 @@ def test_late_rows_are_dropped_and_counted_and_state_expires(spark, tmp_path):
 def test_arguments(spark):
     with pytest.raises(ValueError):
         ordered.ordered_windows(spark.range(1), "id", "id", [], "id", 0, 1, "1 second")
+
+
+def test_many_trials_share_the_state_of_few_lanes(spark, tmp_path, monkeypatch):
+    whole = ordered.ordered_windows
+    monkeypatch.setattr(ordered, "ordered_windows", lambda *a: whole(*a, lanes=4))
+    r = np.random.default_rng(2)
+    rows = [(u, 1000 + 10 * i + int(r.integers(0, 9)), 100 * u + i, float(r.normal())) for u in range(60) for i in range(12)]
+    order = np.argsort([t + r.uniform(0, 55) for _, t, _, _ in rows])
+    batches = [[rows[i] for i in part] for part in np.array_split(order, 3)] + [[(None, 10_000, 0, 0.0)]]
+    got, q = _run(spark, tmp_path, batches)
+    assert {k: v[:2] for k, v in got.items()} == _want(spark, rows) and len(got) == 120
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 4 * 40  # before: a row a sample and trial
