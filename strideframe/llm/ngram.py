@@ -21,12 +21,13 @@ each. Without training rows every token has probability 1.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
@@ -288,8 +289,25 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when it ends, not when the driver's garbage is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Model of the rows of ``docs`` (text); all of them teach."""
+    with _shuffles_dropped(docs.sparkSession):
+        return _train(docs, order)
+
+
+def _train(docs: DataFrame, order: int) -> Model:
     home = shared_dir(docs.sparkSession) + "-ngram"
     counted = materialise(_counted(docs, lambda h, _: as_long(h)).withColumn("k", F.lit(1).cast("long")), "unigrams")
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -308,9 +326,10 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         kept = materialise(_counted(docs, keys_of).where(F.col("n") >= MIN_COUNT).withColumn("k", F.lit(1).cast("long")), f"grams{size}")
         if size < order and kept.count() * v >= 1 << 63:  # no word follows those of the last order
             raise ValueError(f"as many n-grams of {size} words do not fit 64-bit keys with the next word")
-        weights = kept.groupBy(F.expr(f"key div {max(v, 1)}").alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        weights = materialise(kept.groupBy(F.expr(f"key div {max(v, 1)}").alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "weights")  # counted, sampled and read: aggregated once
         level, weight = _level(kept, f"{home}/{size}", v, parents), _weights(weights, f"{home}/w{size}", parents)
         release(kept)
+        release(weights)
         model.levels.append(level)
         model.weights.append(weight)
         parents = level

@@ -509,3 +509,11 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
         docs = out
     assert docs.where(F.col("text").rlike(r"[a-z0-9.]+@[a-z0-9]+\.example")).count() == 0
+
+
+def test_lm_training_aggregates_weights_once_and_drops_shuffles(spark, monkeypatch):
+    key, seen, whole = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], ngram._weights
+    before = spark.conf.get(key)
+    monkeypatch.setattr(ngram, "_weights", lambda rows, *a: (seen.append((hasattr(rows, "_strideframe_path"), spark.conf.get(key))), whole(rows, *a))[1])
+    ngram.train(spark.createDataFrame([("a b c a b d",), ("a b c",)], "text string"))
+    assert seen == [(True, "true")] * 2 and spark.conf.get(key) == before
