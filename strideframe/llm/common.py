@@ -113,6 +113,15 @@ def materialise(df: DataFrame, hint: str) -> DataFrame:
     return out
 
 
+def narrowed(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` (an upper bound) need at ``each`` a partition, but one for every core.
+
+    For tables whose size is known: a file and a task cost the same for a handful of rows,
+    and coalescing by AQE may be off.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of :func:`materialise` that no returned plan still reads."""
     path, jvm = df._strideframe_path, df.sparkSession._jvm

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import begin, compact, materialise, release, slices, text_bytes
+from .common import begin, compact, materialise, narrowed, release, slices, text_bytes
 from .graph import components
 from .textkit import all_shingles, mix, word_hashes
 
@@ -48,6 +48,8 @@ BLOCK = 128
 KERNEL_BYTES = 1 << 19
 #: Ids (8 bytes each) up to which a filter on them is broadcast.
 BROADCAST_IDS = 500_000
+#: Rows of a task: of a few longs, of register pairs, and of texts.
+LONGS, REGISTERS, TEXTS = 500_000, 20_000, 1_000
 
 
 #: For each bucket the order in which others stand in for it while it is empty: itself, then at random.
@@ -133,8 +135,8 @@ def sketches(items: DataFrame, n: int, rows: int = BAND_ROWS, buckets: int = BUC
     return items.select("id", "text").mapInArrow(run, "id long, size long, sig_a long, sig_b long, bands array<long>, regs binary")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets reach den * |both| >= num * |either|."""
+def confirmed(pairs: DataFrame, rows: int, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b; at most ``rows``) whose shingle sets reach den * |both| >= num * |either|."""
     side = reps.select("id", "size", "regs")
     known = pairs.join(side.toDF("a", "size_a", "regs_a"), "a").join(side.toDF("b", "size_b", "regs_b"), "b")
 
@@ -149,8 +151,9 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
             fine = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (j >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(size, 1)))
             yield x.select(["a", "b"]).filter(pa.array(fine))
 
-    hopeful = materialise(known.mapInArrow(likely, "a long, b long"), "hopeful")
-    text = _involved(items.select("id", "text"), hopeful)
+    hopeful = materialise(narrowed(known, rows, REGISTERS).mapInArrow(likely, "a long, b long"), "hopeful")
+    rows = hopeful.count()
+    text = _involved(items.select("id", "text"), hopeful, rows)
     both = hopeful.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +175,12 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
                 total = np.array([len(p) + len(q) for p, q in zip(a, b, strict=True)], np.int64) - met
                 yield x.select(["a", "b"]).filter(pa.array((den * met >= num * total) & (met > 0)))
 
-    return both.mapInArrow(check, "a long, b long")
+    return narrowed(both, rows, TEXTS).mapInArrow(check, "a long, b long")
 
 
-def _involved(text: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that ``pairs`` speak of; few ids filter the scan, many are left to the join's shuffle."""
-    ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
+def _involved(text: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+    """The texts that ``pairs`` (at most ``rows``) speak of; few ids filter the scan, many are left to the join's shuffle."""
+    ids = materialise(narrowed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), 2 * rows, LONGS), "involved")
     if ids.count() > BROADCAST_IDS:
         return text
     return text.join(F.broadcast(ids), "id", "left_semi")
@@ -194,39 +197,42 @@ def cluster(items: DataFrame, n: int, num: int = 80, den: int = 100, rows: int =
 
 def _cluster(items: DataFrame, n: int, num: int, den: int, rows: int, buckets: int) -> DataFrame:
     all_ = materialise(sketches(items, n, rows, buckets), "sketches")
+    count = all_.count()
     sig = ["size", "sig_a", "sig_b"]
-    classes = materialise(all_.where("size > 0").groupBy(*sig).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
-    member = materialise(all_.select("id", *sig).join(classes, sig, "left").select("id", "size", F.coalesce("rep", "id").alias("rep")), "member")
+    classes = materialise(narrowed(all_.where("size > 0").groupBy(*sig).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), count), "classes")
+    member = materialise(narrowed(all_.select("id", *sig).join(classes, sig, "left").select("id", "size", F.coalesce("rep", "id").alias("rep")), count), "member")
     others = member.where("id <> rep").select("id")
     smallest = F.min_by(F.struct("size", "bands", "regs"), F.struct("size", "sig_a", "sig_b")).alias("s")
-    reps = materialise(all_.where("size > 0").groupBy("id").agg(smallest).join(others, "id", "left_anti").select("id", "s.*"), "reps")
+    reps = materialise(narrowed(all_.where("size > 0").groupBy("id").agg(smallest).join(others, "id", "left_anti").select("id", "s.*"), count), "reps")
     release(all_)
     release(classes)
 
     spread = reps.select("id", F.explode("bands").alias("key"))
-    shared = materialise(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    met = materialise(spread.join(shared, "key"), "met")
-    degree = materialise(met.groupBy("id").agg(F.sum("n").alias("degree")), "degree")
+    most = count * (buckets // rows)
+    shared = materialise(narrowed(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), most, LONGS), "shared")
+    met = materialise(narrowed(spread.join(shared, "key"), most, LONGS), "met")
+    degree = materialise(narrowed(met.groupBy("id").agg(F.sum("n").alias("degree")), count), "degree")
+    most = met.count()
     ranked = met.select("key", "id").join(degree, "id")
-    hubs = materialise(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("hub"))).alias("best")).select("key", (-F.col("best.hub")).alias("hub")), "hubs")
-    spokes = materialise(met.select("key", "id").join(hubs, "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times")), "spokes")
+    hubs = materialise(narrowed(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("hub"))).alias("best")).select("key", (-F.col("best.hub")).alias("hub")), most, LONGS), "hubs")
+    spokes = materialise(narrowed(met.select("key", "id").join(hubs, "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times")), most, LONGS), "spokes")
 
     # First every member and its most promising hub, then all its hubs, then whatever is still apart.
     first = spokes.groupBy("id").agg(F.max(F.struct("times", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.hub")).alias("b"))
-    links = [materialise(confirmed(first, reps, items, n, num, den), "links")]
-    label = materialise(components(links[0]), "label")
+    links = [materialise(confirmed(first, count, reps, items, n, num, den), "links")]
+    label = materialise(narrowed(components(links[0]), count), "label")
     apart = _labelled(spokes.select(F.col("id").alias("a"), F.col("hub").alias("b")), label)
-    links.append(materialise(confirmed(apart, reps, items, n, num, den), "links"))
+    links.append(materialise(confirmed(apart, spokes.count(), reps, items, n, num, den), "links"))
     release(label)
-    label = materialise(components(_union(links)), "label")
-    held = materialise(met.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "held")
-    open_ = materialise(held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
-    still = materialise(held.join(open_, "key"), "still")
+    label = materialise(narrowed(components(_union(links)), count), "label")
+    held = materialise(narrowed(met.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), most, LONGS), "held")
+    open_ = materialise(narrowed(held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), most, LONGS), "open")
+    still = materialise(narrowed(held.join(open_, "key"), most, LONGS), "still")
     release(open_)
     left, common = _linkable(still, reps, items, n, num, den)
     links.append(_compared(left, common, reps, items, n, num, den))
-    final = materialise(components(_union(links)), "final")
-    out = materialise(member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "size", F.coalesce("component", "rep").alias("component")), "clusters")
+    final = materialise(narrowed(components(_union(links)), count), "final")
+    out = materialise(narrowed(member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "size", F.coalesce("component", "rep").alias("component")), count), "clusters")
     for t in (member, reps, shared, met, degree, hubs, spokes, label, held, still, left, common, final, *links):
         release(t)
     return out
@@ -241,8 +247,10 @@ def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
     to settle. This takes out far relatives of large groups without comparing them
     with the group.
     """
-    ids = still.select("id", "component").distinct()
-    text = _involved(items.select("id", "text"), still.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    most = still.count()
+    ids = materialise(narrowed(still.select("id", "component").distinct(), most, LONGS), "ids")
+    count = ids.count()
+    text = _involved(items.select("id", "text"), ids.select(F.col("id").alias("a"), F.col("id").alias("b")), count)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("text")
@@ -253,19 +261,20 @@ def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num:
                 of = np.repeat(b.column("component").to_numpy(), [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(of), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "h"])
 
-    own = materialise(text.join(ids, "id").mapInArrow(spread, "id long, component long, h long"), "own")
+    own = materialise(narrowed(text.join(ids, "id"), count, TEXTS).mapInArrow(spread, "id long, component long, h long"), "own")
+    shingles = own.count()
     across = own.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
-    shared = materialise(own.join(across, "h").select("id", "h", "n"), "across")
+    shared = materialise(narrowed(own.join(across, "h").select("id", "h", "n"), shingles, LONGS), "across")
     common = shared.groupBy("id").agg(F.count("*").alias("common"))
-    sized = materialise(reps.select("id", "size").join(common, "id").select("id", "size", "common"), "sized")
-    known = materialise(still.join(sized, "id"), "known")
-    least = materialise(known.groupBy("key").agg(F.collect_set("size").alias("sizes")), "least")
+    sized = materialise(narrowed(reps.select("id", "size").join(common, "id").select("id", "size", "common"), count), "sized")
+    known = materialise(narrowed(still.join(sized, "id"), most, LONGS), "known")
+    least = materialise(narrowed(known.groupBy("key").agg(F.collect_set("size").alias("sizes")), most, LONGS), "least")
     fits = F.exists("sizes", lambda y: (den * y >= num * F.col("size")) & (num * (F.col("size") + y) <= (num + den) * F.col("common")))
-    able = materialise(known.join(least, "key").where(fits).select("key", "id", "component"), "able")
-    open_ = materialise(able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
+    able = materialise(narrowed(known.join(least, "key").where(fits).select("key", "id", "component"), most, LONGS), "able")
+    open_ = materialise(narrowed(able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), most, LONGS), "open")
     left = able.join(open_, "key").select("id", "component").distinct().join(sized, "id")
-    left = materialise(left.select("id", "component", "size", "common"), "left")
-    for t in (own, sized, known, least, able, open_):
+    left = materialise(narrowed(left.select("id", "component", "size", "common"), count), "left")
+    for t in (ids, own, sized, known, least, able, open_):
         release(t)
     return left, shared
 
@@ -281,13 +290,15 @@ def _compared(left: DataFrame, shared: DataFrame, reps: DataFrame, items: DataFr
     """
     place = F.row_number().over(Window.partitionBy("id").orderBy("n", "h")) + F.col("size") - F.col("common")
     ranked = shared.join(left, "id").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1)
-    prefix = materialise(ranked.select("h", "id", "component", "size"), "prefix")
-    groups = materialise(prefix.groupBy("h").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "m"), "groups")
+    most = shared.count()
+    prefix = materialise(narrowed(ranked.select("h", "id", "component", "size"), most, LONGS), "prefix")
+    groups = materialise(narrowed(prefix.groupBy("h").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "m"), most, LONGS), "groups")
     side = prefix.join(groups.where(F.col("m") <= BLOCK).select("h"), "h")
     other = side.toDF("h", "b", "component_b", "size_b")
     near = (F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & (den * F.least("size", "size_b") >= num * F.greatest("size", "size_b"))
     pairs = side.withColumnRenamed("id", "a").join(other, "h").where(near).select("a", "b").distinct()
-    links = materialise(confirmed(pairs, reps, items, n, num, den), "links")
+    meetings = groups.where(F.col("m") <= BLOCK).agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0))).first()[0]
+    links = materialise(confirmed(pairs, meetings, reps, items, n, num, den), "links")
     large = groups.where(F.col("m") > BLOCK)
     if not large.isEmpty():
         links, before = materialise(links.unionByName(_by_blocks(prefix.join(large, "h"), items, n, num, den)), "links"), links
@@ -300,7 +311,7 @@ def _compared(left: DataFrame, shared: DataFrame, reps: DataFrame, items: DataFr
 def _by_blocks(members: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links between different components of members (h, id, component, m), m of which meet in h."""
     placed = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    text = _involved(items.select("id", "text"), members.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    text = _involved(items.select("id", "text"), members.select(F.col("id").alias("a"), F.col("id").alias("b")), members.count())
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.select("id", "component", "h", "block", other).join(text, "id")
     dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
