@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import store
 from .common import begin, holds, materialise, release, shared_dir, slices, text_bytes
 from .eliasfano import EliasFano, encode
-from .textkit import word_hashes
+from .textkit import mix, word_hashes
 
 U = np.uint64
 ORDER = 3
@@ -42,6 +42,9 @@ DISCOUNT = 0.75
 END = U(0x1D872B41C3A95E6F)  # stands for the end token among word hashes
 SEGMENT = 2_000_000  # entries a segment, about
 FLUSH = 4_000_000  # tokens whose counts one task holds at a time
+PART = 3_000_000  # training tokens for each part of the n-grams of an order, about; it holds no more partial counts
+SAMPLES = ((64, 7), (1, 13))  # for the bounds of parts: of one in so many texts the keys whose hash has so many zeros
+BLOB = 128_000  # keys that are shuffled as one value
 SIGN = U(1 << 63)
 
 
@@ -115,8 +118,8 @@ class Table:
 class Level:
     """n-grams of one order: pointers from contexts to their followers; segments: (first key, first node, place)."""
 
-    def __init__(self, segments: list[tuple[int, int, str]], words: int):
-        self.segments, self.words = sorted(segments), words
+    def __init__(self, segments: list[tuple[int, int, str]], words: int, nodes: int):
+        self.segments, self.words, self.nodes = sorted(segments), words, nodes
         self.firsts = np.array([s[0] for s in self.segments], U)
         self.starts = np.array([s[1] for s in self.segments], np.int64)
 
@@ -206,24 +209,77 @@ def _unigrams(rows: DataFrame, home: str) -> Table:
 
 def _weights(rows: DataFrame, home: str, parents) -> Table:
     def pack(key, n, k):
-        book, code = _book(np.maximum(1 - (n - DISCOUNT * k) / parents.counts_at(key), 1e-9))
+        book, code = _weight(n, k, parents.counts_at(key))
         return {"book": book, "code": code, **_prefixed("key", encode((key - key[0]).astype(U)))}
 
     return Table(_placed(_saved(rows, home, pack)))
 
 
-def _level(rows: DataFrame, home: str, words: int, parents) -> Level:
-    def pack(key, n, _):
+def _weight(n: np.ndarray, k: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _book(np.maximum(1 - (n - DISCOUNT * k) / seen, 1e-9))
+
+
+def _level(grams: DataFrame, parts: int, home: str, words: int, parents) -> tuple[Level, Table, DataFrame]:
+    """(level, weights of the contexts that lie in one segment, key, n, k of the others) of packed counts (part, keys, counts).
+
+    A part is a segment. Only the first and the last context of a segment can go on in another.
+    """
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram")
+        got = [[np.frombuffer(x, t) for x in b.column(c).to_pylist()] for b in batches for c, t in (("keys", np.int64), ("counts", np.uint32))]
+        if not got:
+            return
+        key, n = np.concatenate(sum(got[::2], [])), np.concatenate(sum(got[1::2], []))
+        del got
+        order = np.argsort(key)
+        key, n = key[order], n[order].astype(np.int64)
+        del order
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, n = key[new], np.add.reduceat(n, new)
+        key, n = key[n >= MIN_COUNT], n[n >= MIN_COUNT]
+        if not len(key):
+            return
         ctx, word = np.divmod(key, words)
         heads = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
         ptr = np.r_[heads, len(ctx)]
+        seen = parents.counts_at(ctx[heads])
+        first, size, name = int(key[0]), len(key), f"{int(key[0]):020d}"
+        owner, total, ways = ctx[heads], np.add.reduceat(n, heads), np.diff(ptr)
+        del key, ctx
         last = word[ptr[1:] - 1] + 1
-        rel = np.repeat(np.cumsum(last) - last, np.diff(ptr)) + word + 1
-        book, code = _book((n - DISCOUNT) / parents.counts_at(ctx))
+        rel = np.repeat(np.cumsum(last) - last, ways) + word + 1
+        book, code = _book((n - DISCOUNT) / np.repeat(seen, ways))
         counts, ccode = _exact(n)
-        return {"book": book, "code": code, "counts": counts, "ccode": ccode, **_prefixed("ctx", encode((ctx[heads] - ctx[0]).astype(U))), **_prefixed("ptr", encode(ptr.astype(U))), **_prefixed("rel", encode(rel.astype(U)))}
+        del word, n
+        store.put_arrays(f"{home}/{name}", book=book, code=code, counts=counts, ccode=ccode, **_prefixed("ctx", encode((owner - owner[0]).astype(U))), **_prefixed("ptr", encode(ptr.astype(U))), **_prefixed("rel", encode(rel.astype(U))))
+        if len(owner) > 2:
+            inner = owner[1:-1]
+            book, code = _weight(total[1:-1], ways[1:-1], seen[1:-1])
+            store.put_arrays(f"{home}/w{name}", book=book, code=code, **_prefixed("key", encode((inner - inner[0]).astype(U))))
+        ends = np.unique([0, len(owner) - 1])
+        head = (first, size, f"{home}/{name}", int(owner[1]) if len(owner) > 2 else None)
+        rows = [(*(head if not e else (None,) * 4), int(owner[e]), int(total[e]), int(ways[e])) for e in ends]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["first", "size", "uri", "inner", "key", "n", "k"])
+
+    made = materialise(grams.repartitionById(parts, F.col("part")).select("keys", "counts").mapInArrow(save, "first long, size long, uri string, inner long, key long, n long, k long"), "segments")
+    segments = made.where("uri IS NOT NULL").select("first", F.col("size").alias("n"), "uri", "inner").collect()
+    own = Table([(r["inner"], 0, r["uri"].replace(f"{home}/", f"{home}/w")) for r in segments if r["inner"] is not None])
+    ends = materialise(made.groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "weights")  # counted, sampled and read: aggregated once
+    release(made)
+    return Level(_placed(segments), words, sum(r["n"] for r in segments)), own, ends
+
 
-    return Level(_placed(_saved(rows, home, pack)), words)
+class Weights:
+    """Interpolation weights of contexts: those of one segment, and those at the ends of segments."""
+
+    def __init__(self, own: Table, ends: Table):
+        self.own, self.ends = own, ends
+
+    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
+        out = self.own.get(keys, default)[1]
+        found, value = self.ends.get(keys, default)
+        return np.where(found >= 0, value, out)
 
 
 class Model:
@@ -232,7 +288,7 @@ class Model:
     def __init__(self, unigrams: Table, n: int, v: int):
         self.unigrams, self.n, self.v = unigrams, n, v
         self.levels: list[Level] = []
-        self.weights: list[Table] = []
+        self.weights: list[Weights] = []
 
     def walk(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(count, word id, node of the longest level, its context node, probability) at every token."""
@@ -246,7 +302,7 @@ class Model:
         for level, weight in zip(self.levels, self.weights, strict=True):
             rows = np.flatnonzero(ctx >= 0)
             some, inv = distinct(ctx[rows])
-            w = weight.get(some.astype(U), 1.0)[1][inv]
+            w = weight.get(some.astype(U), 1.0)[inv]
             tried = rows[node[rows] >= 0]
             keys, inv = distinct(ctx[tried].astype(U) * U(self.v) + ids[tried].astype(U))
             found, disc = level.get(keys)
@@ -289,6 +345,68 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _splits(docs: DataFrame, keys_of, parts: int) -> np.ndarray:
+    """First keys of all parts but the first; only the parts' sizes depend on the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram")
+        for whole in batches:
+            for b in slices(whole, "text"):
+                h, bounds = tokens(b.column("text"))
+                keys = np.unique(keys_of(h, bounds[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[(mix(keys.view(U)) & U((1 << bits) - 1)) == 0])], names=["key"])
+
+    if parts < 2:
+        return np.zeros(0, np.int64)
+    for texts, bits in SAMPLES:  # the next one where few texts hold most words
+        plain = docs.select("text")
+        some = (plain.sample(1 / texts, 7) if texts > 1 else plain).mapInArrow(run, "key long").toArrow().column("key").to_numpy()
+        if len(some) >= 50 * parts:
+            break
+    return np.quantile(some, np.arange(1, parts) / parts, method="lower") if len(some) else np.zeros(0, np.int64)
+
+
+def _packed(docs: DataFrame, keys_of, splits: np.ndarray) -> DataFrame:
+    """part, keys (rising longs), counts (32 bits each): partial counts of the keys that ``keys_of(hashes, starts)`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram")
+        held, size = [], 0
+        for whole in batches:
+            for b in slices(whole, "text"):
+                h, bounds = tokens(b.column("text"))
+                held.append(keys_of(h, bounds[:-1]))
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        n = n.astype(np.uint32)
+        edges = np.r_[0, np.searchsorted(key, splits), len(key)]
+        rows, held_keys = [], 0
+        for part in np.flatnonzero(np.diff(edges)).tolist():
+            for at in range(int(edges[part]), int(edges[part + 1]), BLOB):
+                to = min(at + BLOB, int(edges[part + 1]))
+                rows.append((part, key[at:to].tobytes(), n[at:to].tobytes()))
+                held_keys += to - at
+                if held_keys >= BLOB:
+                    yield batch(rows)
+                    rows, held_keys = [], 0
+        if rows:
+            yield batch(rows)
+
+    def batch(rows: list) -> pa.RecordBatch:
+        part, keys, counts = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["part", "keys", "counts"])
+
+    return docs.select("text").mapInArrow(run, "part int, keys binary, counts binary")
+
+
 @contextmanager
 def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Within it, the shuffle files of a query go when it ends, not when the driver's garbage is collected."""
@@ -323,13 +441,12 @@ def _train(docs: DataFrame, order: int) -> Model:
             rows = np.flatnonzero((ctx >= 0) & (node >= 0))
             return ctx[rows] * v + ids[rows]
 
-        kept = materialise(_counted(docs, keys_of).where(F.col("n") >= MIN_COUNT).withColumn("k", F.lit(1).cast("long")), f"grams{size}")
-        if size < order and kept.count() * v >= 1 << 63:  # no word follows those of the last order
+        splits = _splits(docs, keys_of, -(-n // PART))
+        level, own, ends = _level(_packed(docs, keys_of, splits), len(splits) + 1, f"{home}/{size}", v, parents)
+        if size < order and level.nodes * v >= 1 << 63:  # no word follows those of the last order
             raise ValueError(f"as many n-grams of {size} words do not fit 64-bit keys with the next word")
-        weights = materialise(kept.groupBy(F.expr(f"key div {max(v, 1)}").alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "weights")  # counted, sampled and read: aggregated once
-        level, weight = _level(kept, f"{home}/{size}", v, parents), _weights(weights, f"{home}/w{size}", parents)
-        release(kept)
-        release(weights)
+        weight = Weights(own, _weights(ends, f"{home}/w{size}", parents))
+        release(ends)
         model.levels.append(level)
         model.weights.append(weight)
         parents = level
