@@ -123,17 +123,27 @@ class Level:
         self.firsts = np.array([s[0] for s in self.segments], U)
         self.starts = np.array([s[1] for s in self.segments], np.int64)
 
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node id or -1, discounted probability or 0) of every key ctx * words + word."""
+    def get(self, keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(node id or -1, discounted probability or 0) of every key ctx * words + word; keys rise.
+
+        ``weight`` gets the weights of the contexts, where they have followers.
+        """
         node, prob = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
         at = np.searchsorted(self.firsts, keys, "right") - 1
         for s in np.unique(at[at >= 0]):
             rows, seg = np.flatnonzero(at == s), _segment(self.segments[s][2])
             words = U(self.words)
-            c = seg["ctx"].find(keys[rows] // words - self.firsts[s] // words)
-            rows, c = rows[c >= 0], c[c >= 0]
+            own = keys[rows] // words
+            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])  # a context is looked up once for all its words
+            c = seg["ctx"].find(own[heads] - self.firsts[s] // words)
+            times = np.diff(np.r_[heads, len(own)])
+            rows, times, c = rows[np.repeat(c >= 0, times)], times[c >= 0], c[c >= 0]
             lo, hi = (x.astype(np.int64) for x in seg["ptr"].pair(c))
             base = np.where(lo > 0, seg["rel"].access(np.maximum(lo - 1, 0)), U(0))
+            wide = np.repeat(np.arange(len(c)), times)
+            if weight is not None:
+                weight[rows] = seg["wbook"][seg["wcode"][c]][wide]
+            lo, hi, base = lo[wide], hi[wide], base[wide]
             want = base + keys[rows] % words + U(1)
             i = seg["rel"].find(want)  # by successor search
             ok = np.flatnonzero((i >= lo) & (i < hi))  # only the context's own range counts
@@ -219,8 +229,8 @@ def _weight(n: np.ndarray, k: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray,
     return _book(np.maximum(1 - (n - DISCOUNT * k) / seen, 1e-9))
 
 
-def _level(grams: DataFrame, parts: int, home: str, words: int, parents) -> tuple[Level, Table, DataFrame]:
-    """(level, weights of the contexts that lie in one segment, key, n, k of the others) of packed counts (part, keys, counts).
+def _level(grams: DataFrame, parts: int, home: str, words: int, parents) -> tuple[Level, DataFrame]:
+    """(level, key, n, k of the contexts at the ends of segments) of packed counts (part, keys, counts).
 
     A part is a segment. Only the first and the last context of a segment can go on in another.
     """
@@ -252,34 +262,47 @@ def _level(grams: DataFrame, parts: int, home: str, words: int, parents) -> tupl
         book, code = _book((n - DISCOUNT) / np.repeat(seen, ways))
         counts, ccode = _exact(n)
         del word, n
-        store.put_arrays(f"{home}/{name}", book=book, code=code, counts=counts, ccode=ccode, **_prefixed("ctx", encode((owner - owner[0]).astype(U))), **_prefixed("ptr", encode(ptr.astype(U))), **_prefixed("rel", encode(rel.astype(U))))
-        if len(owner) > 2:
-            inner = owner[1:-1]
-            book, code = _weight(total[1:-1], ways[1:-1], seen[1:-1])
-            store.put_arrays(f"{home}/w{name}", book=book, code=code, **_prefixed("key", encode((inner - inner[0]).astype(U))))
+        wbook, wcode = _weight(total, ways, seen)  # of a context that goes on in another segment: of no use, see Weights
+        store.put_arrays(f"{home}/{name}", book=book, code=code, counts=counts, ccode=ccode, wbook=wbook, wcode=wcode, **_prefixed("ctx", encode((owner - owner[0]).astype(U))), **_prefixed("ptr", encode(ptr.astype(U))), **_prefixed("rel", encode(rel.astype(U))))
         ends = np.unique([0, len(owner) - 1])
-        head = (first, size, f"{home}/{name}", int(owner[1]) if len(owner) > 2 else None)
-        rows = [(*(head if not e else (None,) * 4), int(owner[e]), int(total[e]), int(ways[e])) for e in ends]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["first", "size", "uri", "inner", "key", "n", "k"])
+        head = (first, size, f"{home}/{name}")
+        rows = [(*(head if not e else (None,) * 3), int(owner[e]), int(total[e]), int(ways[e])) for e in ends]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["first", "size", "uri", "key", "n", "k"])
 
-    made = materialise(grams.repartitionById(parts, F.col("part")).select("keys", "counts").mapInArrow(save, "first long, size long, uri string, inner long, key long, n long, k long"), "segments")
-    segments = made.where("uri IS NOT NULL").select("first", F.col("size").alias("n"), "uri", "inner").collect()
-    own = Table([(r["inner"], 0, r["uri"].replace(f"{home}/", f"{home}/w")) for r in segments if r["inner"] is not None])
+    made = materialise(grams.repartitionById(parts, F.col("part")).select("keys", "counts").mapInArrow(save, "first long, size long, uri string, key long, n long, k long"), "segments")
+    segments = made.where("uri IS NOT NULL").select("first", F.col("size").alias("n"), "uri").collect()
     ends = materialise(made.groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "weights")  # counted, sampled and read: aggregated once
     release(made)
-    return Level(_placed(segments), words, sum(r["n"] for r in segments)), own, ends
+    return Level(_placed(segments), words, sum(r["n"] for r in segments)), ends
 
 
 class Weights:
-    """Interpolation weights of contexts: those of one segment, and those at the ends of segments."""
-
-    def __init__(self, own: Table, ends: Table):
-        self.own, self.ends = own, ends
-
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        out = self.own.get(keys, default)[1]
-        found, value = self.ends.get(keys, default)
-        return np.where(found >= 0, value, out)
+    """Interpolation weights of contexts: those that segments of the level hold, and those of contexts that are cut by a segment's end."""
+
+    def __init__(self, level: Level, ends: Table):
+        self.level, self.ends = level, ends
+        self.cut = np.unique(level.firsts // U(level.words)) if level.words else level.firsts
+
+    def whole(self, ctx: np.ndarray, weight: np.ndarray) -> None:
+        """Puts the weights of cut contexts, which no segment knows, into ``weight``."""
+        at = np.searchsorted(self.cut, ctx)
+        rows = np.flatnonzero(np.r_[self.cut, U(0)][at] == ctx) if len(self.cut) else at[:0]
+        found, value = self.ends.get(ctx[rows], 1.0)
+        weight[rows[found >= 0]] = value[found >= 0]
+
+    def get(self, ctx: np.ndarray) -> np.ndarray:
+        """Weights of rising contexts, 1 for those without followers."""
+        level, out = self.level, np.ones(len(ctx))
+        words = U(level.words)
+        at = np.searchsorted(level.firsts, ctx * words + (words - U(1)), "right") - 1
+        for s in np.unique(at[at >= 0]):
+            rows, seg = np.flatnonzero(at == s), _segment(level.segments[s][2])
+            first = level.firsts[s] // words
+            rows = rows[ctx[rows] >= first]
+            c = seg["ctx"].find(ctx[rows] - first)
+            out[rows[c >= 0]] = seg["wbook"][seg["wcode"][c[c >= 0]]]
+        self.whole(ctx, out)
+        return out
 
 
 class Model:
@@ -290,8 +313,8 @@ class Model:
         self.levels: list[Level] = []
         self.weights: list[Weights] = []
 
-    def walk(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(count, word id, node of the longest level, its context node, probability) at every token."""
+    def walk(self, h: np.ndarray, starts: np.ndarray, scored: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(count, word id, node of the longest level, its context node, probabilities) at every token; not ``scored``: of words alone."""
         words, back = distinct(h)
         index, count = self.unigrams.get(words, 0.0)
         ids, count = index[back], count[back]
@@ -301,14 +324,16 @@ class Model:
         node, ctx = np.where(frequent, ids, -1), self._shift(np.where(frequent, ids, -1), starts)
         for level, weight in zip(self.levels, self.weights, strict=True):
             rows = np.flatnonzero(ctx >= 0)
-            some, inv = distinct(ctx[rows])
-            w = weight.get(some.astype(U), 1.0)[inv]
-            tried = rows[node[rows] >= 0]
+            known = node[rows] >= 0
+            tried, other = rows[known], rows[~known]
             keys, inv = distinct(ctx[tried].astype(U) * U(self.v) + ids[tried].astype(U))
-            found, disc = level.get(keys)
-            own = np.zeros(len(h))
-            own[tried] = disc[inv]
-            p[rows] = own[rows] + w * p[rows]
+            w = np.ones(len(keys)) if scored else None
+            found, disc = level.get(keys, w)
+            if scored:
+                weight.whole(keys // U(self.v), w)
+                p[tried] = disc[inv] + w[inv] * p[tried]
+                some, back = distinct(ctx[other])
+                p[other] *= weight.get(some.astype(U))[back]
             node = np.full(len(h), -1, np.int64)
             node[tried] = found[inv]
             ctx = self._shift(node, starts)
@@ -437,15 +462,15 @@ def _train(docs: DataFrame, order: int) -> Model:
     for size in range(2, order + 1):
 
         def keys_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-            _, ids, node, ctx, _ = model.walk(h, starts)
+            _, ids, node, ctx, _ = model.walk(h, starts, scored=False)
             rows = np.flatnonzero((ctx >= 0) & (node >= 0))
             return ctx[rows] * v + ids[rows]
 
         splits = _splits(docs, keys_of, -(-n // PART))
-        level, own, ends = _level(_packed(docs, keys_of, splits), len(splits) + 1, f"{home}/{size}", v, parents)
+        level, ends = _level(_packed(docs, keys_of, splits), len(splits) + 1, f"{home}/{size}", v, parents)
         if size < order and level.nodes * v >= 1 << 63:  # no word follows those of the last order
             raise ValueError(f"as many n-grams of {size} words do not fit 64-bit keys with the next word")
-        weight = Weights(own, _weights(ends, f"{home}/w{size}", parents))
+        weight = Weights(level, _weights(ends, f"{home}/w{size}", parents))
         release(ends)
         model.levels.append(level)
         model.weights.append(weight)
