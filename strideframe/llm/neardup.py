@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lookup
 from .common import begin, compact, materialise, narrowed, release, slices, text_bytes
 from .graph import components
 from .textkit import all_shingles, mix, word_hashes
@@ -50,10 +51,14 @@ KERNEL_BYTES = 1 << 19
 BROADCAST_IDS = 500_000
 #: Rows of a task: of a few longs, of register pairs, and of texts.
 LONGS, REGISTERS, TEXTS = 500_000, 20_000, 1_000
+#: Memberships in band buckets that a part counts.
+MEETINGS = 4_000_000
 
 
 #: For each bucket the order in which others stand in for it while it is empty: itself, then at random.
 DONORS = np.stack([np.r_[j, np.random.default_rng(j).permutation(BUCKETS)] for j in range(BUCKETS)])
+#: For each bucket its place in the order of every other.
+TURNS = np.stack([(d[:, None] == np.arange(BUCKETS)).argmax(0) for d in DONORS], axis=1).astype(np.uint8)
 
 
 def registers(h: np.ndarray, bounds: np.ndarray, first: int = BUCKETS) -> np.ndarray:
@@ -68,10 +73,11 @@ def registers(h: np.ndarray, bounds: np.ndarray, first: int = BUCKETS) -> np.nda
     out[cell[least]] = (zeros.astype(U) << U(MANTISSA) | mantissa) + U(1)
     out = out.reshape(sets, BUCKETS)
     full = out > 0
-    donors, which = DONORS[:first], np.arange(first)
     open_ = np.flatnonzero(full.any(1) & ~full[:, :first].all(1))
-    for rows in np.split(open_, range(512, len(open_), 512)):  # an empty bucket takes the register of another, the same way for every set
-        out[rows, :first] = out[rows[:, None], donors[which, full[rows][:, donors].argmax(2)]]
+    for rows in np.split(open_, range(512, len(open_), 512)) if len(open_) else ():  # an empty bucket takes the register of another, the same way for every set
+        of, have = np.nonzero(full[rows])
+        turn = np.minimum.reduceat(TURNS[have, :first], np.searchsorted(of, np.arange(len(rows))))
+        out[rows, :first] = out[rows[:, None], DONORS[np.arange(first), turn]]
     return out[:, :first]
 
 
@@ -95,12 +101,23 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return np.clip((same / a.shape[1] - chance) / (1 - chance), 0, 1), size
 
 
+def _by_document(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Order by document, then hash: both in one word, as long as that leaves no hashes of a document in doubt."""
+    bits = docs.bit_length()
+    both = doc.astype(U) << U(64 - bits) | h >> U(bits)
+    order = np.argsort(both)
+    both, h = both[order], h[order]
+    if ((both[1:] == both[:-1]) & (h[1:] < h[:-1])).any():
+        return order[np.lexsort((h, both))]
+    return order
+
+
 def shingle_table(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the sorted distinct shingle hashes of each text, one text after the other."""
     data, offs = text_bytes(texts)
     words, _, _, first = word_hashes(data, offs)
     h, doc = all_shingles(words, first, n)
-    order = np.lexsort((h, doc))
+    order = _by_document(h, doc, len(offs) - 1)
     h, doc = h[order], doc[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
     return h[new], np.searchsorted(doc[new], np.arange(len(offs)))
@@ -115,8 +132,8 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(items: DataFrame, n: int, rows: int = BAND_ROWS, buckets: int = BUCKETS) -> DataFrame:
-    """id, size, sig_a, sig_b (sums that name the set), bands, regs for items (id, text)."""
+def sketches(items: DataFrame, n: int, buckets: int = BUCKETS) -> DataFrame:
+    """id, size, sig_a, sig_b (sums that name the set), regs for items (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("text")
@@ -126,13 +143,10 @@ def sketches(items: DataFrame, n: int, rows: int = BAND_ROWS, buckets: int = BUC
                 sums = [np.r_[U(0), np.cumsum(x)] for x in (h, mix(h ^ U(0x5851F42D4C957F2D)))]
                 sig = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
                 regs = registers(h, bounds, buckets)
-                keys, valid = bands(regs, rows)
-                keys, counts = keys[valid].view(np.int64), valid.sum(1)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(keys))
-                cols = [b.column("id"), pa.array(np.diff(bounds)), *map(pa.array, sig), lists, pa.array([r.tobytes() for r in regs], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "sig_a", "sig_b", "bands", "regs"])
+                cols = [b.column("id"), pa.array(np.diff(bounds)), *map(pa.array, sig), pa.array([r.tobytes() for r in regs], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "sig_a", "sig_b", "regs"])
 
-    return items.select("id", "text").mapInArrow(run, "id long, size long, sig_a long, sig_b long, bands array<long>, regs binary")
+    return items.select("id", "text").mapInArrow(run, "id long, size long, sig_a long, sig_b long, regs binary")
 
 
 def confirmed(pairs: DataFrame, rows: int, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -196,21 +210,19 @@ def cluster(items: DataFrame, n: int, num: int = 80, den: int = 100, rows: int =
 
 
 def _cluster(items: DataFrame, n: int, num: int, den: int, rows: int, buckets: int) -> DataFrame:
-    all_ = materialise(sketches(items, n, rows, buckets), "sketches")
+    all_ = materialise(sketches(items, n, buckets), "sketches")
     count = all_.count()
     sig = ["size", "sig_a", "sig_b"]
     classes = materialise(narrowed(all_.where("size > 0").groupBy(*sig).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), count), "classes")
     member = materialise(narrowed(all_.select("id", *sig).join(classes, sig, "left").select("id", "size", F.coalesce("rep", "id").alias("rep")), count), "member")
     others = member.where("id <> rep").select("id")
-    smallest = F.min_by(F.struct("size", "bands", "regs"), F.struct("size", "sig_a", "sig_b")).alias("s")
+    smallest = F.min_by(F.struct("size", "regs"), F.struct("size", "sig_a", "sig_b")).alias("s")
     reps = materialise(narrowed(all_.where("size > 0").groupBy("id").agg(smallest).join(others, "id", "left_anti").select("id", "s.*"), count), "reps")
     release(all_)
     release(classes)
 
-    spread = reps.select("id", F.explode("bands").alias("key"))
     most = count * (buckets // rows)
-    shared = materialise(narrowed(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), most, LONGS), "shared")
-    met = materialise(narrowed(spread.join(shared, "key"), most, LONGS), "met")
+    met = materialise(narrowed(_meeting(reps, rows, buckets, most), most, LONGS), "met")
     degree = materialise(narrowed(met.groupBy("id").agg(F.sum("n").alias("degree")), count), "degree")
     most = met.count()
     ranked = met.select("key", "id").join(degree, "id")
@@ -233,11 +245,31 @@ def _cluster(items: DataFrame, n: int, num: int, den: int, rows: int, buckets: i
     links.append(_compared(left, common, reps, items, n, num, den))
     final = materialise(narrowed(components(_union(links)), count), "final")
     out = materialise(narrowed(member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "size", F.coalesce("component", "rep").alias("component")), count), "clusters")
-    for t in (member, reps, shared, met, degree, hubs, spokes, label, held, still, left, common, final, *links):
+    for t in (member, reps, met, degree, hubs, spokes, label, held, still, left, common, final, *links):
         release(t)
     return out
 
 
+def _meeting(reps: DataFrame, rows: int, buckets: int, most: int) -> DataFrame:
+    """key, id, n: the band buckets (at most ``most`` memberships) in which n > 1 of the sets ``reps`` meet."""
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(b.num_rows, buckets)
+        key, valid = bands(regs, rows)
+        return key.view(np.int64)[valid], np.nonzero(valid)[0]
+
+    shared = lookup.repeated(reps.select("regs"), lambda b: [keys(b)[0]], max(1, -(-most // MEETINGS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
+        for b in batches:
+            key, of = keys(b)
+            found, (n,) = shared.first(key, "n")
+            yield pa.RecordBatch.from_arrays([pa.array(key[found]), b.column("id").take(pa.array(of[found])), pa.array(n[found])], names=["key", "id", "n"])
+
+    return reps.select("id", "regs").mapInArrow(run, "key long, id long, n long")
+
+
 def _linkable(still: DataFrame, reps: DataFrame, items: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(id, component, size, common) and (id, h, n: sets with it) of the rows (key, id, component) whose set can reach the threshold with one of another component in its band bucket.
 

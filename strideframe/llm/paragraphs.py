@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import lookup
 from .common import begin, materialise, release, slices, text_bytes
-from .neardup import cluster
+from .neardup import KERNEL_BYTES, cluster
 from .repeats import merged
 from .textkit import mix, prefix_hash, range_hash, running_hash, word_hashes, word_spans
 
@@ -49,6 +49,8 @@ GRAM = 8
 #: Three registers a band, 12 bands: a pair at 0.8 is missed with probability (1 - 0.8^3)^12 = 2e-4.
 #: Two registers hold too few bits: unrelated lines of a large corpus would meet by chance.
 BAND_ROWS, REGISTERS = 3, 36
+#: Bytes of text for each part of the anchors and windows that are counted, about.
+PART_BYTES = 40 << 20
 
 
 def _short_lines(data: np.ndarray, offs: np.ndarray, words: tuple | None = None) -> tuple[np.ndarray, ...]:
@@ -115,42 +117,42 @@ def _line_id(key, line):
     return F.xxhash64(key, line)
 
 
-def joined_paragraphs(docs: DataFrame) -> DataFrame:
-    """key, doc_id, line (the first one) and text of the joined paragraphs."""
+def compared_lines(docs: DataFrame) -> DataFrame:
+    """id, doc_id, kind, line (the first one) and text of the lines of LINE_WORDS words on (kind 1) and the joined paragraphs (0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("text")
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", KERNEL_BYTES):
                 data, offs = text_bytes(b.column("text"))
                 of, lo, hi = _lines(data, offs)
-                head, size = _joined(data, offs)
+                begins = word_spans(data, offs)[0]
+                head, size = _joined(data, offs, begins)
+                long = np.flatnonzero(np.searchsorted(begins, hi) - np.searchsorted(begins, lo) >= LINE_WORDS)
                 at = np.flatnonzero((size > 0) & (head == np.arange(len(head))))
-                raw = data.tobytes()
-                texts = [raw[x:y].decode() for x, y in zip(lo[at].tolist(), hi[at + size[at] - 1].tolist(), strict=True)]
-                line = at - np.searchsorted(of, of[at])
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(of[at])), b.column("doc_id").take(pa.array(of[at])), pa.array(line.astype(np.int32)), pa.array(texts, pa.string())], names=["key", "doc_id", "line", "text"])
+                raw, rows = data.tobytes(), np.r_[long, at]
+                texts = [raw[x:y] for x, y in zip(lo[rows].tolist(), np.r_[hi[long], hi[at + size[at] - 1]].tolist(), strict=True)]
+                kind = np.repeat(np.array([1, 0], np.int32), [len(long), len(at)])
+                line = (rows - np.searchsorted(of, of[rows])).astype(np.int32)
+                ids = [b.column(c).take(pa.array(of[rows])) for c in ("key", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(kind), pa.array(line), pa.array(texts, pa.binary()).cast(pa.string())], names=["key", "doc_id", "kind", "line", "text"])
 
     plain = docs.select("doc_id", "key", "text")
-    return materialise(plain.mapInArrow(run, f"key long, doc_id {plain.schema['doc_id'].dataType.simpleString()}, line int, text string"), "joined")
+    found = plain.mapInArrow(run, f"key long, doc_id {plain.schema['doc_id'].dataType.simpleString()}, kind int, line int, text string")
+    number = F.when(F.col("kind") == 1, F.col("line")).otherwise(-1 - F.col("line"))
+    return materialise(found.select(_line_id(F.col("key"), number).alias("id"), "doc_id", "kind", F.col("line").cast("long").alias("line"), "text"), "compared-lines")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """key (id of a line or joined paragraph), component and first (1: the member that stays) of components of two or more."""
-    line = F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "text")
-    lines = docs.select("key", "doc_id", line).where("text IS NOT NULL")
-    lines = lines.where(F.col("text").rlike(rf"^[ \t-\r]*+(?:[^ \t-\r]++[ \t-\r]++){{{LINE_WORDS - 1}}}[^ \t-\r]"))
-    joined = joined_paragraphs(docs)
-    place = [F.col("line").cast("long").alias("line"), "text"]
-    lines = lines.select(_line_id(F.col("key"), F.col("line")).alias("id"), "doc_id", F.lit(1).alias("kind"), *place)
-    lines = lines.unionByName(joined.select(_line_id(F.col("key"), -1 - F.col("line")).alias("id"), "doc_id", F.lit(0).alias("kind"), *place))
+    lines = compared_lines(docs)
     found = cluster(lines.select("id", "text"), SHINGLE, rows=BAND_ROWS, buckets=REGISTERS)
     shared = materialise(found.groupBy("component").agg(F.countDistinct("id").alias("n")).where("n > 1").select("component"), "shared-lines")
     members = materialise(found.select("id", "component").distinct().join(shared, "component"), "line-members")
     placed = materialise(lines.drop("text").join(members, "id"), "placed-lines")
     best = materialise(placed.groupBy("component").agg(F.min(F.struct("doc_id", "kind", "line", "id")).alias("best")).select(F.col("best.id").alias("id")).withColumn("first", F.lit(1).cast("long")), "first-lines")
     out = materialise(placed.select("id", "component").distinct().join(best, "id", "left").select(F.col("id").alias("key"), "component", F.coalesce("first", F.lit(0).cast("long")).alias("first")), "lines")
-    for t in (joined, found, shared, members, placed, best):
+    for t in (lines, found, shared, members, placed, best):
         release(t)
     return out
 
@@ -172,37 +174,28 @@ def repeated_short_lines(docs: DataFrame) -> DataFrame:
     return materialise(best.select("key", "best.doc", "best.start"), "short-lines")
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
+def repeated_anchors(docs: DataFrame, parts: int) -> lookup.Lookup:
     """key of the anchors that occur more than once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("text")
-        for whole in batches:
-            for b in slices(whole, "text"):
-                h, _, _, first = word_hashes(*text_bytes(b.column("text")))
-                _, _, anchor, place = _anchors(prefix_hash(h), first)
-                new = np.r_[True, place[1:] != place[:-1]][: len(place)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new])], names=["key"])
+    def anchors(whole: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for b in slices(whole, "text", KERNEL_BYTES):
+            h, _, _, first = word_hashes(*text_bytes(b.column("text")))
+            _, _, anchor, place = _anchors(prefix_hash(h), first)
+            yield anchor[np.r_[True, place[1:] != place[:-1]][: len(place)]]
 
-    rows = docs.select("text").mapInArrow(run, "key long")
-    return materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchors")
+    return lookup.repeated(docs.select("text"), anchors, parts)
 
 
-def repeated_windows(docs: DataFrame, anchors: lookup.Lookup) -> DataFrame:
+def repeated_windows(docs: DataFrame, anchors: lookup.Lookup, parts: int) -> lookup.Lookup:
     """key (window hash) and doc (row key of the first document) of the windows that occur more than once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("text")
-        for whole in batches:
-            for b in slices(whole, "text"):
-                h, _, _, first = word_hashes(*text_bytes(b.column("text")))
-                _, d, key = _shared(h, first, anchors)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(pa.array(d)), pa.array(b.column("key").to_numpy()[d])], names=["key", "doc_id", "doc"])
+    def windows(whole: pa.RecordBatch) -> Iterator[tuple]:
+        for b in slices(whole, "text"):
+            h, _, _, first = word_hashes(*text_bytes(b.column("text")))
+            _, d, key = _shared(h, first, anchors)
+            yield key, d, b.column("doc_id"), b.column("key").to_numpy()
 
-    plain = docs.select("doc_id", "key", "text")
-    rows = plain.mapInArrow(run, f"key long, doc_id {plain.schema['doc_id'].dataType.simpleString()}, doc long")
-    best = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc")).alias("best")).where("n > 1")
-    return materialise(best.select("key", "best.doc"), "windows")
+    return lookup.repeated_firsts(docs.select("doc_id", "key", "text"), windows, parts)
 
 
 def _stretches(mask: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,12 +222,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     by_line, by_short = lookup.save(lines), lookup.save(short_lines)
     release(lines)
     release(short_lines)
-    anchors = repeated_anchors(keyed)
-    by_anchor = lookup.save(anchors)
-    windows = repeated_windows(keyed, by_anchor)
-    by_window = lookup.save(windows)
-    release(anchors)
-    release(windows)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // PART_BYTES))
+    by_anchor = repeated_anchors(keyed, parts)
+    by_window = repeated_windows(keyed, by_anchor, parts)
     every = F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1)
     numbered = keyed.withColumns({"lines": F.transform(every, lambda i: _line_id(F.col("key"), i)), "paragraphs": F.transform(every, lambda i: _line_id(F.col("key"), -1 - i))})
 

@@ -9,10 +9,8 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Entries that a kernel takes at once where one result follows from the last.
+BLOCK = 1 << 15
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -38,8 +36,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of the polynomial hash; see :func:`range_hash`."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(_BASE, len(data)), out=out[1:])
+    out, power = np.empty(len(data) + 1, U), powers(_BASE, len(data))
+    out[0] = 0
+    for i in range(0, len(data), BLOCK):  # in place, and in the cache
+        part = out[i + 1 : i + 1 + BLOCK]
+        np.add(data[i : i + BLOCK], U(1), out=part)
+        part *= power[i : i + BLOCK]
+        part[:1] += out[i : i + 1]
+        np.cumsum(part, out=part)
     return out
 
 
@@ -60,25 +64,31 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     The third array has one more entry than documents: words of document d are first[d]:first[d+1].
     """
-    n = len(data)
-    if not n:
+    if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    solid = ~SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offs] = True
-    start = solid.copy()
-    start[1:] &= ~solid[:-1] | edge[1:n]
-    end = solid.copy()
-    end[:-1] &= ~solid[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    solid = np.zeros(len(data) + 2, bool)
+    np.not_equal(data, 32, out=solid[1:-1])
+    solid[1:-1] &= data - np.uint8(9) > 4  # bytes below 9 wrap round
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    cuts = offs[(offs > 0) & (offs < len(data))]
+    cuts = cuts[solid[cuts] & solid[cuts + 1]]  # between documents that touch
+    if len(cuts):
+        cuts = cuts[np.r_[True, cuts[1:] != cuts[:-1]]]
+        starts, ends = np.insert(starts, np.searchsorted(starts, cuts), cuts), np.insert(ends, np.searchsorted(ends, cuts), cuts)
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, first) of the words after lower-casing A-Z."""
     starts, ends, first = word_spans(data, offs)
-    return range_hash(prefix_hash(LOWER[data]), starts, ends), starts, ends, first
+    return range_hash(prefix_hash(lowered(data)), starts, ends), starts, ends, first
 
 
 def all_shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
