@@ -76,10 +76,11 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), U)
         at = i * self.bits
-        word, off = at >> 6, (at & 63).astype(U)
+        word, off = at >> 6, at.view(U) & U(63)
         v = self.low[word] >> off
-        v |= np.where(off > 0, self.low[word + 1] << ((U(64) - off) & U(63)), U(0))
-        return v & U((1 << self.bits) - 1)
+        v |= (self.low[word + 1] << U(1)) << (off ^ U(63))  # in two steps: nothing of the next word where off is 0
+        v &= U((1 << self.bits) - 1)
+        return v
 
     def _select1(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, "right") - 1
@@ -121,8 +122,8 @@ class EliasFano:
         """(positions in ``v`` up to the top value, index of their successor, whether it is the value itself)."""
         inside = np.flatnonzero(v <= U(self.top)) if self.n else np.zeros(0, np.int64)
         x = v[inside]
-        lo, end = self._bucket((x >> U(self.bits)).astype(np.int64))
-        hi = end.copy()
+        lo, end = self._bucket((x >> U(self.bits)).view(np.int64))
+        hi = end - 1  # the last one is only compared at the end
         want = x & U((1 << self.bits) - 1)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):  # binary search among the entries of the same high part
@@ -131,8 +132,11 @@ class EliasFano:
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        same = lo < end
-        same[same] = self._low(lo[same]) == want[same]
+        some = np.flatnonzero(lo < end)
+        low, want = self._low(lo[some]), want[some]
+        same = np.zeros(len(lo), bool)
+        same[some] = low == want
+        lo[some] += low < want
         return inside, lo, same
 
     def successor(self, v: np.ndarray) -> np.ndarray:

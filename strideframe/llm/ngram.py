@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
+from . import packed, store
 from .common import begin, holds, materialise, release, shared_dir, slices, text_bytes
 from .eliasfano import EliasFano, encode
 from .textkit import mix, word_hashes
@@ -43,8 +43,10 @@ END = U(0x1D872B41C3A95E6F)  # stands for the end token among word hashes
 SEGMENT = 2_000_000  # entries a segment, about
 FLUSH = 4_000_000  # tokens whose counts one task holds at a time
 PART = 3_000_000  # training tokens for each part of the n-grams of an order, about; it holds no more partial counts
+WORD_BYTES = 64 << 20  # of training text for each part of the words, about
 SAMPLES = ((64, 7), (1, 13))  # for the bounds of parts: of one in so many texts the keys whose hash has so many zeros
-BLOB = 128_000  # keys that are shuffled as one value
+SLICE = 4 << 20  # bytes of text that are walked at once: their keys are looked up segment by segment
+BLOB = packed.BLOB
 SIGN = U(1 << 63)
 
 
@@ -162,21 +164,29 @@ class Level:
 
 def _book(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Codebook of at most ``levels`` values (equal shares of the entries, geometric means) and codes."""
-    distinct, inverse = np.unique(values, return_inverse=True)
-    if len(distinct) <= levels:
-        return distinct, inverse.astype(np.uint8)
-    logs = np.log(np.maximum(values, 1e-12))
-    edges = np.unique(np.quantile(logs, np.linspace(0, 1, levels + 1)[1:-1]))
+    found, inverse, times = _values(values)
+    if len(found) <= levels:
+        return found, inverse.astype(np.uint8)
+    logs, last = np.log(np.maximum(found, 1e-12)), np.cumsum(times) - 1
+    at = np.linspace(0, 1, levels + 1)[1:-1] * last[-1]
+    low, high = (logs[np.searchsorted(last, f(at))] for f in (np.floor, np.ceil))
+    edges = np.unique(low + (high - low) * (at - np.floor(at)))  # quantiles over all entries
     code = np.searchsorted(edges, logs, "right")
-    book = np.exp(np.bincount(code, logs, len(edges) + 1) / np.maximum(np.bincount(code, minlength=len(edges) + 1), 1))
-    return book, code.astype(np.uint8)
+    book = np.exp(np.bincount(code, logs * times, len(edges) + 1) / np.maximum(np.bincount(code, times, len(edges) + 1), 1))
+    return book, code.astype(np.uint8)[inverse]
 
 
 def _exact(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    book, code = np.unique(values, return_inverse=True)
+    book, code, _ = _values(values)
     return book, code.astype(np.min_scalar_type(max(len(book) - 1, 0)))
 
 
+def _values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rising distinct values, the place of every entry among them and how often each occurs."""
+    found, place = distinct(values)
+    return found, place, np.bincount(place, minlength=len(found))
+
+
 def _prefixed(name: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{name}.{k}": v for k, v in parts.items()}
 
@@ -208,13 +218,23 @@ def _saved(rows: DataFrame, home: str, pack) -> list:
     return rows.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(save, "first long, n long, uri string").collect()
 
 
-def _unigrams(rows: DataFrame, home: str) -> Table:
-    def pack(key, n, _):
-        keys = as_key(key)
-        book, code = _exact(n)
-        return {"book": book, "code": code, **_prefixed("key", encode(keys - keys[0]))}
+def _unigrams(docs: DataFrame, home: str) -> tuple[Table, int, int]:
+    """(table, tokens, distinct ones); hashes are spread evenly, so parts of equal width are alike."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // WORD_BYTES))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram")
+        key, n = packed.summed(batches)
+        if len(key):
+            book, code = _exact(n)
+            uri = f"{home}/{int(key[0]):020d}"
+            store.put_arrays(uri, book=book, code=code, **_prefixed("key", encode(as_key(key) - as_key(key[:1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array([len(key)]), pa.array([uri]), pa.array([int(n.sum())])], names=["first", "n", "uri", "tokens"])
 
-    return Table(_placed(_saved(rows, home, pack), 1 << 63))
+    counts = _packed(docs, lambda h, _: as_long(h), packed.evenly(parts)).repartitionById(parts, F.col("part")).select("keys", "counts")
+    made = counts.mapInArrow(save, "first long, n long, uri string, tokens long").collect()
+    return Table(_placed(made, 1 << 63)), sum(r["tokens"] for r in made), sum(r["n"] for r in made)
 
 
 def _weights(rows: DataFrame, home: str, parents) -> Table:
@@ -237,16 +257,7 @@ def _level(grams: DataFrame, parts: int, home: str, words: int, parents) -> tupl
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("ngram")
-        got = [[np.frombuffer(x, t) for x in b.column(c).to_pylist()] for b in batches for c, t in (("keys", np.int64), ("counts", np.uint32))]
-        if not got:
-            return
-        key, n = np.concatenate(sum(got[::2], [])), np.concatenate(sum(got[1::2], []))
-        del got
-        order = np.argsort(key)
-        key, n = key[order], n[order].astype(np.int64)
-        del order
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        key, n = key[new], np.add.reduceat(n, new)
+        key, n = packed.summed(batches)
         key, n = key[n >= MIN_COUNT], n[n >= MIN_COUNT]
         if not len(key):
             return
@@ -346,37 +357,13 @@ class Model:
         return ctx
 
 
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """key, n: how often each key that ``keys_of(hashes, starts)`` gives occurs in ``docs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("ngram")
-        held, size = [], 0
-        for whole in batches:
-            for b in slices(whole, "text"):
-                h, bounds = tokens(b.column("text"))
-                held.append(keys_of(h, bounds[:-1]))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
-
-    def flush(held: list) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 def _splits(docs: DataFrame, keys_of, parts: int) -> np.ndarray:
     """First keys of all parts but the first; only the parts' sizes depend on the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("ngram")
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 h, bounds = tokens(b.column("text"))
                 keys = np.unique(keys_of(h, bounds[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[(mix(keys.view(U)) & U((1 << bits) - 1)) == 0])], names=["key"])
@@ -398,7 +385,7 @@ def _packed(docs: DataFrame, keys_of, splits: np.ndarray) -> DataFrame:
         begin("ngram")
         held, size = [], 0
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 h, bounds = tokens(b.column("text"))
                 held.append(keys_of(h, bounds[:-1]))
                 size += len(held[-1])
@@ -412,16 +399,13 @@ def _packed(docs: DataFrame, keys_of, splits: np.ndarray) -> DataFrame:
         key, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
         n = n.astype(np.uint32)
-        edges = np.r_[0, np.searchsorted(key, splits), len(key)]
         rows, held_keys = [], 0
-        for part in np.flatnonzero(np.diff(edges)).tolist():
-            for at in range(int(edges[part]), int(edges[part + 1]), BLOB):
-                to = min(at + BLOB, int(edges[part + 1]))
-                rows.append((part, key[at:to].tobytes(), n[at:to].tobytes()))
-                held_keys += to - at
-                if held_keys >= BLOB:
-                    yield batch(rows)
-                    rows, held_keys = [], 0
+        for part, at, to in packed.pieces(key, splits, BLOB):
+            rows.append((part, key[at:to].tobytes(), n[at:to].tobytes()))
+            held_keys += to - at
+            if held_keys >= BLOB:
+                yield batch(rows)
+                rows, held_keys = [], 0
         if rows:
             yield batch(rows)
 
@@ -452,12 +436,10 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
 
 def _train(docs: DataFrame, order: int) -> Model:
     home = shared_dir(docs.sparkSession) + "-ngram"
-    counted = materialise(_counted(docs, lambda h, _: as_long(h)).withColumn("k", F.lit(1).cast("long")), "unigrams")
-    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    unigrams, n, v = _unigrams(docs, f"{home}/1")
     if v > 3_000_000_000:
         raise ValueError("more than 3e9 distinct words do not fit 64-bit n-gram keys")
-    model = Model(_unigrams(counted, f"{home}/1") if v else Table([]), n, v)
-    release(counted)
+    model = Model(unigrams, n, v)
     parents = model.unigrams
     for size in range(2, order + 1):
 
@@ -485,7 +467,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("ngram")
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 h, bounds = tokens(b.column("text"))
                 count, _, _, _, p = model.walk(h, bounds[:-1])
                 base, own = np.add.reduceat(np.log10(p), bounds[:-1], axis=1)
