@@ -68,5 +68,5 @@ def test_lines_are_cut_from_texts_once(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "cluster", lambda items, *a, **k: (seen.append(items.inputFiles()), whole(items, *a, **k))[1])
     line = "one two three four five six seven eight nine ten"
     docs = paragraphs._keyed(spark.createDataFrame([(1, f"{line}\nshort\n\n{line}"), (2, line), (3, None)], "doc_id long, text string"))
-    assert paragraphs.repeated_lines(docs).count() == 3
+    assert paragraphs.repeated_lines(docs).count() == 4  # three lines, and the first one joined with the short one: 6 of 7 shingles
     assert seen[0] and all("compared-lines" in f for f in seen[0])  # not the texts, which would be cut again in every step
