@@ -73,6 +73,20 @@ def save(rows: DataFrame, *order: str, count: int | None = None) -> Lookup:
     return Lookup([(r["first"], r["uri"]) for r in parts])
 
 
+def among(rows: DataFrame, column: str, ids: Lookup, inside: bool = True) -> DataFrame:
+    """The rows whose ``column`` (cast to long) is a key of ``ids``, or else those where it is none (null never is). No row leaves its partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("text")
+        for b in batches:
+            key = b.column(b.num_columns - 1)
+            found, _ = ids.first(pc.fill_null(key, 0).to_numpy())
+            found &= key.is_valid().to_numpy(zero_copy_only=False)
+            yield b.select(list(range(b.num_columns - 1))).filter(pa.array(found == inside))
+
+    return rows.select("*", F.col(column).cast("long").alias("key of rows")).mapInArrow(run, rows.schema)
+
+
 def _written(uri: str, **cols: np.ndarray) -> Iterator[pa.RecordBatch]:
     if len(cols["key"]):
         store.put_arrays(uri, **cols)

@@ -193,10 +193,11 @@ def confirmed(pairs: DataFrame, rows: int, reps: DataFrame, items: DataFrame, n:
 
 
 def _involved(text: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
-    """The texts that ``pairs`` (at most ``rows``) speak of; few ids filter the scan, many are left to the join's shuffle."""
+    """The texts that ``pairs`` (at most ``rows``) speak of; few ids are broadcast, many looked up, so that no other text is shuffled."""
     ids = materialise(narrowed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), 2 * rows, LONGS), "involved")
-    if ids.count() > BROADCAST_IDS:
-        return text
+    count = ids.count()
+    if count > BROADCAST_IDS:
+        return lookup.among(text, "id", lookup.save(ids.select(F.col("id").alias("key")), count=count))
     return text.join(F.broadcast(ids), "id", "left_semi")
 
 
@@ -398,5 +399,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Filtering stage: one document of each component stays, all columns as they were."""
-    found = near_duplicates(docs, n, num, den).where("NOT kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = cluster(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), n, num, den)
+    gone = lookup.save(found.where("id <> component").select(F.col("id").alias("key")).distinct())
+    release(found)
+    return lookup.among(docs, "doc_id", gone, inside=False)
