@@ -6,7 +6,7 @@ strings of one anchor form a span. Anchors that occur once, anywhere, rule their
 strings out; anchors whose spans are all alike settle theirs; only anchors with
 different spans around them are contested. For those, each distinct span's text
 goes to one index partition, where a Burrows-Wheeler transform is built (suffixes
-sorted by rank doubling) and kept as runs with the places of their ends sampled;
+sorted by rank doubling, each only until it is told apart) and kept as runs with the places of their ends sampled;
 streaming each text against the samples gives its matching statistics, compared
 byte by byte where runs meet, and so the strings with a match of LENGTH bytes.
 
@@ -35,8 +35,8 @@ U = np.uint64
 LENGTH = 200
 ANCHOR = 24
 HOT = 4096
-#: Bytes of text that one index holds, about; an anchor's spans are never divided.
-INDEX_BYTES = 2 << 20
+#: Bytes of text that one index holds, about; an anchor's spans are never divided. Its arrays, eight bytes for each, stay in the cache.
+INDEX_BYTES = 96 << 10
 ROW = "anchor long, span long, key long, lo long, n long, off long"
 
 
@@ -79,23 +79,14 @@ class RunLengthIndex:
     no run likewise its lower neighbour. A text begins a run of its own.
     """
 
-    SYMBOLS = 7  # of nine bits each: 0 is the end of a text, 1 to 256 are its bytes
-
     def __init__(self, texts: list[bytes], counts: np.ndarray, length: int = LENGTH):
         lens = np.array([len(t) for t in texts], np.int64)
         data, size = np.frombuffer(b"".join(texts), np.uint8), int(lens.sum())
         self.begin, self.counts, self.length = np.cumsum(lens) - lens, counts, length
         left = np.repeat(self.begin + lens, lens) - np.arange(size)  # bytes to the end of the text
-        key = self._keys(data, left)
-        rank, order = self._rank(key)
-        done, longest = self.SYMBOLS, int(lens.max(initial=0))
-        while done < longest:
-            ahead = np.zeros(size, U)
-            inside = np.flatnonzero(left > done)
-            ahead[inside] = rank[inside + done] + U(1)
-            rank, order = self._rank(rank << U(32) | ahead)
-            done *= 2
+        key, symbols, bits = self._keys(data, left)
         # Equal endings stay in the order of their texts, as ends that differ would have it.
+        order = self._suffixes(key, symbols, bits, left)
         char = np.empty(size, np.int64)
         char[1:] = data[:-1]
         char[self.begin[lens > 0]] = 256 + np.flatnonzero(lens > 0)
@@ -104,35 +95,68 @@ class RunLengthIndex:
         runs = len(edge)
         self.heads, self.run_ends = char[edge], np.r_[edge[1:], size][:runs] - 1
         above, below = order[edge[1:] - 1], order[edge[1:]]
-        border = self._common(key, left, above, below)
+        border = self._common(key, symbols, bits, left, above, below)
         self.run_first, self.first_match = self._by_place(order[edge], np.r_[0, border][:runs])
         self.run_last, self.last_match = self._by_place(order[self.run_ends], np.r_[border, 0][:runs])
 
-    @classmethod
-    def _keys(cls, data: np.ndarray, left: np.ndarray) -> np.ndarray:
-        symbols = np.r_[data.astype(U) + U(1), np.zeros(cls.SYMBOLS, U)]
+    @staticmethod
+    def _keys(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """(key, symbols, bits): for each suffix its first ``symbols`` symbols of ``bits`` bits, as many as leave room for a place in the word.
+
+        Symbol 0 is the end of a text, then come the bytes that occur, in their order.
+        """
+        occurs = np.bincount(data, minlength=256) > 0
+        bits = int(occurs.sum()).bit_length()
+        count = max((64 - len(data).bit_length()) // max(bits, 1), 1)
+        symbols = np.r_[np.cumsum(occurs).astype(U)[data], np.zeros(count, U)]
         key = np.zeros(len(data), U)
-        for j in range(cls.SYMBOLS):
-            key = key << U(9) | np.where(left > j, symbols[j : j + len(data)], U(0))
-        return key
+        for j in range(count):
+            key <<= U(bits)
+            key |= symbols[j : j + len(data)]
+        over = np.flatnonzero(left < count)  # what follows the end of a text is no part of its suffixes
+        key[over] &= ~U(0) << ((count - left[over]) * bits).astype(U)
+        return key, count, bits
 
     @staticmethod
-    def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        rank = np.empty(len(key), U)
-        rank[order] = np.cumsum(np.r_[False, k[1:] != k[:-1]]).astype(U) if len(key) else k
-        return rank, order
+    def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rising keys, their places), equal keys by place; a key below 2 ** ``bits`` is sorted in one word with its place, if both fit."""
+        place = len(key).bit_length()
+        if bits + place > 64:
+            order = np.argsort(key, kind="stable")
+            return key[order], order
+        both = np.sort(key << U(place) | np.arange(len(key), dtype=U))
+        return both >> U(place), (both & U((1 << place) - 1)).view(np.int64)
 
     @classmethod
-    def _common(cls, key: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _suffixes(cls, key: np.ndarray, symbols: int, bits: int, left: np.ndarray) -> np.ndarray:
+        """Places of all suffixes in their order: those that agree so far are sorted by the rank of what follows, twice as far each time."""
+        size = len(key)
+        rank, order, rows, at = np.zeros(size, np.int64), np.zeros(size, np.int64), np.arange(size), np.arange(size)
+        wide, done, longest = size.bit_length(), symbols, int(left.max(initial=0))
+        sorted_, place = cls._sorted(key, symbols * bits)
+        while True:
+            at = at[place]
+            order[rows] = at
+            new = np.r_[True, sorted_[1:] != sorted_[:-1]][: len(at)]
+            first = np.flatnonzero(new)
+            rank[at] = np.repeat(rows[first], np.diff(np.r_[first, len(at)]))  # the first row of those that agree
+            tied = np.flatnonzero(~(new & np.r_[new[1:], True][: len(at)]))
+            if done >= longest or not len(tied):
+                return order
+            at, rows = at[tied], rows[tied]
+            ahead = np.where(left[at] > done, rank[np.minimum(at + done, size - 1)] + 1, 0)
+            sorted_, place = cls._sorted(rank[at].view(U) << U(wide) | ahead.view(U), 2 * wide)
+            done *= 2
+
+    @staticmethod
+    def _common(key: np.ndarray, symbols: int, bits: int, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at ``a`` and ``b``, compared symbol by symbol."""
         most, out = np.minimum(left[a], left[b]), np.zeros(len(a), np.int64)
         open_ = np.arange(len(a))
         while len(open_):
             differ = key[a[open_] + out[open_]] ^ key[b[open_] + out[open_]]
-            for j in range(1, cls.SYMBOLS + 1):
-                out[open_] += differ >> U(9 * (cls.SYMBOLS - j)) == 0
+            for j in range(1, symbols + 1):
+                out[open_] += differ >> U(bits * (symbols - j)) == 0
             open_ = open_[(differ == 0) & (out[open_] < most[open_])]
         return np.minimum(out, most)
 
@@ -223,12 +247,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
             yield marks(held)
 
     def marks(held: list) -> pa.RecordBatch:
-        ix, out = RunLengthIndex([r[5] for r in held], np.array([r[4] for r in held]), length), []
-        for (_, key, times, lo, _, _), flags in zip(held, ix.stream(), strict=True):
-            if times == 1:  # spans that occur again whole are known already
-                a, b = _runs(flags)
-                out += [(key, lo + x, lo + y + length - 1) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["key", "lo", "hi"])
+        _, key, times, lo, n, texts = zip(*held, strict=True)
+        key, times, lo, n = (np.array(c, np.int64) for c in (key, times, lo, n))
+        flags = np.concatenate([np.zeros(0, bool), *RunLengthIndex(list(texts), n, length).stream()])
+        of, start = np.repeat(np.arange(len(n)), n), np.cumsum(n + 1) - (n + 1)
+        apart = np.zeros(len(flags) + len(n), bool)  # with a gap behind every text
+        apart[np.arange(len(flags)) + of] = flags & (times[of] == 1)  # spans that occur again whole are known already
+        a, b = _runs(apart)
+        at = np.searchsorted(start, a, "right") - 1
+        base = lo[at] - start[at]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key[at], base + a, base + b + (length - 1))], names=["key", "lo", "hi"])
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     cold = found.where("hot = 0").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(index, "key long, lo long, hi long")

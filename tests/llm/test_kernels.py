@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from strideframe.llm import common, lookup, neardup, packed, paragraphs, textkit
+from strideframe.llm import common, lookup, neardup, packed, paragraphs, repeats, textkit
 
 
 def test_words_and_lowering():
@@ -70,3 +71,25 @@ def test_lines_are_cut_from_texts_once(spark, monkeypatch):
     docs = paragraphs._keyed(spark.createDataFrame([(1, f"{line}\nshort\n\n{line}"), (2, line), (3, None)], "doc_id long, text string"))
     assert paragraphs.repeated_lines(docs).count() == 4  # three lines, and the first one joined with the short one: 6 of 7 shingles
     assert seen[0] and all("compared-lines" in f for f in seen[0])  # not the texts, which would be cut again in every step
+
+
+@pytest.mark.parametrize("alphabet", [b"a", b"ab", b"\0\xff", bytes(range(256))])
+def test_suffixes_are_sorted_until_they_differ(monkeypatch, alphabet):
+    r, sorted_, entries = np.random.default_rng(len(alphabet)), repeats.RunLengthIndex._sorted, []
+    monkeypatch.setattr(repeats.RunLengthIndex, "_sorted", staticmethod(lambda key, bits: entries.append(len(key)) or sorted_(key, bits)))
+    base = bytes(r.choice(list(alphabet), 300).astype(np.uint8))
+    texts = [base, base[:120] + b"!" + base[120:250], base, b"", bytes(r.choice(list(alphabet), 3000).astype(np.uint8))]
+    index = repeats.RunLengthIndex(texts, np.array([max(len(t) - 199, 0) for t in texts]), 200)
+    places = sorted(((t[i:], n, i) for n, t in enumerate(texts) for i in range(len(t))))
+    begin = np.cumsum([0, *map(len, texts)])
+    want = [256 + n if i == 0 else texts[n][i - 1] for _, n, i in places]
+    assert index.heads.tolist() == [c for k, c in enumerate(want) if not k or c != want[k - 1]]
+    assert index.run_first.tolist() == sorted(int(begin[n]) + i for k, (_, n, i) in enumerate(places) if not k or want[k] != want[k - 1])
+    assert len(alphabet) < 256 or sum(entries) < 3 * len(places)  # every round sorted all before
+
+
+@pytest.mark.parametrize("bits", [10, 63])
+def test_keys_are_sorted_with_their_places(bits):
+    key = np.random.default_rng(0).integers(0, 1 << 10, 5000).astype(np.uint64)
+    rising, place = repeats.RunLengthIndex._sorted(key, bits)
+    assert place.tolist() == np.argsort(key, kind="stable").tolist() and rising.tolist() == sorted(key.tolist())
